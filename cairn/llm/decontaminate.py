@@ -63,7 +63,7 @@ class TestSuffixes:
 
 def as_keys(rows: np.ndarray) -> np.ndarray:
     """Rows of big-endian 32-bit codes as byte strings that sort the same way."""
-    return np.ascontiguousarray(rows).view(f"S{rows.shape[1] * 4}").ravel()
+    return np.ascontiguousarray(rows, ">u4").view(f"S{rows.shape[1] * 4}").ravel()
 
 
 def search_shard(data: np.ndarray, offsets: np.ndarray, test: TestSuffixes):

@@ -79,7 +79,7 @@ def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = F.create_map(*(F.lit(x) for kind, v in KINDS.items() for x in (v[0], kind)))
     judged = judged.filter(F.col("live") | (F.col("k") < len(BASE)))
     per = judged.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("start").cast("long"), "k", names[F.col("k")].alias("kind"), F.col("end").cast("long"), "n_owners", "n_repos", "live"))).alias("spans")
+        F.sort_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "k", names[F.col("k")].alias("kind"), F.col("end").cast("long").alias("end"), "n_owners", "n_repos", "live"))).alias("spans")
     )
     # broader candidates that touch a base span tell nothing new
     base = lambda s: s["k"] < len(BASE)
