@@ -14,6 +14,7 @@ by row; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ CACHED_WORDS = 400_000
 
 class WordCache:
     """Token ids of whole texts, word by word: white space never lies within a token of this kind of tokenizer, so a text's
-    ids are those of its words in turn. At most CACHED_WORDS words are held."""
+    ids are those of its words in turn. A plain word with one point or comma behind it has the ids of both. Texts within
+    Latin-1 are lower-cased first, as the tokenizer would. At most CACHED_WORDS words are held, and texts that are new start afresh then."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,27 +43,78 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.flat, self.bounds = [np.zeros(0, np.uint32)], [0, 0]
+        self.place: dict[str, int] = {}
+        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.add([""])
+        self.marks = [self.ids([m])[0] for m in ".,"]
+
+    def ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def add(self, words: list[str]) -> None:
+        if not words:
+            return
+        ids = self.ids(words)
+        bounds = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + self.bounds[-1]
+        self.place.update(zip(words, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(words)), strict=True))
+        self.bounds = np.concatenate([self.bounds, bounds])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, bounds[-1] - len(self.flat))])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        lists = [(t.lower() if t.isascii() or latin1(t) else t).replace("\n", " ").split(" ") for t in texts]
+        words = list(chain.from_iterable(lists))
         if len(self.place) > CACHED_WORDS:
             self.clear()
-        fresh = list({w for ws in words for w in ws} - self.place.keys())
-        if fresh:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            self.place.update(zip(fresh, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(fresh)), strict=True))
-            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + self.bounds[-1]
-            self.bounds.extend(ends.tolist())
-            self.flat = [np.concatenate([*self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])]
-        bounds, flat, place = np.array(self.bounds), self.flat[0], self.place
-        out = []
-        for ws in words:
-            at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
-            size = bounds[at + 1] - bounds[at]
-            out.append(flat[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[at], size)])
-        return out
+        place = self.place
+        fresh = set(words).difference(place)
+        marked = {w: w[:-1] for w in fresh if w[-1:] in (".", ",") and w[:-1].isalpha()}
+        self.add(list((fresh - marked.keys() | set(marked.values())).difference(place)))
+        if marked:
+            # compose: the plain word's ids and the mark's
+            base = np.fromiter((place[w] for w in marked.values()), np.int64, len(marked))
+            point = np.fromiter((w[-1] == "." for w in marked), bool, len(marked))
+            tails = [np.array(m, np.uint32) for m in self.marks]
+            size = self.bounds[base + 1] - self.bounds[base]
+            extra = np.where(point, len(tails[0]), len(tails[1]))
+            ends = np.cumsum(size + extra)
+            begin = ends - size - extra
+            new = np.zeros(ends[-1], np.uint32)
+            new[spread(begin, size)] = self.flat[spread(self.bounds[base], size)]
+            for which, tail in ((point, tails[0]), (~point, tails[1])):
+                for j, x in enumerate(tail):
+                    new[(begin + size)[which] + j] = x
+            place.update(zip(marked, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(marked)), strict=True))
+            self.bounds = np.concatenate([self.bounds, ends + self.bounds[-1]])
+            self.flat = np.concatenate([self.flat, new])
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        size = self.bounds[at + 1] - self.bounds[at]
+        ids = self.flat[spread(self.bounds[at], size)]
+        stop = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, lists)])]
+        return [ids[a:b] for a, b in zip(stop[:-1], stop[1:], strict=True)]
+
+
+def latin1(t: str) -> bool:
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All of begin[i] .. begin[i] + size[i] - 1, in order."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
+_caches: dict[str, WordCache] = {}
+
+
+def word_cache(path: str) -> WordCache:
+    """A worker's cache outlives its tasks."""
+    if path not in _caches:
+        _caches[path] = WordCache(path)
+    return _caches[path]
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -97,7 +150,7 @@ def projection(dims: int) -> np.ndarray:
 
 def _tokenize(path: str, end: int, dims: int, bits: int):
     def run(batches):
-        cache, rows = WordCache(path), projection(dims)
+        cache, rows = word_cache(path), projection(dims)
         for batch in batches:
             for lo, hi, _, _ in text_slices(batch.column("t"), 2 << 20):
                 part = batch.slice(lo, hi - lo)
