@@ -27,7 +27,7 @@ from .textbytes import text_slices
 
 LENGTH, END = 4096, 2
 DIMS, BITS = 4, 8
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 
 class WordCache:
@@ -40,11 +40,15 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.bounds, self.held = np.zeros(0, np.uint32), np.zeros(1, np.int64), []
+        self.n = self.size = 0
         self.add([""])
         self.marks = [self.ids([m])[0] for m in ".,"]
 
@@ -52,13 +56,34 @@ class WordCache:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def add(self, words: list[str]) -> None:
-        if not words:
-            return
-        ids = self.ids(words)
-        bounds = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + self.bounds[-1]
-        self.place.update(zip(words, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(words)), strict=True))
-        self.bounds = np.concatenate([self.bounds, bounds])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, bounds[-1] - len(self.flat))])
+        """Words of letters only are encoded many at a time: each is one unit of the tokenizer, so its last id is one that ends a word."""
+        plain = [w for w in words if w.isalpha()]
+        lines = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        other = [w for w in words if not w.isalpha()]
+        for line, ids in zip(lines, self.ids([" ".join(x) for x in lines]), strict=True):
+            ids = np.array(ids, np.uint32)
+            bounds = np.flatnonzero(self.ends[ids]) + 1
+            if len(bounds) == len(line):
+                self.hold(line, ids, bounds)
+            else:
+                other += line
+        if other:
+            ids = self.ids(other)
+            bounds = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            self.hold(other, np.fromiter(chain.from_iterable(ids), np.uint32, bounds[-1]), bounds)
+        self.settle()
+
+    def hold(self, words: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
+        self.place.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.n += len(words)
+        self.held.append((ids, bounds + self.size))
+        self.size += len(ids)
+
+    def settle(self) -> None:
+        if self.held:
+            self.flat = np.concatenate([self.flat, *(x for x, _ in self.held)])
+            self.bounds = np.concatenate([self.bounds, *(x for _, x in self.held)])
+            self.held = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         lists = [(t.lower() if t.isascii() or latin1(t) else t).replace("\n", " ").split(" ") for t in texts]
@@ -83,9 +108,8 @@ class WordCache:
             for which, tail in ((point, tails[0]), (~point, tails[1])):
                 for j, x in enumerate(tail):
                     new[(begin + size)[which] + j] = x
-            place.update(zip(marked, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(marked)), strict=True))
-            self.bounds = np.concatenate([self.bounds, ends + self.bounds[-1]])
-            self.flat = np.concatenate([self.flat, new])
+            self.hold(list(marked), new, ends)
+            self.settle()
         at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
         size = self.bounds[at + 1] - self.bounds[at]
         ids = self.flat[spread(self.bounds[at], size)]
