@@ -4,8 +4,8 @@ r"""Exact Jaccard join over word shingles by grouped prefixes, down to connected
 2. Shingles get a global order: rarer first, as told by a sketch of `1 << SKETCH_BITS` counters over all documents, ties by hash.
    Any order is correct; this one keeps what many documents share out of the prefixes.
 3. Classes with the same prefix and set size form a group; only groups are posted under the prefix's shingles.
-4. Candidates are filtered by size and by parity bitmaps (both bounds are exact), expanded to members and verified on the full
-   sets. Classes that are already connected are not compared again: per shingle, a first round compares all with the
+4. Candidates are filtered by size and by parity bitmaps, first of fixed length, then as long as the sets (all bounds are exact),
+   expanded to members and verified on the full sets. Classes that are already connected are not compared again: per shingle, a first round compares all with the
    group of the smallest id, a second one all others with the smallest of another class; only what is still in different
    components is then paired in full. So a thousand near copies cost a thousand comparisons, and no link between different components is lost.
 
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import components, materialize
 from .textbytes import LOWER, SPACE_WORD, mix, text_slices, word_hashes
 
-SKETCH_BITS = 16
+SKETCH_BITS = 17
 MAPS = 8
 #: Up to so many ids are sent to every task to pick documents; beyond, the documents are joined by id.
 BROADCAST_IDS = 500_000
@@ -71,11 +71,11 @@ def _sketch(k: int):
 
 
 def rarity(docs: DataFrame, k: int) -> np.ndarray:
-    """Class per counter, 0 rarest: half-octaves above the mean load."""
+    """Class per counter, 0 rarest: quarter-octaves above the mean load."""
     rows = docs.select("t").mapInArrow(_sketch(k), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     load = np.zeros(1 << SKETCH_BITS)
     load[rows["bin"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    level = np.log2(np.maximum(load, 1) / max(load.mean(), 1)) * 2
+    level = np.log2(np.maximum(load, 1) / max(load.mean(), 1)) * 4
     return np.clip(np.ceil(level), 0, 63).astype(np.uint8)
 
 
@@ -110,12 +110,43 @@ def _signatures(k: int, percent: int, level):
     return run
 
 
+def parity_map(s: np.ndarray) -> np.ndarray:
+    """A bit per bin, about as many as there are shingles: whether an odd number of them falls into it. The map of half as many bins is the
+    exclusive or of its halves; bits that differ between two maps are never more than the shingles in which the sets differ."""
+    bins = 1 << max(9, int(len(s)).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8), bitorder="little")
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sets(k: int):
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column("t"), k))
             d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(d1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "d1", "set"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(d1), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_map(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["id", "d1", "n", "map", "set"],
+            )
+
+    return run
+
+
+def _coarse(percent: int):
+    def run(batches):
+        for batch in batches:
+            ok = [
+                (100 - percent) * (na.as_py() + nb.as_py()) >= (100 + percent) * apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))
+                for na, nb, x, y in zip(*(batch.column(c) for c in ("na", "nb", "ma", "mb")), strict=True)
+            ]
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     return run
 
@@ -178,10 +209,12 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
             chosen = docs.join(F.broadcast(need.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
         else:
             chosen = docs.join(need.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-        sets = chosen.mapInArrow(_sets(k), f"id {kind}, d1 long, set binary")
+        sets = chosen.mapInArrow(_sets(k), f"id {kind}, d1 long, n long, map binary, set binary")
         sets = materialize(sets.join(need.select(F.col("rep").alias("id"), "d1"), ["id", "d1"], "left_semi").dropDuplicates(["id"]))
+        coarse = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("map").alias(f"m{s}"))
         own = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"s{s}"))
-        found = materialize(pairs.join(own("a"), "a").join(own("b"), "b").mapInArrow(_verify(percent), f"a {kind}, b {kind}"))
+        close = materialize(pairs.join(coarse("a"), "a").join(coarse("b"), "b").mapInArrow(_coarse(percent), f"a {kind}, b {kind}"))
+        found = materialize(close.join(own("a"), "a").join(own("b"), "b").mapInArrow(_verify(percent), f"a {kind}, b {kind}"))
         linked = found if linked is None else linked.union(found)
         return components(linked)
 
