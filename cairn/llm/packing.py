@@ -46,77 +46,84 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.bounds, self.held = np.zeros(0, np.uint32), np.zeros(1, np.int64), []
-        self.n = self.size = 0
-        self.add([""])
-        self.marks = [self.ids([m])[0] for m in ".,"]
+        self.place = Places()
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.marks = [np.array(self.ids([m])[0], np.uint32) for m in ".,"]
 
     def ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def hold(self, at: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> None:
+        """Keeps the ids of the words numbered at: flat up to each of bounds."""
+        size = np.diff(bounds, prepend=0)
+        self.start[at], self.size[at] = bounds - size + len(self.flat), size
+        self.flat = np.concatenate([self.flat, flat])
+
     def add(self, words: list[str]) -> None:
-        """Words of letters only are encoded many at a time: each is one unit of the tokenizer, so its last id is one that ends a word."""
-        plain = [w for w in words if w.isalpha()]
+        """Ids of new words, numbered from len(self.start). Words of letters only are encoded many at a time: each is one unit of the
+        tokenizer, so its last id is one that ends a word."""
+        place, n = self.place, len(self.start)
+        marked = [i for i, w in enumerate(words) if w[-1:] in (".", ",") and w[:-1].isalpha()]
+        base = np.fromiter((place[words[i][:-1]] for i in marked), np.int64, len(marked))  # numbers what is new among them
+        self.start, self.size = (np.concatenate([x, np.zeros(len(words), np.int64)]) for x in (self.start, self.size))
+        skip = set(marked)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        other = [i for i, w in enumerate(words) if i not in skip and not w.isalpha()]
         lines = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        other = [w for w in words if not w.isalpha()]
-        for line, ids in zip(lines, self.ids([" ".join(x) for x in lines]), strict=True):
+        parts, numbers, total = [], [], 0
+        for line, ids in zip(lines, self.ids([" ".join([words[i] for i in x]) for x in lines]), strict=True):
             ids = np.array(ids, np.uint32)
             bounds = np.flatnonzero(self.ends[ids]) + 1
             if len(bounds) == len(line):
-                self.hold(line, ids, bounds)
+                parts.append((ids, bounds + total))
+                numbers += line
+                total += len(ids)
             else:
                 other += line
+        if parts:
+            self.hold(np.array(numbers) + n, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         if other:
-            ids = self.ids(other)
+            ids = self.ids([words[i] for i in other])
             bounds = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-            self.hold(other, np.fromiter(chain.from_iterable(ids), np.uint32, bounds[-1]), bounds)
-        self.settle()
-
-    def hold(self, words: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
-        self.place.update(zip(words, range(self.n, self.n + len(words)), strict=True))
-        self.n += len(words)
-        self.held.append((ids, bounds + self.size))
-        self.size += len(ids)
-
-    def settle(self) -> None:
-        if self.held:
-            self.flat = np.concatenate([self.flat, *(x for x, _ in self.held)])
-            self.bounds = np.concatenate([self.bounds, *(x for _, x in self.held)])
-            self.held = []
+            self.hold(np.array(other) + n, np.fromiter(chain.from_iterable(ids), np.uint32, bounds[-1]), bounds)
+        if marked:
+            kind = np.fromiter((words[i][-1] == "," for i in marked), np.int64, len(marked))
+            size, extra = self.size[base], np.array([len(m) for m in self.marks])[kind]
+            bounds = np.cumsum(size + extra)
+            begin = bounds - size - extra
+            flat = np.zeros(bounds[-1], np.uint32)
+            flat[spread(begin, size)] = self.flat[spread(self.start[base], size)]
+            for k, mark in enumerate(self.marks):
+                for j, x in enumerate(mark):
+                    flat[(begin + size)[kind == k] + j] = x
+            self.hold(np.array(marked) + n, flat, bounds)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         lists = [(t.lower() if t.isascii() or latin1(t) else t).replace("\n", " ").split(" ") for t in texts]
-        words = list(chain.from_iterable(lists))
         if len(self.place) > CACHED_WORDS:
             self.clear()
-        place = self.place
-        fresh = set(words).difference(place)
-        marked = {w: w[:-1] for w in fresh if w[-1:] in (".", ",") and w[:-1].isalpha()}
-        self.add(list((fresh - marked.keys() | set(marked.values())).difference(place)))
-        if marked:
-            # compose: the plain word's ids and the mark's
-            base = np.fromiter((place[w] for w in marked.values()), np.int64, len(marked))
-            point = np.fromiter((w[-1] == "." for w in marked), bool, len(marked))
-            tails = [np.array(m, np.uint32) for m in self.marks]
-            size = self.bounds[base + 1] - self.bounds[base]
-            extra = np.where(point, len(tails[0]), len(tails[1]))
-            ends = np.cumsum(size + extra)
-            begin = ends - size - extra
-            new = np.zeros(ends[-1], np.uint32)
-            new[spread(begin, size)] = self.flat[spread(self.bounds[base], size)]
-            for which, tail in ((point, tails[0]), (~point, tails[1])):
-                for j, x in enumerate(tail):
-                    new[(begin + size)[which] + j] = x
-            self.hold(list(marked), new, ends)
-            self.settle()
-        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        size = self.bounds[at + 1] - self.bounds[at]
-        ids = self.flat[spread(self.bounds[at], size)]
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64)
+        if self.place.fresh:
+            self.add(self.place.fresh)
+            self.place.fresh = []
+        size = self.size[at]
+        ids = self.flat[spread(self.start[at], size)]
         stop = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, lists)])]
         return [ids[a:b] for a, b in zip(stop[:-1], stop[1:], strict=True)]
 
 
+class Places(dict):
+    """Numbers words in the order in which they are first asked for, and remembers the new ones."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 def latin1(t: str) -> bool:
     try:
         t.encode("latin-1")
@@ -179,7 +186,8 @@ def _tokenize(path: str, end: int, dims: int, bits: int):
             for lo, hi, _, _ in text_slices(batch.column("t"), 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 ids = [np.append(x, np.uint32(end)) for x in cache.encode([t or "" for t in part.column("t").to_pylist()])]
-                mean = np.stack([rows[x & 0xFFFF].mean(0) for x in ids])
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
+                mean = np.add.reduceat(rows[np.concatenate(ids) & 0xFFFF], np.cumsum(size) - size, axis=0) / size[:, None]
                 points = ((np.tanh(mean * 2) + 1) / 2 * ((1 << bits) - 1)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -216,7 +224,7 @@ def pack(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     """Pieces: id_col, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("row", F.monotonically_increasing_id())
     kind = docs.schema["id"].dataType.simpleString()
-    tokens = materialize(docs.mapInArrow(_tokenize(tokenizer_path, end, dims, bits), f"id {kind}, row long, n long, key long, ids binary"), "zstd")
+    tokens = materialize(docs.mapInArrow(_tokenize(tokenizer_path, end, dims, bits), f"id {kind}, row long, n long, key long, ids binary"), )
     order = tokens.select("key", "row", "n").repartitionByRange("key", "row").withColumn("part", F.spark_partition_id())
     order = materialize(order)
     totals = {r.part: r.n for r in order.groupBy("part").agg(F.sum("n").alias("n")).collect()}
