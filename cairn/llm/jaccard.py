@@ -205,12 +205,13 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
         tested = pairs if tested is None else tested.union(pairs)
         need = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
         need = materialize(classes.join(need, "rep", "left_semi").select("rep", "d1"))
+        wanted = need.select(F.col("rep").alias("id"), "d1")
         if need.count() <= BROADCAST_IDS:
-            chosen = docs.join(F.broadcast(need.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
-        else:
-            chosen = docs.join(need.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+            wanted = F.broadcast(wanted)
+        chosen = docs.join(wanted.select("id"), "id", "left_semi")
+        # by id and content: rows that share an id with other texts are not meant
         sets = chosen.mapInArrow(_sets(k), f"id {kind}, d1 long, n long, map binary, set binary")
-        sets = materialize(sets.join(need.select(F.col("rep").alias("id"), "d1"), ["id", "d1"], "left_semi").dropDuplicates(["id"]))
+        sets = materialize(sets.join(wanted, ["id", "d1"], "left_semi"))
         coarse = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("map").alias(f"m{s}"))
         own = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"s{s}"))
         close = materialize(pairs.join(coarse("a"), "a").join(coarse("b"), "b").mapInArrow(_coarse(percent), f"a {kind}, b {kind}"))
