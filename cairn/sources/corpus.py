@@ -1,0 +1,65 @@
+"""Source trees as a files table, and a corpus made from the star tables whose facts are known."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Read as text, skipped folders, largest file.
+EXTENSIONS = ("java", "kt", "ts", "tsx", "js", "vue", "py", "go", "cs", "sql", "xml", "md")
+EXCLUDED = ("node_modules", ".git", "dist", "build", "target")
+LARGEST = 4 * 1024 * 1024
+
+
+def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
+    """files(repo, path, size, mtime, content): the first folder under root is the repo."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rel = F.regexp_extract("path", r"/([^/]+)/(.+)$", 0)
+    rel = F.expr(f"substring_index(path, '{root.rstrip('/')}/', -1)") if root else rel
+    return raw.select(
+        F.substring_index(rel, "/", 1).alias("repo"), F.regexp_extract(rel, "^[^/]+/(.*)$", 1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
+        F.decode("content", "UTF-8").alias("content"),
+    )
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+
+
+def in_scope(files: DataFrame, include: DataFrame | None = None) -> DataFrame:
+    """Known extension, no excluded folder, not too large, and under one of the repo's include paths, if it has any."""
+    kept = files.filter(
+        extension(F.col("path")).isin(*EXTENSIONS) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, EXCLUDED))) & (F.col("size") <= LARGEST)
+    )
+    if include is None:
+        return kept
+    paths = include.groupBy("repo").agg(F.collect_set("path").alias("_include"))
+    joined = kept.join(F.broadcast(paths), "repo", "left")
+    under = F.exists("_include", lambda p: (p == "") | (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit("/"))))
+    return joined.filter(F.col("_include").isNull() | under).drop("_include")
+
+
+def star_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Java controller per part and one TypeScript client per customer; 50 repos of each kind."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    java = part.select(
+        F.concat(F.lit("api"), (F.col("p_partkey") % 50).cast("string")).alias("repo"),
+        F.concat(F.lit("src/C"), k, F.lit(".java")).alias("path"),
+        F.concat(
+            F.lit("package shop;\n\n@RequestMapping(\"/shop/s"), size, F.lit("/\")\npublic class C"), k, F.lit(" {\n  // @GetMapping(\"/not/this\")\n  @GetMapping(\"/items/{id}/p"), k,
+            F.lit("\")\n  public String read(String id) {\n    return id;\n  }\n}\n"),
+        ).alias("content"),
+    )
+    c = F.col("c_custkey").cast("string")
+    ts = customer.select(
+        F.concat(F.lit("web"), (F.col("c_custkey") % 50).cast("string")).alias("repo"),
+        F.concat(F.lit("app/c"), c, F.lit(".ts")).alias("path"),
+        F.concat(
+            F.lit("export async function load"), c, F.lit("(id) {\n  return axios.get(`/shop/s"), (F.col("c_custkey") % 50 + 1).cast("string"), F.lit("/items/${id}/p"), c,
+            F.when(F.col("c_nationkey") == 7, F.lit("/old")).otherwise(F.lit("")), F.lit("`);\n}\n"),
+        ).alias("content"),
+    )
+    both = java.unionByName(ts)
+    return both.withColumn("size", F.octet_length("content").cast("long")).withColumn("mtime", F.timestamp_seconds(F.lit(0)))
