@@ -44,9 +44,25 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
         self.apart = MARK in pieces and not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.known: dict[str, tuple[int, float]] = {}
+        self.singles = {p for p in pieces if len(p) == 1}
+        self.counts: dict[str, int] = {}
+        self.scores: dict[str, float] = {}
 
     def solve(self, part: str) -> tuple[int, float]:
+        if not self.singles.issuperset(part):
+            return self.solve_with_unknowns(part)
+        # every place has a match; matches come by their end, and of one end longest first
+        score, count, last = [0.0] * (len(part) + 1), [0] * (len(part) + 1), -1
+        for end, (size, s) in self.automaton.iter(part):
+            start = end + 1 - size
+            s += score[start]
+            if end != last or s > score[end + 1]:
+                last = end
+                score[end + 1] = s
+                count[end + 1] = count[start] + 1
+        return count[-1], score[-1]
+
+    def solve_with_unknowns(self, part: str) -> tuple[int, float]:
         n = len(part)
         ends: list[list] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(part):
@@ -69,24 +85,28 @@ class Counter:
     def count(self, text: str | None) -> tuple[int, float]:
         if not text:
             return 0, 0.0
-        text = MARK + text.replace(" ", MARK)
         if not self.apart:
-            return self.solve(text)
-        total, score, known = 0, 0.0, self.known
-        for part in PARTS.findall(text):
-            got = known.get(part)
-            if got is None:
-                got = self.solve(part)
-                if len(part) < 100:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[part] = got
-            total += got[0]
-            score += got[1]
-        return total, score
-
-
-PARTS = re.compile(f"{MARK}+[^{MARK}]*")
+            return self.solve(MARK + text.replace(" ", MARK))
+        if text[0] == " " or "  " in text or MARK in text:
+            parts = PARTS.findall(MARK + text.replace(" ", MARK))
+        else:
+            parts = text.split(" ")
+        counts, scores = self.counts, self.scores
+        new = set(parts).difference(counts)
+        for part in new:
+            counts[part], scores[part] = self.solve(MARK + part)
+        got = sum(map(counts.__getitem__, parts)), sum(map(scores.__getitem__, parts), 0.0)
+        for part in new:
+            if len(part) >= 100:
+                del counts[part], scores[part]
+        if len(counts) > REMEMBERED:
+            counts.clear()
+            scores.clear()
+        return got
+
+
+#: What follows the first mark of a run of marks, up to the next run.
+PARTS = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
 
 
 def _counts(path: str):
