@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contracts, dedupe, graph, relations, search
-from ..sources.corpus import in_scope, star_corpus
+from ..operators import contracts, dedupe, facts, graph, relations, search
+from ..sources.corpus import dao_corpus, in_scope, star_corpus
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,9 +124,33 @@ def table_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.relations(relations.columns(relations.extract_ddl(_ddl(spark, sf_dir))))
 
 
+def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = facts.extract_statements(in_scope(dao_corpus(spark, sf_dir)))
+    return s.select("repo", "file", F.col("line").cast("long").alias("line"), "type", F.array_join("tables", ",").alias("tables"))
+
+
+def table_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.table_usage(facts.extract_statements(in_scope(dao_corpus(spark, sf_dir)))).withColumnRenamed("table", "table_name")
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = facts.extract_transactions(in_scope(dao_corpus(spark, sf_dir)))
+    return t.select("repo", "file", F.col("line").cast("long").alias("line"), "entry_method", "propagation")
+
+
+def external_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = facts.extract_external(in_scope(dao_corpus(spark, sf_dir)))
+    return x.select("repo", "file", F.col("line").cast("long").alias("line"), "type", "method")
+
+
+def environment_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = facts.extract_environment(in_scope(dao_corpus(spark, sf_dir)))
+    return e.groupBy("marker").agg(F.count("*").alias("reads"), F.countDistinct("repo").alias("repos"))
+
+
 _QUERIES = (
     api_match, api_unmatched_endpoints, api_drift, first_wins, next_method, changed_files, refresh_counts, degrees, dead_nodes, dangling_edges, resolve_calls, document_frequency, ranked_search,
-    page_links, table_relations,
+    page_links, table_relations, sql_statements, table_usage, transactions, external_calls, environment_reads,
 )
 
 
@@ -174,6 +198,16 @@ FROM documents d, q GROUP BY doc_id HAVING sum(CASE WHEN contains(lower(text), q
  CASE WHEN s_suppkey % 3 = 0 THEN '1:1' ELSE 'N:1' END AS cardinality FROM supplier""",
 }
 
+_D = """d AS (SELECT s_suppkey AS k, s_nationkey AS n, 'dao' || (s_suppkey % 20) AS repo, 'src/D' || s_suppkey || '.java' AS file FROM supplier)"""
+ORACLE |= {
+    "sql_statements": f"WITH {_D} SELECT repo, file, CAST(3 AS BIGINT) AS line, 'SELECT' AS type, 't' || n || ',u' || (k % 7) AS tables FROM d",
+    "table_usage": f"""WITH {_D} SELECT repo, table_name, count(*) AS statements, count(DISTINCT file) AS files
+ FROM (SELECT repo, file, 't' || n AS table_name FROM d UNION ALL SELECT repo, file, 'u' || (k % 7) FROM d) GROUP BY repo, table_name""",
+    "transactions": f"WITH {_D} SELECT repo, file, CAST(5 AS BIGINT) AS line, 'save' || k AS entry_method, CASE WHEN k % 3 = 0 THEN 'REQUIRES_NEW' ELSE 'REQUIRED' END AS propagation FROM d",
+    "external_calls": f"WITH {_D} SELECT repo, file, CAST(7 AS BIGINT) AS line, 'kafka_producer' AS type, 'after' || k AS method FROM d",
+    "environment_reads": f"WITH {_D} SELECT 'KEY_' || (k % 5) AS marker, count(*) AS reads, count(DISTINCT repo) AS repos FROM d GROUP BY k % 5",
+}
+
 
 def oracle_sql() -> dict:
     return dict(ORACLE)

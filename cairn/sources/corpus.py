@@ -63,3 +63,16 @@ def star_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     both = java.unionByName(ts)
     return both.withColumn("size", F.octet_length("content").cast("long")).withColumn("mtime", F.timestamp_seconds(F.lit(0)))
+
+
+def dao_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Java data access class per supplier, in 20 repos."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    content = F.concat(
+        F.lit("package dao;\npublic class D"), k, F.lit(" {\n  @Query(\"SELECT a.id FROM t"), n, F.lit(" a JOIN u"), (F.col("s_suppkey") % 7).cast("string"), F.lit(" b ON a.id = b.id\")\n  String find"), k,
+        F.lit("(String id);\n  @Transactional"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("(propagation = Propagation.REQUIRES_NEW)")).otherwise(F.lit("")), F.lit("\n  public void save"), k,
+        F.lit("(String id) {\n    kafkaTemplate.send(System.getenv(\"KEY_"), (F.col("s_suppkey") % 5).cast("string"), F.lit("\"), id);\n  }\n  void after"), k, F.lit("() {\n  }\n}\n"),
+    )
+    files = s.select(F.concat(F.lit("dao"), (F.col("s_suppkey") % 20).cast("string")).alias("repo"), F.concat(F.lit("src/D"), k, F.lit(".java")).alias("path"), content.alias("content"))
+    return files.withColumn("size", F.octet_length("content").cast("long")).withColumn("mtime", F.timestamp_seconds(F.lit(0)))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cairn.functions.text import normalize_path
-from cairn.operators import contracts, dedupe, graph, relations
+from cairn.operators import contracts, dedupe, facts, graph, relations
 
 
 def test_paths(spark):
@@ -38,3 +38,15 @@ def test_cardinality(spark):
     sql = "create table p (id int primary key, x decimal(3, 2));\nCREATE TABLE c (id INT PRIMARY KEY REFERENCES p(id), o INT REFERENCES p(id));"
     rel = relations.relations(relations.columns(relations.extract_ddl(spark.createDataFrame([("r", "a.sql", sql)], "repo string, path string, content string"))))
     assert sorted((r.from_column, r.cardinality) for r in rel.collect()) == [("id", "1:1"), ("o", "N:1")]
+
+
+def test_sql_tables(spark):
+    df = spark.createDataFrame([("select * from a x, b y where x.i = y.i",), ("insert into s.t values (1)",), ("update q set v = 1",), ("nothing",), (None,)], "s string")
+    assert [r.t for r in df.select(facts.sql_tables(F.col("s")).alias("t")).collect()] == [["a", "b"], ["s.t"], ["q"], [], None]
+
+
+def test_transactions_take_the_next_method_of_their_file(spark):
+    files = spark.createDataFrame(
+        [("r", "A.java", "@Transactional\npublic void one() {\n return two();\n}\n@Transactional\n"), ("r", "B.java", "void other() {\n}"), ("r", "C.java", None)], "repo string, path string, content string"
+    )
+    assert [(r.file, r.line, r.entry_method, r.propagation) for r in facts.extract_transactions(files).collect()] == [("A.java", 1, "one", "REQUIRED")]
