@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contracts, dedupe, facts, graph, relations, search
 from ..sources.corpus import dao_corpus, in_scope, star_corpus
+from . import project_queries as project
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,7 +156,7 @@ _QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | project.queries()
 
 
 _E = """e AS (SELECT 'api' || (p_partkey % 50) AS repo, 'src/C' || p_partkey || '.java' AS file, '/shop/s' || p_size || '/items/{param}/p' || p_partkey AS path_pattern FROM part)"""
@@ -210,4 +211,4 @@ ORACLE |= {
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLE)
+    return ORACLE | project.oracle_sql()

@@ -53,3 +53,44 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     a = edges.join(ids, edges["from"] == ids["id"], "left_anti").withColumn("side", F.lit("from"))
     b = edges.join(ids, edges["to"] == ids["id"], "left_anti").withColumn("side", F.lit("to"))
     return a.unionByName(b)
+
+
+def classify(node_id, file, kind):
+    """view, endpoint, dao, util or function, told from words in id, file and kind."""
+    v = F.lower(F.concat_ws(" ", node_id, file, kind))
+    page = (kind == "trigger") | v.rlike(r"\.(jsp|jspx|asp|aspx|ascx|xaml|razor|cshtml|vbhtml)$")
+    return (
+        F.when(page, "view").when(v.rlike("controller|router|route|endpoint|action"), "endpoint").when(v.rlike("view|component|page|screen|activity|fragment|form|jsp|tsx|vue"), "view")
+        .when(v.rlike("dao|repository|mapper|persistence"), "dao").when(v.rlike("dto|entity|model|config|util|helper|constant|filter|middleware"), "util").otherwise("function")
+    )
+
+
+def top_hubs(degree: DataFrame, n: int = 15) -> DataFrame:
+    """A report of the n nodes of highest in-degree, ties by id."""
+    return degree.orderBy(F.desc("in_degree"), "id").limit(n).select("id", "in_degree")
+
+
+def merge_nodes(rows: DataFrame, seq: str) -> DataFrame:
+    """One row per (repo, id): of each attribute the last non-empty value in seq order."""
+    rest = [c for c in rows.columns if c not in ("repo", "id", seq)]
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col(seq)))
+    return rows.groupBy("repo", "id").agg(*(last(c).alias(c) for c in rest))
+
+
+def visible_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with both ends among the nodes."""
+    ids = nodes.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "from"), "from", "left_semi").join(ids.withColumnRenamed("id", "to"), "to", "left_semi")
+
+
+def apply_patch(edges: DataFrame, nodes: DataFrame, patch: DataFrame) -> DataFrame:
+    """patch(op, from, to, type) with a status: applied, duplicate (known already or repeated) or rejected (no add_edge, unknown end or type)."""
+    ids = nodes.select("id").distinct().withColumn("_k", F.lit(True))
+    p = patch.withColumn("_seq", F.monotonically_increasing_id()).join(ids.withColumnsRenamed({"id": "from", "_k": "_f"}), "from", "left").join(ids.withColumnsRenamed({"id": "to", "_k": "_t"}), "to", "left")
+    p = p.join(edges.select("from", "to", "type", F.lit(True).alias("_e")).distinct(), ["from", "to", "type"], "left")
+    fine = F.coalesce((F.col("op") == "add_edge") & F.col("_f") & F.col("_t") & F.col("type").isin("call", "inject", "inherit", "reflect"), F.lit(False))
+    p = p.withColumn("_ok", fine)
+    from pyspark.sql.window import Window as W
+
+    nth = F.row_number().over(W.partitionBy("from", "to", "type", "_ok").orderBy("_seq"))
+    return p.select(*patch.columns, F.when(~F.col("_ok"), "rejected").when(F.col("_e") | (nth > 1), "duplicate").otherwise("applied").alias("status"))

@@ -29,3 +29,40 @@ def relations(cols: DataFrame) -> DataFrame:
     """Foreign keys: 1:1 where the child's column is its key or unique, else N:1."""
     fk = cols.filter("ref_table is not null")
     return fk.select("repo", F.col("table").alias("from_table"), F.col("column").alias("from_column"), F.col("ref_table").alias("to_table"), F.col("ref_column").alias("to_column"), F.when(F.col("primary_key") | F.col("unique"), "1:1").otherwise("N:1").alias("cardinality"))
+
+
+def column_key(columns):
+    """Column names as one comparable text: lower case, sorted."""
+    return F.array_join(F.array_sort(F.transform(columns, F.lower)), ",")
+
+
+def uniqueness(keys: DataFrame) -> DataFrame:
+    """keys(repo, table, basis, columns), basis one of primary_key, unique_constraint, unique_index, unique_column -> repo, table, colkey, basis: the strongest."""
+    rank = F.array_position(F.array(*map(F.lit, ("primary_key", "unique_constraint", "unique_index", "unique_column"))), F.col("basis"))
+    return keys.groupBy("repo", F.lower("table").alias("table"), column_key("columns").alias("colkey")).agg(F.min_by("basis", rank).alias("basis"))
+
+
+def cardinality(rels: DataFrame, tables: DataFrame, unique: DataFrame) -> DataFrame:
+    """rels(repo, type, from_table, from_columns, to_table, to_columns) with cardinality. Foreign keys: 1:1 where the child's columns are unique, else
+    N:1, unknown without the child's definition. Joins: by both sides, unknown where one is not defined."""
+    out = rels
+    for side in ("from", "to"):
+        t, k = f"{side}_table", f"_{side}_key"
+        out = out.withColumn(f"_{t}", F.lower(t)).withColumn(k, column_key(f"{side}_columns"))
+        u = unique.select("repo", F.col("table").alias(f"_{t}"), F.col("colkey").alias(k), F.lit(True).alias(f"_{side}_one"))
+        known = tables.select("repo", F.lower("table").alias(f"_{t}"), F.lit(True).alias(f"_{side}_known")).distinct()
+        out = out.join(u, ["repo", f"_{t}", k], "left").join(known, ["repo", f"_{t}"], "left")
+    one, other, fk = F.col("_from_one").isNotNull(), F.col("_to_one").isNotNull(), F.col("type") == "foreign_key"
+    unknown = F.col("_from_known").isNull() | (~fk & F.col("_to_known").isNull())
+    c = F.when(unknown, "unknown").when(fk, F.when(one, "1:1").otherwise("N:1")).when(one & other, "1:1").when(one, "1:N").when(other, "N:1").otherwise("N:M")
+    return out.select(*rels.columns, c.alias("cardinality"))
+
+
+def many_to_many(foreign_keys: DataFrame, unique: DataFrame) -> DataFrame:
+    """foreign_keys(repo, table, ord, columns, ref_table) -> repo, via_table, from_table, to_table: all pairs of keys of a table whose key columns together are unique.
+    Keys go by ord, then columns and target. The keys of one table fit in a row; pairs are made within it."""
+    g = foreign_keys.groupBy("repo", F.lower("table").alias("table")).agg(F.sort_array(F.collect_list(F.struct("ord", "columns", "ref_table"))).alias("k"))
+    g = g.filter(F.size("k") > 1).withColumn("colkey", column_key(F.flatten(F.transform("k", lambda x: x["columns"]))))
+    j = g.join(unique.select("repo", "table", "colkey"), ["repo", "table", "colkey"], "left_semi").select("repo", F.col("table").alias("via_table"), "k", F.posexplode("k").alias("_i", "a"))
+    rest = F.slice("k", F.col("_i") + 2, F.size("k"))
+    return j.select("repo", "via_table", F.col("a.ref_table").alias("from_table"), F.explode(rest).alias("b")).select("repo", "via_table", "from_table", F.col("b.ref_table").alias("to_table"))

@@ -23,3 +23,23 @@ def rank(items: DataFrame, query: list[str], id_col: str, text_col: str, top: in
     low = F.lower(F.col(text_col))
     score = sum((F.when(F.array_contains(own, q), 5).otherwise(0) + F.when(F.contains(low, F.lit(q)), 2).otherwise(0) for q in query), F.lit(0))
     return items.select(F.col(id_col).alias("item"), score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "item").limit(top)
+
+
+def candidates(index: DataFrame, query: DataFrame) -> DataFrame:
+    """index(token, item) and query(token) -> query token, item, distinct. A query token without postings falls back to all vocabulary
+    that contains it or is contained in it: the comparison runs over distinct tokens, against the broadcast rows of the query."""
+    vocabulary = index.select("token").distinct()
+    exact = query.join(vocabulary, "token", "left_semi").select(F.col("token").alias("query"), "token")
+    open_ = F.broadcast(query.join(vocabulary, "token", "left_anti").select(F.col("token").alias("query")))
+    near = vocabulary.join(open_, F.contains("token", "query") | F.contains("query", "token")).select("query", "token")
+    return exact.unionByName(near).join(index, "token").select("query", "item").distinct()
+
+
+def search_records(records: DataFrame, text: str, limit: int = 100) -> DataFrame:
+    """Records whose JSON form contains the text, without regard to case: a report of the first ones by all columns."""
+    return records.filter(F.contains(F.lower(F.to_json(F.struct(*records.columns))), F.lit(text.lower()))).orderBy(*records.columns).limit(limit)
+
+
+def page(df: DataFrame, order: list[str], offset: int, size: int = 200) -> DataFrame:
+    """One page of a report, at most 200 rows."""
+    return df.orderBy(*order).offset(offset).limit(min(size, 200))

@@ -76,3 +76,25 @@ def dao_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     files = s.select(F.concat(F.lit("dao"), (F.col("s_suppkey") % 20).cast("string")).alias("repo"), F.concat(F.lit("src/D"), k, F.lit(".java")).alias("path"), content.alias("content"))
     return files.withColumn("size", F.octet_length("content").cast("long")).withColumn("mtime", F.timestamp_seconds(F.lit(0)))
+
+
+def service_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Java service per part, in 40 repos; each calls the service 40 keys on and has it injected."""
+    k = F.col("p_partkey").cast("string")
+    n = (F.col("p_partkey") + 40).cast("string")
+    content = F.concat(
+        F.lit("package svc;\n\npublic class S"), k, F.lit(" {\n  @Autowired private S"), n, F.lit(" next;\n  /* void gone"), k, F.lit("() {\n  } */\n  public void run"), k,
+        F.lit("(String id) {\n    // never"), k, F.lit("();\n    help"), k, F.lit("(\"{ run0() \");\n    if (id.isEmpty()) { return; }\n  }\n  private void help"), k, F.lit("(String s) { s"), n, F.lit(".run"), n, F.lit("(s); }\n}\n"),
+    )
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("svc"), (F.col("p_partkey") % 40).cast("string")).alias("repo"), F.concat(F.lit("src/S"), k, F.lit(".java")).alias("path"), content.alias("content"))
+    return files.withColumn("size", F.octet_length("content").cast("long")).withColumn("mtime", F.timestamp_seconds(F.lit(0)))
+
+
+def report_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Markdown report per supplier, in 10 repos, that refers to files of dao_corpus."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k = F.col("s_suppkey").cast("string")
+    content = F.concat(
+        F.lit("# Report\n\nIntro.\n\n## Known Issues and risk\n- HIGH leak in `src/D"), k, F.lit(".java:3`\n- shared remark\n### Detail\n* medium case (src/D"), k, F.lit(".java:400)\n\n## Usage\nSee src/X"), k, F.lit(".java:1 and src/D"), k, F.lit(".java:3.\n")
+    )
+    return s.select(F.concat(F.lit("dao"), (F.col("s_suppkey") % 20).cast("string")).alias("repo"), F.concat(F.lit("docs/r"), k, F.lit(".md")).alias("path"), content.alias("content"))
