@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from cairn.jobs import queries as core
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def main() -> None:
@@ -24,7 +25,7 @@ def main() -> None:
     took = {}
     for name, query in core.queries().items():
         runs = []
-        for _ in range(3):
+        for _ in range(RUNS):
             began = time.time()
             query(spark, SF).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - began)
