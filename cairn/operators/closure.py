@@ -1,52 +1,62 @@
-"""Bounded fixpoints over edges: router prefixes and transaction scopes. Each round is checkpointed, so lineage stays short."""
+"""Fixpoints over edges, as many rounds as the longest chain of new finds: router prefixes and transaction scopes. Each round is written to the shared folder, so lineage stays short and a lost
+executor costs one round at most."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import join_path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+class Rounds:
+    """One table in the shared folder of spark.checkpoint.dir that grows by a folder a round; small rounds are read back as few partitions.
+    A folder of our own only where the setting is unset."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+        self.spark, self.root, self.paths = spark, f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}", []
 
-def mount_prefixes(mounts: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.paths):04d}"
+        df.write.parquet(path)
+        self.schema = df.schema
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
+def mount_prefixes(mounts: DataFrame, roots: DataFrame) -> DataFrame:
     """mounts(repo, owner, target, prefix) and roots(repo, module) -> repo, module, prefix: every prefix under which a module is reached.
     A module is passed once along a chain, so mount cycles end; mounts without a known prefix (null) lead nowhere."""
     known = mounts.filter("prefix is not null").select("repo", F.col("owner").alias("module"), "target", F.col("prefix").alias("step")).distinct()
-    front = cut(roots.select("repo", "module", F.lit("/").alias("prefix"), F.array("module").alias("chain")).distinct())
-    reached = [front]
-    for _ in range(rounds):
+    known = Rounds(mounts.sparkSession).add(known)
+    done = Rounds(mounts.sparkSession)
+    front = done.add(roots.select("repo", "module", F.lit("/").alias("prefix"), F.array("module").alias("chain")).distinct())
+    while True:
         nxt = front.join(known, ["repo", "module"]).filter(~F.array_contains("chain", F.col("target")))
-        front = cut(nxt.select("repo", F.col("target").alias("module"), join_path(F.col("prefix"), F.col("step")).alias("prefix"), F.concat("chain", F.array("target")).alias("chain")).distinct())
+        front = done.add(nxt.select("repo", F.col("target").alias("module"), join_path(F.col("prefix"), F.col("step")).alias("prefix"), F.concat("chain", F.array("target")).alias("chain")).distinct())
         if front.isEmpty():
             break
-        reached.append(front)
-    out = reached[0]
-    for r in reached[1:]:
-        out = out.unionByName(r)
-    return out.select("repo", "module", "prefix").distinct()
+    return done.all().select("repo", "module", "prefix").distinct()
 
 
-def scope(entries: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def scope(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """entries(repo, entry) and edges(repo, from, to) -> repo, entry, method: all methods reached from an entry, itself included."""
-    step = edges.select("repo", F.col("from").alias("method"), "to").distinct()
-    seen = front = cut(entries.select("repo", "entry", F.col("entry").alias("method")).distinct())
-    for _ in range(rounds):
+    step = Rounds(edges.sparkSession).add(edges.select("repo", F.col("from").alias("method"), "to").distinct())
+    done = Rounds(edges.sparkSession)
+    front = done.add(entries.select("repo", "entry", F.col("entry").alias("method")).distinct())
+    while True:
         nxt = front.join(step, ["repo", "method"]).select("repo", "entry", F.col("to").alias("method")).distinct()
-        front = cut(nxt.join(seen, ["repo", "entry", "method"], "left_anti"))
+        front = done.add(nxt.join(done.all(), ["repo", "entry", "method"], "left_anti"))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+    return done.all()
 
 
 def in_transaction(calls: DataFrame, scopes: DataFrame) -> DataFrame:

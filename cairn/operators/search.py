@@ -19,10 +19,11 @@ def document_frequency(index: DataFrame) -> DataFrame:
 
 def rank(items: DataFrame, query: list[str], id_col: str, text_col: str, top: int = 200) -> DataFrame:
     """The best items by token hits (5 each) and substring hits (2 each)."""
-    own = tokens(F.col(text_col))
-    low = F.lower(F.col(text_col))
-    score = sum((F.when(F.array_contains(own, q), 5).otherwise(0) + F.when(F.contains(low, F.lit(q)), 2).otherwise(0) for q in query), F.lit(0))
-    return items.select(F.col(id_col).alias("item"), score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "item").limit(top)
+    hit = lambda q: F.contains(F.lower(F.col(text_col)), F.lit(q.lower()))
+    # A token is a stretch of the text, so a row without any substring hit scores nothing: those go before texts are split, and each other text is split once.
+    found = items.filter(F.exists(F.array(*(hit(q) for q in query)), lambda x: x)).select(F.col(id_col).alias("item"), F.array(*(hit(q) for q in query)).alias("_hits"), tokens(F.col(text_col)).alias("_own"))
+    score = sum((F.when(F.array_contains("_own", q), 5).otherwise(0) + F.when(F.col("_hits")[i], 2).otherwise(0) for i, q in enumerate(query)), F.lit(0))
+    return found.select("item", score.alias("score")).orderBy(F.desc("score"), "item").limit(top)
 
 
 def candidates(index: DataFrame, query: DataFrame) -> DataFrame:
