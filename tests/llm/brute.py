@@ -14,6 +14,11 @@ def sha(x: str | bytes) -> str:
     return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
 
 
+def grams(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return Counter([(w,) for w in words] + list(zip(words, words[1:], strict=False)))
+
+
 def op2_base(text):
     t = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)

@@ -1,6 +1,8 @@
 """Each operator against plain Python, with nulls, empty and long texts, ties, repeats, and clashing extra columns."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +61,20 @@ def test_quality(spark, docs):
     assert {r.kept for r in quality.assess(docs, labels.limit(0)).filter("not base_failed").collect()} == {True}
 
 
+@pytest.mark.parametrize("hot", [1 << 19, 40, 0])
+def test_quality_ratios(spark, docs, hot):
+    """Each word and word pair has its own count, and broadcast and shuffled ratios are the same."""
+    grams = [brute.grams(t) for t in texts()]
+    raw, target = sum(grams, grams[9]), grams[5] + grams[6]
+    ratio = lambda g: math.log((target[g] + 1) / (target.total() + len(raw))) - math.log((raw[g] + 1) / (raw.total() + len(raw)))
+    labels = spark.createDataFrame([(5, 1, 0), (6, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    q = quality.assess(docs.union(docs.filter("doc_id = 9")), labels.union(labels), hot=hot).collect()
+    assert len(q) == len(grams) + 1
+    for r in q:
+        g = grams[r.doc_id]
+        assert r.llr is None if not g else r.llr == pytest.approx(sum(ratio(x) * n for x, n in g.items()) / g.total(), abs=1e-9)
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix_dedup(docs, hot):
     got = answers(suffix_dedup.remove_repeats(docs, length=60, gram=30, hot_runs=hot).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").alias("r"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h")), "n_bytes", "r", "s", "h")
