@@ -3,7 +3,8 @@ r"""Count-only Viterbi for a unigram vocabulary.
 The vocabulary is a table of pieces with scores; a text is a blank mark and its characters with blanks written as that mark. The best
 segmentation has the greatest sum of scores. Ties go as in the reference tokenizers' lattice: starts are
 processed from left to right and an end keeps its first best start, so of equal ones the longest last piece stays. A character
-without a piece of its own is unknown at the least score less 10, and neighbouring unknowns count as one piece.
+without a piece of its own is unknown at the least score less 10. If the vocabulary has byte pieces, an unknown character counts
+one piece per UTF-8 byte (byte fallback); if not, neighbouring unknowns count as one piece.
 
 An Aho-Corasick automaton enumerates the pieces that end at each place, longest first; the dynamic programme carries best score and
 piece count only. As no piece holds a blank mark behind another character, texts fall apart before each run of blanks; each
@@ -34,10 +35,19 @@ def read_pieces(path: str) -> dict[str, float]:
     return {p.IdToPiece(i): p.GetScore(i) for i in range(p.GetPieceSize()) if not (p.IsControl(i) or p.IsUnknown(i) or p.IsUnused(i) or p.IsByte(i))}
 
 
+def has_byte_pieces(path: str) -> bool:
+    """Whether unknown characters are spelt by byte pieces."""
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    return any(p.IsByte(i) for i in range(p.GetPieceSize()))
+
+
 class Counter:
-    def __init__(self, pieces: dict[str, float]):
+    def __init__(self, pieces: dict[str, float], byte_fallback: bool = False):
         import ahocorasick
 
+        self.byte_fallback = byte_fallback
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
@@ -79,7 +89,10 @@ class Counter:
             if not single and (best is None or self.unknown + score[i] > best):
                 best, start, lone = self.unknown + score[i], i, True
             score[i + 1], unknown[i + 1] = best, lone
-            count[i + 1] = count[start] + (not (lone and unknown[start]))
+            if lone and self.byte_fallback:
+                count[i + 1] = count[start] + len(part[i].encode())
+            else:
+                count[i + 1] = count[start] + (not (lone and unknown[start]))
         return count[n], score[n]
 
     def count(self, text: str | None) -> tuple[int, float]:
@@ -111,7 +124,7 @@ PARTS = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
 
 def _counts(path: str):
     def run(batches):
-        counter = Counter(read_pieces(path))
+        counter = Counter(read_pieces(path), has_byte_pieces(path))
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)

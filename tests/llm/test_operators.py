@@ -141,6 +141,20 @@ def test_viterbi():
             assert c.count(text)[0] == len(t.encode(text, add_special_tokens=False).ids), text[:50]
 
 
+def test_viterbi_byte_fallback(spark):
+    from tokenizers import Tokenizer, models, normalizers
+
+    path = P.path("piece_bpe_32k.model")
+    pieces = token_counts.read_pieces(path)
+    spelt = [(f"<0x{i:02X}>", 0.0) for i in range(256)]
+    t = Tokenizer(models.Unigram([("<unk>", 0.0), *spelt, *pieces.items()], 0, True))
+    t.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    rows = list(enumerate([*texts(), "a\n\nb", "龘" * 6, "a 龘\t龘é\n", "\n", "\u1200\u1201 x\U0001f9ff\U0001f9ff"]))
+    got = answers(token_counts.count_pieces(spark.createDataFrame(rows, "doc_id long, text string"), path), "n_pieces")
+    assert got == {i: (len(t.encode(x, add_special_tokens=False).ids) if x else 0,) for i, x in rows}
+    assert got[len(texts()) + 1] == (19,)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard.jaccard_classes(none).count() == suffix_dedup.remove_repeats(none).count() == secret_scan.scan_secrets(none).count() == 0
