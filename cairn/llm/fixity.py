@@ -32,9 +32,15 @@ def record_bytes(url: Column, payload: Column) -> Column:
     )
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", per_file: int = 4096) -> DataFrame:
-    """file, offset, length, digest, id: pages as records of files, per_file ids each, in id order."""
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", per_file: int = 4096, damaged: Column | None = None) -> DataFrame:
+    """file, offset, length, digest, id: pages as records of files, per_file ids each, in id order. Where `damaged` holds, the record
+    has another first byte of its payload (of what follows it, if it is empty)."""
     raw = record_bytes(F.col(url_col), F.col(body_col))
+    if damaged is not None:
+        raw = raw.cast("binary")
+        at = (F.octet_length(raw) - F.octet_length(F.coalesce(F.col(body_col), F.lit(""))) - 3).cast("int")
+        x, y = F.lit(b"x"), F.lit(b"y")
+        raw = F.when(damaged, F.overlay(raw, F.when(F.substring(raw, at, F.lit(1)) == x, y).otherwise(x), at, F.lit(1))).otherwise(raw)
     r = pages.select(F.col(id_col).alias("id"), F.floor(F.coalesce(F.col(id_col), F.lit(-1)) / per_file).cast("long").alias("file"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
     run = W.partitionBy("file").orderBy("id", "digest").rowsBetween(W.unboundedPreceding, W.currentRow)
     return r.withColumn("offset", F.sum("length").over(run) - F.col("length")).select("file", "offset", "length", "digest", "id")

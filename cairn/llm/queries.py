@@ -81,10 +81,15 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica of all pages in which every 11th record has one byte changed and every 17th is lost."""
-    primary = fixity.records(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    damaged = F.when(F.col("id") % 11 == 3, F.sha2(F.concat("digest", F.lit("!")), 256)).otherwise(F.col("digest"))
-    replica = primary.filter("id % 17 <> 5 or id is null").withColumn("digest", damaged)
-    return fixity.audit(primary, replica).join(primary.select("file", "offset", "id"), ["file", "offset"]).select(F.col("id").alias("page_id"), "file", "offset", "problem", "length")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    primary = fixity.records(pages)
+    replica = fixity.records(pages, damaged=F.coalesce(F.col("page_id") % 11 == 3, F.lit(False))).filter("id % 17 <> 5 or id is null")
+    return _named(fixity.audit(primary, replica), primary)
+
+
+def _named(problems: DataFrame, primary: DataFrame) -> DataFrame:
+    """Problems with the primary's page_id, null for added records."""
+    return problems.join(primary.select("file", "offset", "id"), ["file", "offset"], "left").select(F.col("id").alias("page_id"), "file", "offset", "problem", "length")
 
 
 def op10_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

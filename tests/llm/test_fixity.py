@@ -1,8 +1,10 @@
 """Merkle audits against a plain comparison of the records."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from cairn.llm import fixity
+from cairn.llm import fixity, queries
 
 SCHEMA = "page_id long, url string, html string, file string"
 
@@ -39,3 +41,21 @@ def test_equal_and_empty_replicas(spark):
     assert fixity.audit(none, none).count() == 0
     assert {r.problem for r in fixity.audit(none, primary).collect()} == {"added"}
     assert {r.problem for r in fixity.audit(primary, none).collect()} == {"missing"}
+
+
+def test_replica_is_hashed_from_damaged_bytes(spark):
+    bodies = ["xa", "é", "", None, "ab"]
+    pages = spark.createDataFrame([(i, "u", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    primary, replica = fixity.records(pages), fixity.records(pages, damaged=F.col("page_id") < 4)
+    got = {r.id: (r.offset, r.length, r.digest) for r in replica.collect()}
+    for r in primary.collect():
+        body = (bodies[r.id] or "").encode()
+        tail = body + b"\r\n\r\n"
+        if r.id < 4:
+            tail = (b"y" if tail[:1] == b"x" else b"x") + tail[1:]
+        whole = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: u\r\nContent-Length: %d\r\n\r\n" % len(body) + tail
+        assert got[r.id] == (r.offset, r.length, hashlib.sha256(whole).hexdigest())
+    added = primary.filter("id = 4").withColumn("file", F.lit(9).cast("long"))
+    rows = queries._named(fixity.audit(primary, replica.unionByName(added)), primary).collect()
+    assert sorted((r.problem, r.page_id) for r in rows if r.problem == "changed") == [("changed", i) for i in range(4)]
+    assert [(r.page_id, r.file) for r in rows if r.problem == "added"] == [(None, 9)]
