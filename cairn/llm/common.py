@@ -1,43 +1,91 @@
-"""What the operators of this subpackage share: the shared folder, written tables, label propagation."""
+"""What the operators of this subpackage share: the shared folder, written tables, joins with hot keys, connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[str] = []
+#: A key that holds more than this part of all rows is hot; there are at most so many of them, however the rows are spread.
+HOT_KEYS = 10_000
+
+#: Folders that `materialize` wrote, and in whose name.
+_written: dict[str, str] = {}
+_names = [""]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own;
+    on a cluster no folder of one machine will do."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cairn.shared.dir", None)
     if not where:
-        where = spark.conf.get("cairn.shared.dir", None)
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="cairn-")
-            spark.conf.set("cairn.shared.dir", where)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        spark.conf.set("cairn.shared.dir", where)
     return where.rstrip("/")
 
 
 def materialize(df: DataFrame, codec: str = "lz4") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later steps neither recompute it nor
-    depend on the executors that made it. `release` removes the files."""
+    depend on the executors that made it. `discard` and `release` remove the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = _names[-1]
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that `materialize` returned, once nothing that is still to run reads them."""
+    for t in tables:
+        path = getattr(t, "written_at", None) if t is not None else None
+        if path in _written:
+            del _written[path]
+            spark = t.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession, *keep: DataFrame, of: str | None = None) -> None:
+    """Delete all that `materialize` wrote (in the name of `of`, if given) but `keep`. Call it after the results have been written."""
+    kept = {getattr(t, "written_at", None) for t in keep}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p, name in _written.items() if p not in kept and of in (None, name)]:
+        del _written[path]
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that `materialize` wrote. Call it after the results have been written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def in_name_of(name: str) -> Iterator[None]:
+    """Tables written within are `release`d by this name."""
+    _names.append(name)
+    try:
+        yield
+    finally:
+        _names.pop()
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """left joined (inner, left or left_anti) with right, which has each key once and in `n` how many rows of left have it.
+
+    Keys with more than a HOT_KEYS-th of these rows are broadcast: there are at most HOT_KEYS of them. All other rows meet by a
+    shuffle, in which no key can hold more than that share. left is read twice, so it should be a written table."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) > total / HOT_KEYS
+    hot, cold = (right.filter(c) for c in (is_hot, F.coalesce(~is_hot, F.lit(True))))
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    if how == "left_anti":
+        return rest.join(cold.select(*on), on, "left_anti")
+    return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -46,7 +94,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps, so that a hub never meets its neighbours' neighbours in
     one task and the number of rounds grows with the logarithm of the longest path. Every step is a
     grouped minimum (combined before the shuffle) and a join on the node. Ids that occur in no pair are
-    absent from the result. Self-pairs and pairs with a null are ignored."""
+    absent from the result. Self-pairs and pairs with a null are ignored. Only the last round's table stays."""
 
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()
@@ -70,13 +118,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        e = materialize(star(star(e, True), False))
+        last, e = e, materialize(star(star(e, True), False))
+        discard(last)
         after = state(e)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("a").alias("id"), F.col("b").alias("root")).union(
-        e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
-    )
+    out = e.select(F.col("a").alias("id"), F.col("b").alias("root")).union(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    out.written_at = e.written_at
+    return out
