@@ -10,11 +10,12 @@ Calibration: on the training texts that a language has won, the mean of the cros
 character; a text more than `reject_sigmas` of both, the latter over the root of its length, above the mean is rejected (as is `und`). The score is the winner's
 posterior over `evidence` characters at most.
 
-The model holds at most `max_grams` grams per language (most frequent first, ties by hash), so what is broadcast is bounded.
+The models are fitted on about `max_training` labelled documents of each language, those of smallest hash, with whole texts and all their grams: that is
+the only bound, and none applies to a language with fewer. Models of more than `MODEL_NUMBERS` numbers are refused rather than broadcast.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, and rejected; null languages are not learned; with no
 training texts at all everything is `und`; equal cross-entropies go to the first language in string order; repeated rows count and
-are answered each; further columns are ignored.
+are answered each; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import discard, materialize
 from .textbytes import mix
 
 ORDER = 4
-MAX_GRAMS = 400_000
-SLICE_CHARS = 1 << 20
+MAX_TRAINING = 100_000
+#: Numbers of four bytes that a broadcast model may have: grams times languages, or grams of all languages while they are counted.
+MODEL_NUMBERS = 1 << 26
+SLICE_CHARS = 1 << 18
 SPACE = 32
 
 _fold: list[np.ndarray] = []
@@ -114,24 +117,20 @@ def _count(order: int):
     return run
 
 
-def count_grams(training: DataFrame, order: int, max_grams: int) -> DataFrame:
-    """training(lang, t) -> lang, gram, n: at most max_grams rows per language."""
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
-    counts = training.filter("lang is not null and t is not null").select("lang", "t").mapInArrow(_count(order), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the bound by a cut in the counts of counts, not by sorting all grams of a language in one task
-    return counts if max_grams is None else _bounded(counts, max_grams)
+def training_sample(docs: DataFrame, most: int) -> DataFrame:
+    """Of docs(id, lang, t) those with text and language, about `most` of each language: rows under a bar on the hash of id and text."""
+    rows = docs.filter("lang is not null and t is not null")
+    share = {r.lang: most / r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect() if r.n > most}
+    if not share:
+        return rows
+    bar = F.coalesce(F.create_map(*(F.lit(x) for kv in sorted(share.items()) for x in kv))[F.col("lang")], F.lit(1.0))
+    return rows.filter(F.pmod(F.xxhash64("id", "t"), F.lit(1 << 30)) < bar * (1 << 30))
 
 
-def _bounded(counts: DataFrame, max_grams: int) -> DataFrame:
-    counts = materialize(counts)
-    cut: dict[str, tuple[int, int]] = {}
-    for r in counts.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("m")).orderBy("lang", F.desc("n")).collect():
-        low, have = cut.get(r.lang, (1, 0))
-        if have >= 0:
-            cut[r.lang] = (r.n, have + r.m) if have + r.m <= max_grams else (r.n + 1, -1)
-    if all(have >= 0 for _, have in cut.values()):
-        return counts
-    return counts.join(F.broadcast(counts.sparkSession.createDataFrame([(k, v[0]) for k, v in cut.items()], "lang string, least long")), "lang").filter("n >= least").select("lang", "gram", "n")
+def count_grams(training: DataFrame, order: int) -> DataFrame:
+    """training(lang, t) -> lang, gram, n."""
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
+    return training.select("lang", "t").mapInArrow(_count(order), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -252,14 +251,21 @@ def matrix_hash(codes: np.ndarray) -> np.ndarray:
     return mix(h + np.uint64(n))
 
 
-def train(training: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
+def train(training: DataFrame, order: int = ORDER) -> Model:
     """training(lang, t) -> model."""
-    counts = count_grams(training, order, max_grams).toPandas()
-    model = Model({lang: (g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in counts.groupby("lang")}, order)
-    return model
+    counts = materialize(count_grams(training, order))
+    size = counts.agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), F.count_distinct("gram").alias("grams")).first()
+    if max(size.n, 2 * size.grams * size.langs) > MODEL_NUMBERS:
+        raise ValueError(f"{size.grams} grams of {size.langs} languages are too many to broadcast: lower max_training or the order")
+    rows = counts.toPandas()
+    discard(counts)
+    return Model({lang: (g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in rows.groupby("lang")}, order)
+
 
+ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("n_letters", T.LongType())]
 
-def _predict(model, evidence: int):
+
+def _predict(model, evidence: int, carried: list[str]):
     def run(batches):
         m = model.value
         for part in _slices(batches):
@@ -270,27 +276,21 @@ def _predict(model, evidence: int):
             low = ce[rows, best] if m.langs else np.zeros(len(n))
             score = 1 / np.exp(-(ce - low[:, None]) * np.minimum(n, evidence)[:, None]).sum(1) if m.langs else np.zeros(len(n))
             pred = [m.langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
-            kept = [x for x in part.schema.names if x != "t"]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(x) for x in kept), pa.array(pred, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(low, pa.float64(), mask=~some), pa.array(n, pa.int64())],
-                names=[*kept, "lang_pred", "score", "cross_entropy", "n_letters"],
+                [*(part.column(x) for x in carried), pa.array(pred, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(low, pa.float64(), mask=~some), pa.array(n, pa.int64())],
+                names=[*carried, *(f.name for f in ADDED)],
             )
 
     return run
 
 
-def identify(
-    documents: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    order: int = ORDER, max_grams: int = MAX_GRAMS, evidence: int = 20, reject_sigmas: float = 6.0,
-) -> DataFrame:
-    """id_col, held_out, lang_pred, score, cross_entropy, rejected: a row per document. Rows for which held_out is
-    true are not learned from."""
-    spark = documents.sparkSession
-    held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
-    docs = documents.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
-    model = train(docs.filter("not held_out"), order, max_grams)
-    schema = T.StructType([*docs.schema.fields[:3], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("n_letters", T.LongType())])
-    found = materialize(docs.mapInArrow(_predict(spark.sparkContext.broadcast(model), evidence), schema))
+def judge(docs: DataFrame, carried: list[str], order: int, max_training: int, evidence: int, reject_sigmas: float) -> DataFrame:
+    """docs(id, lang, held_out, t, ...) -> the carried columns, the prediction and whether it is rejected. Two passes over the texts: to count, and to predict."""
+    spark = docs.sparkSession
+    model = train(training_sample(docs.filter("not held_out"), max_training), order)
+    kept = [*carried, *(c for c in ("lang", "held_out") if c not in carried)]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *ADDED])
+    found = materialize(docs.mapInArrow(_predict(spark.sparkContext.broadcast(model), evidence, kept), schema))
     won = found.filter("not held_out and lang = lang_pred").groupBy("lang")
     x, n = F.col("cross_entropy"), F.col("n_letters")
     stats = won.agg(F.avg(x).alias("m"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias("s"), F.avg(n * x * x).alias("nxx"), F.avg(n * x).alias("nx"), F.avg(n).alias("n")).collect()
@@ -299,11 +299,27 @@ def identify(
     per_root = {r.lang: reject_sigmas * max(r.nxx - 2 * r.m * r.nx + r.m**2 * r.n, 0.0) ** 0.5 for r in stats}
     of = lambda d: F.create_map(*(F.lit(v) for kv in sorted(d.items()) for v in kv))[F.col("lang_pred")] if d else F.lit(None).cast("double")
     limit = of(fixed) + of(per_root) / F.sqrt(n)
-    rejected = (F.col("lang_pred") == "und") | F.coalesce(F.col("cross_entropy") > limit, F.lit(False))
-    return found.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", "cross_entropy", rejected.alias("rejected"))
+    return found.withColumn("rejected", (F.col("lang_pred") == "und") | F.coalesce(F.col("cross_entropy") > limit, F.lit(False)))
 
 
-def keep_identified(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, with all their columns, whose language is not rejected. Ids are taken as unique: rows that share one go together."""
-    bad = identify(documents, None, id_col, **options).filter("rejected").select(F.col(id_col).alias("_bad")).distinct()
-    return documents.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def identify(
+    documents: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    order: int = ORDER, max_training: int = MAX_TRAINING, evidence: int = 20, reject_sigmas: float = 6.0,
+) -> DataFrame:
+    """id_col, held_out, lang_pred, score, cross_entropy, rejected: a row per document. Rows for which held_out is
+    true are not learned from."""
+    held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
+    docs = documents.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
+    found = judge(docs, ["id"], order, max_training, evidence, reject_sigmas)
+    return found.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def keep_identified(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, max_training: int = MAX_TRAINING, evidence: int = 20, reject_sigmas: float = 6.0
+) -> DataFrame:
+    """The documents, with all their columns, whose language is not rejected. The prediction is written beside the rows, which so need not be
+    shuffled to meet their verdict."""
+    own = [f"c{i}" for i in range(len(documents.columns))]
+    at = dict(zip(documents.columns, own, strict=True))
+    docs = documents.toDF(*own).select("*", F.col(at[id_col]).alias("id"), F.col(at[lang_col]).cast("string").alias("lang"), F.lit(False).alias("held_out"), F.col(at[text_col]).cast("string").alias("t"))
+    return judge(docs, own, order, max_training, evidence, reject_sigmas).filter("not rejected").select(*own).toDF(*documents.columns)

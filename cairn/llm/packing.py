@@ -183,7 +183,7 @@ def _tokenize(path: str, end: int, dims: int, bits: int):
     def run(batches):
         cache, rows = word_cache(path), projection(dims)
         for batch in batches:
-            for lo, hi, _, _ in text_slices(batch.column("t"), 2 << 20):
+            for lo, hi, _, _ in text_slices(batch.column("t"), 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 ids = [np.append(x, np.uint32(end)) for x in cache.encode([t or "" for t in part.column("t").to_pylist()])]
                 size = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -2,41 +2,64 @@
 
 Each stage works on what the one before kept; all but the last return documents with their columns. `run` writes
 each stage's result to the shared folder and reads it again, so that a lost executor costs one stage at most.
+
+A stage's input is a written table: when a stage begins, the result of the one before it has been written, so it first deletes the tables that
+that one wrote for itself. Disk use is that of one stage, not of all.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, jaccard, langid, packing, secret_scan
-from cairn.llm.common import materialize
+from cairn.llm.common import discard, in_name_of, materialize, release
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """f, after the tables of the stage before it are deleted."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, docs, of="pipeline")
+        with in_name_of("pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language."""
     return langid.keep_identified(docs)
 
 
+@_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each component."""
     return jaccard.keep_one(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts; n_chars follows the text."""
+    """Replaces secrets that look live; n_chars follows the text."""
     out = secret_scan.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences."""
     p = packing.pack(docs, public_tokenizers.path(TOKENIZER))
@@ -52,5 +75,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)
+    release(spark, of="pipeline")
     return docs
