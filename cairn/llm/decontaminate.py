@@ -1,10 +1,12 @@
 """Benchmark decontamination over training suffix arrays.
 
 Documents stay where they are: each slice of a partition is a shard. Over the words of a shard that occur in
-the benchmark at all, a suffix array is sorted (the suffixes that could hold a whole window); every test
-suffix is then looked up in it by binary search, and runs of found windows give the longest verbatim match
-of each item in each document, with its place. The benchmark is the only thing that is sent around:
-it is cut into blocks of at most `block_bytes`, one pass over the documents each, so its size is bounded.
+the benchmark at all, a suffix array is made by prefix doubling, a suffix ending before the next other word; every test
+suffix is then looked up in it by binary search over its first `window` words, and found windows that follow each other in both texts are the
+longest verbatim match of each item in each document, with its place.
+
+The benchmark is the only thing that is sent around: it is cut into blocks of `block_bytes` at most (an item is not cut), one pass over the
+documents each. What a pass has found is written before the next block is read, so that driver and workers hold one block at a time.
 
 Words: A-Z lower-cased, then runs of 0-9, a-z and everything beyond ASCII. A window is `window` consecutive words
 of an item; a shorter item is one window as a whole.
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import discard, materialize
 from .textbytes import ALNUM_WORD, LOWER, text_slices, word_hashes
 
 WINDOW = 10
@@ -66,6 +69,21 @@ def as_keys(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows, ">u4").view(f"S{rows.shape[1] * 4}").ravel()
 
 
+def suffix_order(code: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Places with a known word, in the order of the suffixes of `room` words that begin there: prefix doubling."""
+    at = np.flatnonzero(room > 0)
+    rank = np.append(code, 0).astype(np.int64)
+    step, longest = 1, int(room.max(initial=0))
+    while True:
+        follow = np.where(room[at] > step, rank[np.minimum(at + step, len(code))], 0)
+        names, own = np.unique(rank[at] * (len(code) + int(code.max(initial=0)) + 2) + follow, return_inverse=True)
+        rank = np.zeros(len(code) + 1, np.int64)
+        rank[at] = own + 1
+        step *= 2
+        if len(names) == len(at) or step >= longest:
+            return at[np.argsort(own, kind="stable")]
+
+
 def search_shard(data: np.ndarray, offsets: np.ndarray, test: TestSuffixes):
     """For a shard's documents: word counts, and found windows as (document, word, length, item, item word)."""
     h, doc, first = word_hashes(LOWER[data], offsets, ALNUM_WORD)
@@ -74,17 +92,17 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, test: TestSuffixes):
     if len(h) and len(test.vocabulary):
         place = np.searchsorted(test.vocabulary, h)
         place[place == len(test.vocabulary)] = 0
-        code = np.where(test.vocabulary[place] == h, place + 1, 0).astype(">u4")
+        code = np.where(test.vocabulary[place] == h, place + 1, 0)
         # room[p]: known words from p on within the document
         stop = np.flatnonzero(np.append(code == 0, True))
         room = np.minimum(stop[np.searchsorted(stop, np.arange(len(h)))], first[doc + 1]) - np.arange(len(h))
+        # a shard without room for any window needs no array
+        order = suffix_order(code, room) if room.max() >= min(test.windows) else none
         for size, (keys, item, at) in test.windows.items():
-            suffix = np.flatnonzero(room >= size)
+            suffix = order[room[order] >= size]
             if not len(suffix):
                 continue
             own = as_keys(code[suffix[:, None] + np.arange(size)])
-            order = np.argsort(own, kind="stable")
-            suffix, own = suffix[order], own[order]
             lo, hi = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
             n = hi - lo
             if not n.any():
@@ -126,13 +144,27 @@ def summarize(words: np.ndarray, found, test: TestSuffixes) -> list[dict]:
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, window: int):
-    """TestSuffixes of each block; a block is read to the driver only when it is used, and is at most about block_bytes."""
+    """(TestSuffixes of a block, whether it is the last); a block is read to the driver only when it is used, and is about block_bytes at most."""
     b = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
     total = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = 1 + total // block_bytes
     for k in range(n):
         rows = b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).distinct().orderBy("i", "t").collect()
-        yield TestSuffixes([r.i for r in rows], [r.t for r in rows], window)
+        yield TestSuffixes([r.i for r in rows], [r.t for r in rows], window), k + 1 == n
+
+
+def _passes(docs: DataFrame, blocks, step: Callable) -> DataFrame:
+    """docs after step(docs, broadcast block) for each block; all but the last result are written, and their block is dropped."""
+    spark, before = docs.sparkSession, None
+    for test, last in blocks:
+        block = spark.sparkContext.broadcast(test)
+        docs = step(docs, block)
+        if not last:
+            docs = materialize(docs)
+            block.unpersist(blocking=False)
+            discard(before)
+            before = docs
+    return docs
 
 
 def _scan(text_col: str, test, finish: Callable):
@@ -170,7 +202,6 @@ def find_contamination(
     window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """id_col, n_words, hits (disjoint word ranges), matches (the longest per item): a row per document."""
-    spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = T.StructType([docs.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(SPAN)), T.StructField("matches", T.ArrayType(MATCH))])
     hits, matches = (pa.list_(pa.struct([(f.name, pa.string() if f.name == "item_id" else pa.int64()) for f in k.fields])) for k in (SPAN, MATCH))
@@ -192,19 +223,17 @@ def find_contamination(
             names=["id", "t", "n_words", "hits", "matches"],
         )
 
-    for test in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes, window):
-        found = found.mapInArrow(_scan("t", spark.sparkContext.broadcast(test), finish), carried)
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes, window)
+    found = _passes(found, blocks, lambda d, test: d.mapInArrow(_scan("t", test, finish), carried))
     return found.select(F.col("id").alias(id_col), "n_words", "hits", "matches")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs. No shuffle."""
-    spark, schema = documents.sparkSession, documents.schema
+    schema = documents.schema
 
     def finish(part, rows):
         return part.filter(pa.array([not r["hits"] for r in rows], pa.bool_()))
 
-    kept = documents
-    for test in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes, window):
-        kept = kept.mapInArrow(_scan(text_col, spark.sparkContext.broadcast(test), finish), schema)
-    return kept
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes, window)
+    return _passes(documents, blocks, lambda d, test: d.mapInArrow(_scan(text_col, test, finish), schema))
