@@ -61,23 +61,34 @@ def test_quality(spark, docs):
     assert {r.kept for r in quality.assess(docs, labels.limit(0)).filter("not base_failed").collect()} == {True}
 
 
-@pytest.mark.parametrize("hot", [1 << 19, 40, 0])
-def test_quality_ratios(spark, docs, hot):
-    """Each word and word pair has its own count, and broadcast and shuffled ratios are the same."""
-    grams = [brute.grams(t) for t in texts()]
+@pytest.mark.parametrize("few", [1 << 21, 1])
+def test_quality_ratios(spark, docs, few):
+    """Scores, threshold and verdict in full, from the bins of words and word pairs; broadcast and shuffled ratios are the same."""
+    n_bins = quality.bins(docs.select(F.col("text").alias("t")).union(docs.filter("doc_id = 9").select("text")))
+    assert n_bins == 1 << (math.ceil(sum(len((t or "").encode()) for t in [*texts(), texts()[9]]).bit_length() / 2) + 4)
+    pieces = sorted({x for t in texts() for g in brute.grams(t) for x in g})
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in pieces], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = sorted({g for t in texts() for g in brute.grams(t) if len(g) == 2})
+    two = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h")).collect()}
+    of = lambda g: (hashed[g[0]] if len(g) == 1 else two[g]) % n_bins
+    grams = [Counter(of(g) for g, n in brute.grams(t).items() for _ in range(n)) for t in texts()]
     raw, target = sum(grams, grams[9]), grams[5] + grams[6]
-    ratio = lambda g: math.log((target[g] + 1) / (target.total() + len(raw))) - math.log((raw[g] + 1) / (raw.total() + len(raw)))
+    ratio = lambda g: math.log((target[g] + 1) / (target.total() + n_bins)) - math.log((raw[g] + 1) / (raw.total() + n_bins))
+    score = [sum(ratio(x) * n for x, n in g.items()) / g.total() if g else None for g in grams]
     labels = spark.createDataFrame([(5, 1, 0), (6, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
-    q = quality.assess(docs.union(docs.filter("doc_id = 9")), labels.union(labels), hot=hot).collect()
+    q = quality.assess(docs.union(docs.filter("doc_id = 9")), labels.union(labels), broadcast_bins=few).collect()
     assert len(q) == len(grams) + 1
+    low, high = sorted(score[5:7])
+    threshold = low + 0.005 * (high - low) - 0.495 * (high - low)
     for r in q:
-        g = grams[r.doc_id]
-        assert r.llr is None if not g else r.llr == pytest.approx(sum(ratio(x) * n for x, n in g.items()) / g.total(), abs=1e-9)
+        want = score[r.doc_id]
+        assert r.llr is None if want is None else r.llr == pytest.approx(want, abs=1e-9)
+        assert r.threshold == pytest.approx(threshold, abs=1e-9) and r.kept == (not r.base_failed and want >= threshold - 1e-12)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix_dedup(docs, hot):
-    got = answers(suffix_dedup.remove_repeats(docs, length=60, gram=30, hot_runs=hot).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").alias("r"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h")), "n_bytes", "r", "s", "h")
+@pytest.mark.parametrize("group", [1 << 20, 500, 100])
+def test_suffix_dedup(docs, group):
+    got = answers(suffix_dedup.remove_repeats(docs, length=60, gram=30, group_bytes=group).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").alias("r"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h")), "n_bytes", "r", "s", "h")
     assert got == dict(enumerate(brute.op3(texts(), 60)))
 
 
@@ -112,7 +123,10 @@ def test_language_id(spark):
     assert all(out[i].lang_pred == "und" and out[i].rejected for i in (100, 101, 102))
 
 
-def test_jaccard(docs):
+@pytest.mark.parametrize("hot", [200, 1])
+def test_jaccard(docs, monkeypatch, hot):
+    """Also with every shingle that is shared by more than one group followed by chains."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
     got = answers(jaccard.jaccard_classes(docs), "n_shingles", "component_id")
     assert got == brute.op7(list(enumerate(texts())))
 
