@@ -90,8 +90,8 @@ def router_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scopes(spark, sf_dir):
     k = F.col("s_suppkey")
     s = _t(spark, sf_dir, "supplier").withColumn("repo", (k % 1).cast("string"))
-    edges = s.select("repo", _text("s_suppkey").alias("from"), F.explode(F.array((k * 2).cast("string"), (k * 3).cast("string"), F.floor(k / 4).cast("string"))).alias("to"))
-    return closure.scope(s.filter(k % 25 == 0).select("repo", _text("s_suppkey").alias("entry")), edges.filter(F.col("to").cast("long") > 24))
+    edges = s.select("repo", _text("s_suppkey").alias("from"), F.explode(F.array(F.floor(k / 2).cast("string"), F.floor(k / 3).cast("string"), F.when(k == 1, "5").otherwise("0"))).alias("to"))
+    return closure.scope(s.select("repo", _text("s_suppkey").alias("entry")), edges.filter("to <> '0'"))
 
 
 def transaction_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +111,10 @@ def _star(spark, sf_dir):
 
 
 def hub_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _star(spark, sf_dir)
-    return graph.hubs(graph.degrees(nodes.filter("id like '%3'"), edges)).select("id", "in_degree")
+    """Customers and their market segments."""
+    c = _t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), _text("c_custkey")).alias("from"), F.col("c_mktsegment").alias("to"))
+    nodes = c.select(F.col("from").alias("id")).union(c.select("to").distinct())
+    return graph.hubs(graph.degrees(nodes, c)).select("id", "in_degree")
 
 
 def top_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,8 +227,8 @@ def queries() -> dict:
 
 _P = "p AS (SELECT p_partkey AS k, 'svc' || (p_partkey % 40) AS repo FROM part)"
 _F = "f AS (SELECT source AS repo, doc_id, 'm' || (doc_id % 3) || '/n' || (doc_id % 5) || '/f' || doc_id || '.' || ['java','ts','py','sql','rpt','xml','jsp','md'][doc_id % 8 + 1] AS path, doc_id % 8 AS e FROM documents)"
-_SC = """s AS (SELECT s_suppkey AS k FROM supplier), g AS (SELECT * FROM (SELECT k AS f, unnest([k * 2, k * 3, k // 4]) AS t FROM s) WHERE t > 24),
-r AS (SELECT k AS entry, k AS m FROM s WHERE k % 25 = 0 UNION SELECT entry, t FROM r JOIN g ON g.f = r.m)"""
+_SC = """s AS (SELECT s_suppkey AS k FROM supplier), g AS (SELECT * FROM (SELECT k AS f, unnest([k // 2, k // 3, CASE WHEN k = 1 THEN 5 ELSE 0 END]) AS t FROM s) WHERE t > 0),
+r AS (SELECT k AS entry, k AS m FROM s UNION SELECT entry, t FROM r JOIN g ON g.f = r.m)"""
 _G = "g AS (SELECT DISTINCT 's' || l_suppkey AS f, 'p' || l_partkey AS t FROM lineitem), n AS (SELECT 'p' || p_partkey AS id FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier)"
 _R = """s AS (SELECT s_suppkey AS k, 'dao' || (s_suppkey % 20) AS repo, 'docs/r' || s_suppkey || '.md' AS doc FROM supplier),
 r AS (SELECT repo, doc, 'src/D' || k || '.java' AS file, 3 AS line, 'OK' AS status FROM s UNION ALL SELECT repo, doc, 'src/D' || k || '.java', 400, 'OUT_OF_RANGE' FROM s UNION ALL SELECT repo, doc, 'src/X' || k || '.java', 1, 'MISSING' FROM s)"""
@@ -248,7 +250,7 @@ ORACLE = {
  SELECT 'r' AS repo, CAST(k AS VARCHAR) AS module, CASE WHEN prefix = '' THEN '/' ELSE prefix END AS prefix FROM r""",
     "transaction_scope": f"WITH RECURSIVE {_SC} SELECT CAST(entry AS VARCHAR) AS entry, CAST(m AS VARCHAR) AS method FROM r",
     "external_in_transaction": f"WITH RECURSIVE {_SC} SELECT CAST(k AS VARCHAR) AS method, k IN (SELECT m FROM r) AS in_transaction FROM s",
-    "hub_nodes": f"WITH {_G}, h AS (SELECT id FROM n WHERE id LIKE '%3') SELECT id, count(*) AS in_degree FROM h JOIN g ON g.t = id GROUP BY id HAVING count(*) >= (SELECT greatest(5, ceil(count(*) * 15 / 100.0)) FROM h)",
+    "hub_nodes": "SELECT c_mktsegment AS id, count(*) AS in_degree FROM customer GROUP BY c_mktsegment HAVING count(*) >= (SELECT greatest(5, ceil((count(*) + count(DISTINCT c_mktsegment)) * 15 / 100.0)) FROM customer)",
     "top_hubs": f"WITH {_G} SELECT id, count(t) AS in_degree FROM n LEFT JOIN g ON g.t = id GROUP BY id ORDER BY in_degree DESC, id LIMIT 15",
     "visible_edges": f"WITH {_G}, v AS (SELECT id FROM n WHERE id NOT LIKE '%4') SELECT f AS source_id, t AS target_id FROM g WHERE f IN (SELECT id FROM v) AND t IN (SELECT id FROM v)",
     "edge_patch": f"""WITH {_G}, a AS (SELECT l_partkey AS k, 's' || l_suppkey AS f, 'p' || (l_partkey * 2) AS t FROM lineitem),

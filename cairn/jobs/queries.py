@@ -78,8 +78,10 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dead_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _star_graph(spark, sf_dir)
-    return graph.dead(nodes, edges.filter("`from` like '%1'"))
+    """Documents that no label points to."""
+    text = F.col("doc_id").cast("string")
+    edges = _t(spark, sf_dir, "labels").select(F.concat(F.lit("label"), text).alias("from"), text.alias("to"))
+    return graph.dead(_t(spark, sf_dir, "documents").select(text.alias("id")), edges)
 
 
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,8 +170,8 @@ m AS (SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id %
 s AS (SELECT coalesce(f.repo, m.repo) AS repo, coalesce(f.path, m.path) AS path, CASE WHEN f.path IS NULL THEN 'removed' WHEN f.hash = m.old THEN 'reused' ELSE 'analyze' END AS status
  FROM f FULL OUTER JOIN m ON f.repo = m.repo AND f.path = m.path)"""
 _TOK = """tok AS (SELECT DISTINCT doc_id, unnest(list_concat(
- string_split(lower(regexp_replace(text, '[^A-Za-z0-9_.$-]+', ' ', 'g')), ' '),
- string_split(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '))) AS token FROM documents)"""
+ string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}_.$-]+', ' ', 'g')), ' '),
+ string_split(lower(regexp_replace(regexp_replace(text, '([\\p{Ll}\\p{N}])(\\p{Lu})', '\\1 \\2', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '))) AS token FROM documents)"""
 
 ORACLE = {
     "api_match": f"WITH {_E}, {_C} SELECT e.file AS endpoint_file, c.file AS consumer_file, path_pattern FROM e JOIN c USING (path_pattern)",
@@ -183,7 +185,7 @@ ORACLE = {
     "refresh_counts": f"""WITH {_S} SELECT repo, count(*) FILTER (WHERE status <> 'removed') AS files, count(*) FILTER (WHERE status = 'analyze') AS analyzed,
  count(*) FILTER (WHERE status = 'reused') AS reused, count(*) FILTER (WHERE status = 'removed') AS removed FROM s GROUP BY repo""",
     "degrees": f"""WITH {_G} SELECT id, (SELECT count(*) FROM g WHERE t = id) AS in_degree, (SELECT count(*) FROM g WHERE f = id) AS out_degree FROM n""",
-    "dead_nodes": f"WITH {_G} SELECT id FROM n WHERE id NOT IN (SELECT t FROM g WHERE f LIKE '%1')",
+    "dead_nodes": "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "dangling_edges": f"""WITH {_G} SELECT f AS source_id, t AS target_id, 'to' AS side FROM g WHERE t LIKE '%7' OR t NOT IN (SELECT id FROM n)""",
     "resolve_calls": """WITH n AS (SELECT DISTINCT 'r' || p_size AS repo, regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS name, 'T' || (p_partkey % 40) AS own FROM part),
 c AS (SELECT p_partkey AS k, 'r' || p_size AS repo, regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS name, CASE WHEN p_partkey % 2 = 0 THEN 't' || (p_partkey % 40) END AS q FROM part),

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: a reference such as `src/a.ts:12` in running text.
-REFERENCE = r"(?m)(?:^|[\s`(])([\w@+~./\\-]+\.[A-Za-z0-9]+:\d+)"
-PLACEHOLDER = r"(?i)\[TODO:|TBD"
-
 
 def check_schema(df: DataFrame, key: list[str], rules: list[tuple]) -> DataFrame:
     """key, column, rule for each broken rule; rules are (column, "required"), (column, "enum", values) or (column, "minimum", least). One pass, no shuffle."""
@@ -30,9 +26,13 @@ def check_evidence_paths(facts: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def source_references(docs: DataFrame) -> DataFrame:
-    """repo, doc, file, line: distinct references of each document (repo, path, content)."""
-    r = docs.select("repo", F.col("path").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(REFERENCE), F.lit(1)))).alias("_r"))
-    return r.select("repo", "doc", F.regexp_extract("_r", r"^(.*):\d+$", 1).alias("file"), F.regexp_extract("_r", r":(\d+)$", 1).try_cast("bigint").alias("line"))
+    """repo, doc, file, line: distinct references such as `src/a.ts:12` of each document (repo, path, content). Words between blanks, backticks and brackets
+    are taken apart at colons: a file with an extension, then a number."""
+    word = F.split("content", r"[\s`()\[\]<>,;\"']+")
+    part = F.transform(word, lambda w: F.split(F.rtrim(w, F.lit(".")), ":"))
+    is_ref = lambda p: (F.size(p) >= 2) & F.get(p, F.size(p) - 1).rlike(r"^[0-9]+$") & F.get(p, F.size(p) - 2).rlike(r"^[\w@+~./\\-]*\.[A-Za-z0-9]+$")
+    found = F.transform(F.filter(part, is_ref), lambda p: F.struct(F.get(p, F.size(p) - 2).alias("file"), F.get(p, F.size(p) - 1).try_cast("bigint").alias("line")))
+    return docs.select("repo", F.col("path").alias("doc"), F.explode(F.array_distinct(found)).alias("_r")).select("repo", "doc", "_r.file", "_r.line")
 
 
 def check_line_references(references: DataFrame, files: DataFrame) -> DataFrame:

@@ -17,7 +17,11 @@ class Rounds:
     A folder of our own only where the setting is unset."""
 
     def __init__(self, spark: SparkSession) -> None:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="spark-")
         self.spark, self.root, self.paths = spark, f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}", []
 
     def add(self, df: DataFrame) -> DataFrame:

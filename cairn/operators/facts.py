@@ -14,7 +14,8 @@ from .contracts import lines
 METHOD = r"^\s*(?!return\b|new\b|else\b|throw\b)(?:(?:public|protected|private|static|final)\s+)*[A-Za-z][A-Za-z0-9_<>\[\], ]*\s+([A-Za-z_][A-Za-z0-9_]*)\s*\([^)]*\)\s*[{;]"
 STATEMENT = r'@(?:Query|Select|Insert|Update|Delete)\(\s*(?:value\s*=\s*)?"([^"]+)"'
 TRANSACTION = r"^\s*@Transactional\b"
-PROPAGATION = r"propagation\s*=\s*(?:Propagation\.)?([A-Z_]+)"
+#: The last part of what `propagation` is set to.
+PROPAGATION = r"\bpropagation\b[ \t]*=[ \t]*(?:\w+[ \t]*\.[ \t]*)*(\w+)"
 ENVIRONMENT = r"(?:System\.getenv\(\s*[\"']|process\.env\.|os\.environ\[\s*[\"'])([A-Za-z_][A-Za-z0-9_]*)"
 #: Kinds of external calls with their marks.
 EXTERNAL = {
@@ -27,12 +28,29 @@ EXTERNAL = {
 }
 
 
+#: Words after which a table is named, and words that end a list of tables.
+NAMES_TABLE = ("from", "join", "update", "into", "table")
+ENDS_LIST = ("where", "group", "order", "having", "on", "set", "select", "values", "limit", "union", "left", "right", "inner", "outer", "full", "cross", "natural", "using")
+
+
 def sql_tables(sql: Column) -> Column:
-    """Distinct table names after FROM, JOIN, UPDATE, INTO and TABLE, lists after FROM included, in order of first mention per kind."""
-    one = F.regexp_extract_all(sql, F.lit(r"(?i)\b(?:from|join|update|into|table)\s+([A-Za-z0-9_.]+)"), F.lit(1))
-    listed = F.regexp_extract_all(sql, F.lit(r"(?i)\bfrom\s+([A-Za-z0-9_.]+[^,()]*(?:,\s*[A-Za-z0-9_.]+(?:\s+(?!where\b)[A-Za-z_]+)?)+)"), F.lit(1))
-    names = F.flatten(F.transform(listed, lambda x: F.transform(F.split(x, ","), lambda y: F.regexp_extract(y, r"^\s*([A-Za-z0-9_.]+)", 1))))
-    return F.array_distinct(F.concat(one, names))
+    """Distinct table names in order of first mention: a walk over words, commas and brackets, quotes left out. A table is the word after FROM, JOIN, UPDATE,
+    INTO or TABLE, and after each comma of a list that FROM began."""
+    words = F.regexp_extract_all(F.regexp_replace(sql, "[\"`\\[\\]]", ""), F.lit(r"[\p{L}\p{N}_.$]+|[,()]"), F.lit(0))
+    state = F.struct(F.lit(False).alias("due"), F.lit(False).alias("list"), F.array().cast("array<string>").alias("names"))
+
+    def step(s: Column, w: Column) -> Column:
+        low = F.lower(w)
+        names = low.isin(*NAMES_TABLE)
+        word = ~low.isin(",", "(", ")")
+        # of IF NOT EXISTS behind TABLE nothing is a name
+        skip = low.isin("if", "not", "exists", "only")
+        due = F.when(names, True).when(s["due"] & skip, True).when(low == ",", s["list"]).otherwise(False)
+        listed = F.when(low == "from", True).when(names | low.isin(*ENDS_LIST, "(", ")"), False).otherwise(s["list"])
+        found = F.when(s["due"] & word & ~skip & ~names & ~low.isin(*ENDS_LIST), F.concat(s["names"], F.array(w))).otherwise(s["names"])
+        return F.struct(due.alias("due"), listed.alias("list"), found.alias("names"))
+
+    return F.array_distinct(F.aggregate(words, state, step, lambda s: s["names"]))
 
 
 def extract_statements(files: DataFrame) -> DataFrame:

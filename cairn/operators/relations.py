@@ -5,30 +5,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE = r"(?is)create\s+table\s+([A-Za-z0-9_.]+)\s*\((.*?)\)\s*;"
+#: Quotes around names, and comments to the end of a line.
+NOISE = r"[\"`\[\]]|--[^\n]*"
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """repo, file, sql: statements without quotes and line comments; the last one need not end in a semicolon."""
+    return files.select("repo", F.col("path").alias("file"), F.explode(F.split(F.regexp_replace("content", NOISE, ""), ";")).alias("sql"))
 
 
 def extract_ddl(files: DataFrame) -> DataFrame:
     """repo, file, table, body: one row per CREATE TABLE."""
-    names, bodies = (F.regexp_extract_all("content", F.lit(TABLE), F.lit(g)) for g in (1, 2))
-    z = F.arrays_zip(names.alias("table"), bodies.alias("body"))
-    return files.select("repo", F.col("path").alias("file"), F.explode(z).alias("_t")).select("repo", "file", F.col("_t.table").alias("table"), F.col("_t.body").alias("body"))
+    made = r"(?is)^\s*create\s+(?:\w+\s+)?table\s+(?:if\s+not\s+exists\s+)?([\w.$]+)\s*\((.*)\)[^()]*$"
+    s = statements(files).filter(F.col("sql").rlike(made))
+    return s.select("repo", "file", F.regexp_extract("sql", made, 1).alias("table"), F.regexp_extract("sql", made, 2).alias("body"))
+
+
+def extract_indexes(files: DataFrame) -> DataFrame:
+    """repo, file, index, table, unique, columns: one row per CREATE INDEX."""
+    made = r"(?is)^\s*create\s+(unique\s+)?index\s+(?:if\s+not\s+exists\s+)?([\w.$]+)\s+on\s+([\w.$]+)[^(]*\(([^()]*)\)"
+    s, part = statements(files).filter(F.col("sql").rlike(made)), lambda g: F.regexp_extract("sql", made, g)
+    return s.select("repo", "file", part(2).alias("index"), part(3).alias("table"), (part(1) != "").alias("unique"), _names(part(4)).alias("columns"))
+
+
+def attach_indexes(tables: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Indexes with the table of the same file that they are on, told by its full or its simple name."""
+    simple = lambda c: F.lower(F.substring_index(c, ".", -1))
+    t = tables.select("repo", "file", F.col("table").alias("_t"), simple(F.col("table")).alias("_s")).distinct()
+    j = indexes.withColumn("_s", simple(F.col("table"))).join(t, ["repo", "file", "_s"])
+    j = j.filter((F.lower("table") == F.lower("_t")) | ~F.contains("table", F.lit(".")) | ~F.contains("_t", F.lit(".")))
+    return j.select("repo", "file", "index", F.col("_t").alias("table"), "unique", "columns")
+
+
+def _names(listed):
+    return F.transform(F.split(listed, ","), lambda x: F.regexp_extract(F.trim(x), r"^[\w$]+", 0))
 
 
 def columns(tables: DataFrame) -> DataFrame:
-    """repo, table, column, primary_key, unique, ref_table, ref_column: entries split at commas outside brackets."""
-    c = tables.select("repo", "table", F.explode(F.split("body", r",(?![^()]*\))")).alias("_c")).withColumn("_c", F.trim(F.regexp_replace("_c", r"\s+", " ")))
-    ref = r"(?i)references ([A-Za-z0-9_.]+) ?\( ?([A-Za-z0-9_]+) ?\)"
-    return c.select(
-        "repo", "table", F.regexp_extract("_c", r"^([A-Za-z0-9_]+)", 1).alias("column"), F.col("_c").rlike(r"(?i)\bprimary key\b").alias("primary_key"), F.col("_c").rlike(r"(?i)\bunique\b").alias("unique"),
-        F.nullif(F.regexp_extract("_c", ref, 1), F.lit("")).alias("ref_table"), F.nullif(F.regexp_extract("_c", ref, 2), F.lit("")).alias("ref_column"),
+    """repo, table, column, primary_key, unique (alone: its own key, or the only column of one), ref_table, ref_column. Entries are split at commas outside
+    brackets and told apart before any name is taken: keys of the table are given to the columns they name."""
+    entry = F.transform(F.split("body", r",(?![^()]*\))"), lambda e: F.trim(F.regexp_replace(e, r"\s+", " ")))
+    d = tables.select("repo", "table", F.filter(entry, lambda e: e != "").alias("_e"))
+    rule = lambda e: F.upper(F.regexp_replace(e, r"(?i)^constraint [\w$]+ ", ""))
+    keyed = lambda e: rule(e).rlike(r"^(PRIMARY KEY|FOREIGN KEY|UNIQUE|KEY|INDEX|CHECK|EXCLUDE|FULLTEXT)\b")
+    target = r"(?i)\breferences ([\w.$]+) ?(?:\(([^()]*)\))?"
+    key = lambda e: F.named_struct(
+        F.lit("kind"), F.regexp_extract(rule(e), r"^\w+", 0), F.lit("own"), _names(F.regexp_extract(e, r"\(([^()]*)\)", 1)),
+        F.lit("to"), F.regexp_extract(e, target, 1), F.lit("theirs"), _names(F.regexp_extract(e, target, 2)),
+    )
+    d = d.select("repo", "table", F.transform(F.filter("_e", keyed), key).alias("_k"), F.explode(F.filter("_e", lambda e: ~keyed(e))).alias("_c"))
+    name = F.regexp_extract("_c", r"^[\w$]+", 0)
+    of = lambda *kinds: F.filter("_k", lambda k: k["kind"].isin(*kinds) & F.exists(k["own"], lambda x: F.lower(x) == F.lower(name)))
+    foreign = F.get(of("FOREIGN"), 0)
+    place = F.array_position(F.transform(foreign["own"], F.lower), F.lower(name)).cast("int") - 1
+    said = lambda p: F.col("_c").rlike(rf"(?i)\b{p}\b")
+    some = lambda c: F.nullif(c, F.lit(""))
+    return d.select(
+        "repo", "table", name.alias("column"), (said("primary key") | (F.size(of("PRIMARY")) > 0)).alias("primary_key"),
+        (said("primary key") | said("unique") | F.exists(of("PRIMARY", "UNIQUE"), lambda k: F.size(k["own"]) == 1)).alias("unique"),
+        F.coalesce(some(F.regexp_extract("_c", target, 1)), some(foreign["to"])).alias("ref_table"),
+        F.coalesce(some(F.get(_names(F.regexp_extract("_c", target, 2)), 0)), some(F.get(foreign["theirs"], place))).alias("ref_column"),
     )
 
 
 def relations(cols: DataFrame) -> DataFrame:
-    """Foreign keys: 1:1 where the child's column is its key or unique, else N:1."""
+    """Foreign keys: 1:1 where the child's column is unique by itself, else N:1."""
     fk = cols.filter("ref_table is not null")
-    return fk.select("repo", F.col("table").alias("from_table"), F.col("column").alias("from_column"), F.col("ref_table").alias("to_table"), F.col("ref_column").alias("to_column"), F.when(F.col("primary_key") | F.col("unique"), "1:1").otherwise("N:1").alias("cardinality"))
+    return fk.select("repo", F.col("table").alias("from_table"), F.col("column").alias("from_column"), F.col("ref_table").alias("to_table"), F.col("ref_column").alias("to_column"), F.when(F.col("unique"), "1:1").otherwise("N:1").alias("cardinality"))
 
 
 def column_key(columns):

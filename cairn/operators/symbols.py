@@ -1,7 +1,7 @@
-"""Classes, methods, call sites and injections of brace languages.
+"""Classes, methods, call sites and injections of brace languages and Python.
 
-A small helper blanks comments and finds where blocks close; all else are array functions within a file's row, so extraction shuffles nothing.
-Methods are found on one line: parameters that run over several lines are not seen."""
+A small helper blanks comments and literals and tells where blocks close. All else are column functions over the blanked text of a file's row:
+declarations are found as heads (words, a name, brackets, what leads to the brace) and judged by their words, so they may run over lines."""
 
 from __future__ import annotations
 
@@ -12,70 +12,131 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import spans
 from ..sources.corpus import extension
 
-TOKEN = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|[{}\n]')
-CLASS = r"\b(?:class|interface|enum|record|object)\s+([A-Za-z_]\w*)"
-JVM = r"^\s*(?:@\w+\s+)*(?:(public|protected|private|internal)\s+)?(?:(?:static|final|abstract|synchronized|override|open|suspend|async)\s+)*(?:fun\s+)?(?:[\w<>,.?\[\]]+\s+)?(\w+)\s*\([^;{}]*\)\s*(?:throws\s+[^{]+)?\{"
-SCRIPT = r"^\s*()(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s+)?(?:(?:public|private|protected|static)\s+)*(\w+)\s*\([^)]*\)\s*\{"
-GO = r"^\s*()func\s*(?:\([^)]*\)\s*)?(\w+)\s*\([^)]*\)[^{]*\{"
-PATTERNS = {("java", "kt", "cs"): JVM, ("js", "ts", "tsx", "vue"): SCRIPT, ("go",): GO}
-CALL = r"\b((?:[A-Za-z_$][\w$]*\s*\.\s*)?[A-Za-z_$][\w$]*)\s*\("
-INJECT = r"@(?:Autowired|Inject|Resource(?:\([^)]*\))?)\s+(?:private\s+|protected\s+|public\s+|lateinit\s+var\s+|val\s+|var\s+)?([A-Z][\w.]*)\s+\w+"
-#: What looks like a call or a method but is none.
+BRACES = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|[{}\n]')
+INDENT = re.compile(r'"""[\s\S]*?(?:"""|\Z)|\'\'\'[\s\S]*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|#[^\n]*|[{}\n]')
+WORDS = re.compile(r"[^\n]")
+
+_IN_BRACKETS = r"\((?:[^(){};]++|\([^(){};]*+\))*+\)"
+#: words, name, brackets, and what leads to the brace: at most one more pair of brackets
+HEAD = rf"(?m)^([^\n(){{}};=]*?)\b([A-Za-z_$][\w$]*)[ \t]*(?:<[^<>()\n]*>[ \t]*)?{_IN_BRACKETS}[^(){{}};=]*+(?:\([^(){{}};]*\)[^(){{}};=]*+)?\{{"
+ARROW = r"(?m)^([^\n(){};=]*)\b([A-Za-z_$][\w$]*)[ \t]*(?::[^\n=;]*)?=[ \t]*(?:async\b[ \t]*)?(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)|[A-Za-z_$][\w$]*)[^\n=;{}()]*=>[ \t]*\{?"
+TYPE = r"(?m)^([^\n(){};=]*)\b(?:class|interface|enum|record|object|struct)[ \t]+([A-Za-z_]\w*)([^{};]*)\{"
+CALLED = r"[A-Za-z_$][\w$]*(?:[ \t]*\.[ \t]*[A-Za-z_$][\w$]*)*(?=[ \t]*\()"
+INJECTED = r"@(?:Autowired|Inject|Resource)\b(?:\([^()]*\))?([^;{}=()@]*)"
+#: Languages, words that no method is named, words before a name that make it no declaration, and words that may stand before one.
+JVM = ("java", "kt", "cs")
+SCRIPT = ("js", "ts", "tsx", "vue")
 KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "do", "try", "synchronized", "function", "super", "this")
-LINES = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("end", T.IntegerType())]))
+NOT_BEFORE = ("new", "return", "else", "throw", "case", "await", "yield")
+BEFORE_SCRIPT = ("export", "default", "async", "function", "public", "private", "protected", "static", "override", "get", "set")
+DECLARES = ("const", "let", "var")
+VISIBILITY = ("public", "protected", "private", "internal")
+MODIFIERS = (*VISIBILITY, "final", "static", "readonly", "lateinit", "val", "var")
 
 
-def scan(content: str | None) -> list[dict]:
-    """Each line with comments blanked, and the line where the outermost block opened on it closes (null if none does). Null: no lines."""
-    if content is None:
-        return []
+def outline(content: str | None, indented: bool) -> dict:
+    """The text with comments and the insides of literals as blanks, and for each line the one where the outermost block opened on it closes (null if
+    none does). Null: empty."""
     ends, opened, line = {}, [], 1
-    for m in TOKEN.finditer(content):
+
+    def blank(m: re.Match) -> str:
+        nonlocal line
         t = m.group()
         if t == "{":
             opened.append(line)
         elif t == "}" and opened:
             ends[opened.pop()] = line
         line += t.count("\n")
-    clean = TOKEN.sub(lambda m: "\n" * m.group().count("\n") if m.group()[:2] in ("//", "/*") else m.group(), content)
-    return [{"line": i, "text": t, "end": ends.get(i)} for i, t in enumerate(clean.split("\n"), 1)]
+        if len(t) == 1:
+            return t
+        comment = t[0] == "#" or t[:2] in ("//", "/*")
+        return WORDS.sub(" ", t) if comment else t[0] + WORDS.sub(" ", t[1:-1]) + t[-1]
+
+    clean = (INDENT if indented else BRACES).sub(blank, content or "")
+    return {"clean": clean, "ends": [ends.get(i) for i in range(1, clean.count("\n") + 2)]}
 
 
-@F.pandas_udf(LINES)
-def clean_lines(content: pd.Series) -> pd.Series:
-    return content.map(scan)
+@F.pandas_udf(T.StructType([T.StructField("clean", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))]))
+def outlines(content: pd.Series, indented: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([outline(c, i) for c, i in zip(content, indented, strict=True)], columns=["clean", "ends"])
 
 
 def _inner(classes: Column, line: Column) -> Column:
-    """The innermost class whose lines hold the given one."""
+    """The class that begins last of those whose lines hold the given one."""
     return F.try_element_at(F.filter(classes, lambda c: (c["line"] <= line) & (line <= c["end"])), F.lit(-1))["name"]
 
 
+def _end(s: Column) -> Column:
+    return F.coalesce(F.get("ends", s["last"] - 1), s["last"])
+
+
+def _words(s: Column) -> Column:
+    return F.filter(F.split(s, r"\s+"), lambda x: x != "")
+
+
+def _listed(words: Column, names: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(words, F.array(*map(F.lit, names)))
+
+
+def _method(s: Column, end: Column, visibility: Column) -> Column:
+    owner = F.coalesce(_inner(F.col("classes"), s["line"]), F.lit(""))
+    return F.struct(s["b"].alias("name"), s["line"].alias("line"), s["last"].alias("body"), end.alias("end"), visibility.alias("visibility"), owner.alias("owner"))
+
+
+def _brace_methods() -> Column:
+    jvm, script = F.col("ext").isin(*JVM), F.col("ext").isin(*SCRIPT)
+    # a receiver is no part of a name's head
+    text = F.when(F.col("ext") == "go", F.regexp_replace("clean", r"(?m)^func[ \t]*\([^()\n]*\)", "func")).otherwise(F.col("clean"))
+
+    def declared(s: Column) -> Column:
+        w = _words(s["a"])
+        own = F.when(script, F.size(F.array_except(w, F.array(*map(F.lit, BEFORE_SCRIPT)))) == 0).when(F.col("ext") == "go", F.coalesce(F.get(w, 0) == "func", F.lit(False))).otherwise(True)
+        return own & ~_listed(w, NOT_BEFORE) & ~s["b"].isin(*KEYWORDS) & ~F.rtrim(s["a"]).endswith(".")
+
+    def seen(s: Column) -> Column:
+        said = F.get(F.array_intersect(_words(s["a"]), F.array(*map(F.lit, VISIBILITY))), 0)
+        return F.coalesce(said, F.when(jvm, "package").otherwise(""))
+
+    heads = F.transform(F.filter(spans(text, HEAD, 2), declared), lambda s: _method(s, _end(s), seen(s)))
+    arrows = F.when(script, F.filter(spans(F.col("clean"), ARROW, 2), lambda s: _listed(_words(s["a"]), DECLARES)))
+    block = lambda s: F.when(s["whole"].endswith("{"), _end(s)).otherwise(s["last"])
+    arrows = F.coalesce(F.transform(arrows, lambda s: _method(s, block(s), F.lit(""))), F.filter(heads, lambda s: F.lit(False)))
+    return F.array_sort(F.concat(heads, arrows), lambda x, y: x["line"] - y["line"])
+
+
+def _indented(keyword: str) -> Column:
+    """line, name, end, indent of Python blocks: they end before the next line that is indented no further."""
+    lines = F.transform(F.split("clean", "\n"), lambda t, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(t, r"^[ \t]*", 0)).alias("indent"), t.alias("t")))
+    full = F.filter(lines, lambda x: F.trim(x["t"]) != "")
+    pattern = rf"^[ \t]*(?:async[ \t]+)?{keyword}[ \t]+([A-Za-z_]\w*)"
+    found = F.filter(full, lambda x: x["t"].rlike(pattern))
+    after = lambda x: F.get(F.filter(full, lambda y: (y["line"] > x["line"]) & (y["indent"] <= x["indent"])), 0)["line"] - 1
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x["t"], pattern, 1).alias("name"), x["line"].alias("line"), F.coalesce(after(x), F.size(lines)).alias("end"), x["t"].alias("t")))
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """repo, file, package, lines, classes, methods: one row per file of a known language."""
+    """repo, file, package, clean, classes, methods: one row per file of a known language. The package of a Python file is its dotted path."""
     ext = extension(F.col("path"))
-    d = files.filter(ext.isin(*(e for k in PATTERNS for e in k))).select("repo", F.col("path").alias("file"), ext.alias("ext"), "content")
-    d = d.select("repo", "file", "ext", F.regexp_extract("content", r"(?m)^\s*(?:package|namespace)\s+([\w.]+)", 1).alias("package"), clean_lines("content").alias("lines"))
-    found = F.filter("lines", lambda x: x["text"].rlike(CLASS))
-    d = d.withColumn("classes", F.transform(found, lambda x: F.struct(F.regexp_extract(x["text"], CLASS, 1).alias("name"), x["line"].alias("line"), F.coalesce(x["end"], x["line"]).alias("end"))))
-
-    def methods(pattern: str) -> Column:
-        m = F.transform(
-            F.filter("lines", lambda x: x["text"].rlike(pattern)),
-            lambda x: F.struct(
-                F.regexp_extract(x["text"], pattern, 2).alias("name"), x["line"].alias("line"), F.coalesce(x["end"], x["line"]).alias("end"),
-                F.regexp_extract(x["text"], pattern, 1).alias("visibility"), F.coalesce(_inner(F.col("classes"), x["line"]), F.lit("")).alias("owner"),
-            ),
-        )
-        return F.filter(m, lambda x: ~x["name"].isin(*KEYWORDS))
-
-    cases = [(F.col("ext").isin(*k), methods(p)) for k, p in PATTERNS.items()]
-    case = F.when(*cases[0])
-    for c in cases[1:]:
-        case = case.when(*c)
-    return d.withColumn("methods", case).drop("ext")
+    d = files.filter(ext.isin(*JVM, *SCRIPT, "go", "py")).select("repo", F.col("path").alias("file"), ext.alias("ext"), "content")
+    python = F.col("ext") == "py"
+    named = F.regexp_extract("content", r"(?m)^\s*(?:package|namespace)\s+([\w.]+)", 1)
+    module = F.regexp_replace(F.translate(F.regexp_replace("file", r"(?:(?:^|/)__init__)?\.py$", ""), "/", "."), r"^(?:src\.)?", "")
+    d = d.select("repo", "file", "ext", F.when(python, module).otherwise(named).alias("package"), outlines("content", python).alias("_o")).select("repo", "file", "ext", "package", "_o.*")
+    parents = lambda tail, word: F.transform(F.filter(F.split(F.regexp_extract(tail, rf"\b{word}\s+([\w.$, \t]+?)\s*(?:\bimplements\b|$)", 1), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
+    colon = lambda tail: F.transform(F.split(F.regexp_extract(tail, r":\s*([^{]+)$", 1), ","), lambda x: F.regexp_extract(x, r"[\w.]+", 0))
+    some = lambda a: F.filter(a, lambda x: x != "")
+    brace = F.transform(
+        spans(F.col("clean"), TYPE, 3),
+        lambda s: F.struct(s["b"].alias("name"), s["line"].alias("line"), _end(s).alias("end"), some(F.concat(parents(F.trim(s["c"]), "extends"), colon(s["c"]))).alias("extends"), parents(F.trim(s["c"]), "implements").alias("implements")),
+    )
+    bases = lambda x: some(F.transform(F.split(F.regexp_extract(x["t"], r"\(([^()]*)\)", 1), ","), lambda y: F.trim(y)))
+    indent = F.transform(_indented("class"), lambda x: F.struct(x["name"].alias("name"), x["line"].alias("line"), x["end"].alias("end"), bases(x).alias("extends"), F.array().cast("array<string>").alias("implements")))
+    d = d.withColumn("classes", F.when(python, indent).otherwise(brace))
+    defs = F.transform(_indented("def"), lambda x: _method(F.struct(x["name"].alias("b"), x["line"].alias("line"), x["line"].alias("last")), x["end"], F.lit("")))
+    return d.withColumn("methods", F.when(python, defs).otherwise(_brace_methods())).drop("ext", "ends")
 
 
 def symbol_id(*parts: Column) -> Column:
@@ -89,20 +150,33 @@ def nodes(parsed: DataFrame) -> DataFrame:
     return c.unionByName(m)
 
 
+def build_symbols(parsed: DataFrame) -> DataFrame:
+    """repo, file, id, type, line, extends, implements, methods: each class with its methods, and functions outside of classes. Within a file's row."""
+    own = lambda c: F.transform(F.filter("methods", lambda m: m["owner"] == c), lambda m: F.struct(m["name"].alias("name"), symbol_id(F.col("package"), m["owner"], m["name"]).alias("id"), m["line"].alias("line"), m["visibility"].alias("visibility")))
+    none = F.array().cast("array<string>")
+    classes = F.transform("classes", lambda c: F.struct(symbol_id(F.col("package"), c["name"]).alias("id"), F.lit("class").alias("type"), c["line"].alias("line"), c["extends"].alias("extends"), c["implements"].alias("implements"), own(c["name"]).alias("methods")))
+    free = F.transform(F.filter("methods", lambda m: m["owner"] == ""), lambda m: F.struct(symbol_id(F.col("package"), m["name"]).alias("id"), F.lit("function").alias("type"), m["line"].alias("line"), none.alias("extends"), none.alias("implements"), F.filter(own(F.lit("")), lambda x: F.lit(False)).alias("methods")))
+    return parsed.select("repo", "file", F.inline(F.concat(classes, free)))
+
+
 def call_sites(parsed: DataFrame) -> DataFrame:
-    """repo, file, line, caller, name, qualifier (null if none): calls in method bodies; on the method's own line only what follows the brace counts."""
-    m = parsed.select("repo", "file", "package", "lines", F.explode("methods").alias("m"))
-    body = F.filter("lines", lambda x: (x["line"] >= F.col("m.line")) & (x["line"] <= F.col("m.end")))
-    x = m.select("repo", "file", symbol_id(F.col("package"), F.col("m.owner"), F.col("m.name")).alias("caller"), F.col("m.line").alias("first"), F.explode(body).alias("x"))
-    text = F.when(F.col("x.line") == F.col("first"), F.regexp_replace("x.text", r"^[^{]*\{", "")).otherwise(F.col("x.text"))
-    text = F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', '""')
-    c = x.select("repo", "file", F.col("x.line").alias("line"), "caller", F.explode(F.regexp_extract_all(text, F.lit(CALL), F.lit(1))).alias("_c")).withColumn("_p", F.split("_c", r"\s*\.\s*"))
-    c = c.select("repo", "file", "line", "caller", F.element_at("_p", -1).alias("name"), F.when(F.size("_p") > 1, F.col("_p")[0]).alias("qualifier"))
-    return c.filter(~F.col("name").isin(*KEYWORDS))
+    """repo, file, line, caller, name, qualifier (null if none): calls in method bodies; on the line where the body opens only what follows the brace
+    counts. Lines are taken apart once; each finds the method that holds it."""
+    x = parsed.select("repo", "file", "package", "methods", F.posexplode(F.split("clean", "\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
+    m = F.try_element_at(F.filter("methods", lambda m: (m["line"] <= F.col("line")) & (F.col("line") <= m["end"])), F.lit(-1))
+    x = x.withColumn("m", m).filter((F.col("m.name").isNotNull()) & (F.col("line") >= F.col("m.body")))
+    body = F.when(F.col("line") == F.col("m.body"), F.regexp_replace("text", r"^[^{]*?(?:\{|=>|\)[^():]*:)", "")).otherwise(F.col("text"))
+    caller = symbol_id(F.col("package"), F.col("m.owner"), F.col("m.name")).alias("caller")
+    c = x.select("repo", "file", "line", "m", caller, F.explode(F.regexp_extract_all(body, F.lit(CALLED), F.lit(0))).alias("_c")).withColumn("_p", F.split("_c", r"[ \t]*\.[ \t]*"))
+    c = c.select("repo", "file", "line", "caller", F.element_at("_p", -1).alias("name"), F.try_element_at("_p", F.lit(-2)).alias("qualifier"), ((F.col("line") == F.col("m.line")) & (F.element_at("_p", -1) == F.col("m.name"))).alias("_own"))
+    return c.filter(~F.col("name").isin(*KEYWORDS) & ~F.col("_own")).drop("_own")
 
 
 def injections(parsed: DataFrame) -> DataFrame:
-    """repo, file, line, caller (the class), name (the injected type): injected fields inside a class."""
-    x = parsed.select("repo", "file", "package", "classes", F.explode(F.filter("lines", lambda x: x["text"].rlike(INJECT))).alias("x"))
-    owner = _inner(F.col("classes"), F.col("x.line"))
-    return x.filter(owner.isNotNull()).select("repo", "file", F.col("x.line").alias("line"), symbol_id(F.col("package"), owner).alias("caller"), F.element_at(F.split(F.regexp_extract("x.text", INJECT, 1), r"\."), -1).alias("name"), F.lit(None).cast("string").alias("qualifier"))
+    """repo, file, line, caller (the class), name (the injected type): injected fields inside a class. A field is a type and a name (or, behind a colon, a type)."""
+    x = parsed.select("repo", "file", "package", "classes", F.explode(spans(F.col("clean"), INJECTED, 1)).alias("s"))
+    own = F.filter(_words(F.regexp_replace("s.a", r"<[^<>]*>", " ")), lambda w: ~w.isin(*MODIFIERS))
+    kind = F.when(F.contains("s.a", F.lit(":")), F.trim(F.element_at(F.split("s.a", ":"), -1))).when(F.size(own) == 2, own[0])
+    owner = _inner(F.col("classes"), F.col("s.line"))
+    x = x.filter(owner.isNotNull()).select("repo", "file", F.col("s.line").alias("line"), symbol_id(F.col("package"), owner).alias("caller"), F.element_at(F.split(kind, r"\."), -1).alias("name"), F.lit(None).cast("string").alias("qualifier"))
+    return x.filter("name is not null")

@@ -14,8 +14,7 @@ LARGEST = 4 * 1024 * 1024
 def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
     """files(repo, path, size, mtime, content): the first folder under root is the repo."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_extract("path", r"/([^/]+)/(.+)$", 0)
-    rel = F.expr(f"substring_index(path, '{root.rstrip('/')}/', -1)") if root else rel
+    rel = F.substring_index("path", f"{root.rstrip('/')}/", -1)
     return raw.select(
         F.substring_index(rel, "/", 1).alias("repo"), F.regexp_extract(rel, "^[^/]+/(.*)$", 1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
         F.decode("content", "UTF-8").alias("content"),
