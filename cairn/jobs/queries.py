@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contracts, dedupe, facts, graph, relations, search
 from ..sources.corpus import dao_corpus, in_scope, star_corpus
+from . import fact_queries as parsed
 from . import project_queries as project
 
 
@@ -158,7 +159,7 @@ _QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES} | project.queries()
+    return {f.__name__: f for f in _QUERIES} | project.queries() | parsed.queries()
 
 
 _E = """e AS (SELECT 'api' || (p_partkey % 50) AS repo, 'src/C' || p_partkey || '.java' AS file, '/shop/s' || p_size || '/items/{param}/p' || p_partkey AS path_pattern FROM part)"""
@@ -213,4 +214,4 @@ ORACLE |= {
 
 
 def oracle_sql() -> dict:
-    return ORACLE | project.oracle_sql()
+    return ORACLE | project.oracle_sql() | parsed.oracle_sql()
