@@ -54,3 +54,77 @@ def score(checks: DataFrame) -> DataFrame:
     g = checks.groupBy("repo").agg(F.count_if(F.col("level") == "FAIL").alias("fails"), F.count_if(F.col("level") == "WARN").alias("warns"))
     status = F.when(F.col("fails") > 0, "FAIL").when(F.col("warns") > 0, "WARN").otherwise("PASS")
     return g.select("repo", F.greatest(F.lit(0), 100 - 12 * F.col("fails") - 3 * F.col("warns")).alias("score"), status.alias("status"))
+
+
+def check_ai_evidence(edges: DataFrame) -> DataFrame:
+    """Edges of the enrichment that lack evidence, a file or a line."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    return edges.filter((F.col("origin") == "ai-enrichment") & (empty("evidence") | empty("file") | F.col("line").isNull()))
+
+
+def check_required(repos: DataFrame, required: tuple[str, ...], present: DataFrame, code: str) -> DataFrame:
+    """repo, path, code: what each repo must have, by name, and does not."""
+    need = repos.select("repo").distinct().select("repo", F.explode(F.array(*map(F.lit, required))).alias("path"))
+    return need.join(present.select("repo", "path"), ["repo", "path"], "left_anti").withColumn("code", F.lit(code))
+
+
+def check_declared(declared: DataFrame, present: DataFrame) -> DataFrame:
+    """repo, index: indexes that a repo's metadata names and its folder lacks."""
+    return declared.select("repo", "index").distinct().join(present.select("repo", "index"), ["repo", "index"], "left_anti")
+
+
+def check_unresolved(meta: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """repo, said, found: repos whose count of unresolved relations differs from what is stored."""
+    n = unresolved.groupBy("repo").agg(F.count("*").alias("found"))
+    d = meta.select("repo", F.col("unresolved_count").cast("long").alias("said")).join(n, "repo", "left").na.fill(0, ["found"])
+    return d.filter(~F.col("said").eqNullSafe(F.col("found")))
+
+
+def content_lines(text):
+    """How many lines say something: no blank lines, headings, fences or rules of tables."""
+    said = F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x))
+    return F.size(F.filter(said, lambda x: (x != "") & ~x.rlike(r"^(?:#{1,6}\s|`{3}|\|?\s*:?-{3,})")))
+
+
+def has_code(text):
+    """A fenced block that holds more than dots or a bracketed stand-in."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?ms)^(`{3,})[^\r\n`]*\r?\n(.*?)^\1\s*$"), F.lit(2))
+    return F.exists(F.transform(blocks, lambda b: F.trim(b, F.lit(" \t\r\n"))), lambda b: (b != "") & (b != "...") & ~b.rlike(r"^\[[^\]\r\n]+\]$"))
+
+
+#: Least Hangul characters and least lines of a report by tier.
+LEAST = {"Full": (500, 35), "Standard": (350, 25), "Lite": (250, 18)}
+
+
+def check_sections(reports: DataFrame, sections: DataFrame, required: tuple[str, ...], may_be_bare: tuple[str, ...] = ()) -> DataFrame:
+    """repo, code, what for reports(repo, tier, content) with their sections(repo, level, title, body): required sections of level 2 that are missing or say
+    nothing, and reports of too few Hangul characters or lines for their tier. Sections are cut to flags before they are joined."""
+    s = sections.filter("level = 2").select("repo", "title", (content_lines("body") > 0).alias("_said"))
+    need = reports.select("repo", F.explode(F.array(*map(F.lit, required))).alias("what"))
+    g = need.join(s, "repo", "left").groupBy("repo", "what").agg(F.count_if(F.contains("title", F.col("what"))).alias("_n"), F.coalesce(F.bool_or(F.col("_said") & F.contains("title", F.col("what"))), F.lit(False)).alias("_said"))
+    code = F.when(F.col("_n") == 0, "ANALYZER_SECTION").when(~F.col("_said") & ~F.col("what").isin(*may_be_bare), "ANALYZER_SECTION_DETAIL")
+    by_section = g.select("repo", code.alias("code"), "what").filter("code is not null")
+    least = lambda i: F.when(F.col("tier") == "Full", LEAST["Full"][i]).when(F.col("tier") == "Standard", LEAST["Standard"][i]).otherwise(LEAST["Lite"][i])
+    short = F.array_compact(F.array(F.when(F.regexp_count("content", F.lit("[가-힣]")) < least(0), F.lit("ANALYZER_LANGUAGE")), F.when(content_lines("content") < least(1), F.lit("ANALYZER_DETAIL"))))
+    return by_section.unionByName(reports.select("repo", F.explode(short).alias("code"), F.lit(None).cast("string").alias("what")))
+
+
+def pattern_coverage(candidates: DataFrame, documented: DataFrame, held: DataFrame) -> DataFrame:
+    """repo, required, satisfied, enough of candidates(repo, tier, slug), documented(repo, title) and held(repo, slug): every candidate is required, of Lite two
+    at most; documented categories count, and held candidates that no category names."""
+    c = candidates.select("repo", "tier", "slug").distinct()
+    n = c.groupBy("repo").agg(F.max("tier").alias("_t"), F.count("*").alias("_n"))
+    required = F.when((F.col("_n") > 1) & (F.col("_t") == "Lite"), F.least(F.lit(2), "_n")).otherwise(F.col("_n"))
+    titles = documented.groupBy("repo").agg(F.count("*").alias("_d"))
+    # categories of one repo are few; their titles are compared with its slugs only
+    named = c.join(documented.select("repo", F.lower("title").alias("_l")), "repo").filter(F.contains("_l", F.lower("slug"))).select("repo", "slug")
+    kept = held.select("repo", "slug").distinct().join(c.select("repo", "slug"), ["repo", "slug"], "left_semi").join(named, ["repo", "slug"], "left_anti").groupBy("repo").agg(F.count("*").alias("_h"))
+    d = n.join(titles, "repo", "left").join(kept, "repo", "left").na.fill(0, ["_d", "_h"])
+    d = d.select("repo", required.alias("required"), (F.col("_d") + F.col("_h")).alias("satisfied"))
+    return d.withColumn("enough", (F.col("required") <= 1) | (F.col("satisfied") >= F.col("required")))
+
+
+def stale(files: DataFrame, meta: DataFrame) -> DataFrame:
+    """repo, newest, generated_at, stale: a source is newer than the index."""
+    m = files.groupBy("repo").agg(F.max("mtime").alias("newest"))
+    return meta.select("repo", "generated_at").join(m, "repo", "left").withColumn("stale", F.coalesce(F.col("newest") > F.col("generated_at"), F.lit(False)))

@@ -122,3 +122,19 @@ def apply_patch(edges: DataFrame, nodes: DataFrame, patch: DataFrame) -> DataFra
 
     nth = F.row_number().over(W.partitionBy("from", "to", "type", "_ok").orderBy("_seq"))
     return p.select(*patch.columns, F.when(~F.col("_ok"), "rejected").when(F.col("_e") | (nth > 1), "duplicate").otherwise("applied").alias("status"))
+
+
+def project_graph(nodes: DataFrame, kinds: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """One graph of many projects. nodes(repo, id, ...) and edges by type (repo, from, to, and to_repo where an edge leaves its project) -> nodes with ids
+    that carry their project, and edges (from, to, type), each once and none from a node to itself but between tables. Ends that are no nodes yet become ones."""
+    name = lambda repo, c: F.concat_ws("::", repo, c)
+    edges = None
+    for kind, e in kinds.items():
+        to_repo = F.coalesce("to_repo", "repo") if "to_repo" in e.columns else F.col("repo")
+        e = e.select(name("repo", "from").alias("from"), name(to_repo, "to").alias("to"), F.lit(kind).alias("type"))
+        e = e if kind == "table_relation" else e.filter(F.col("from") != F.col("to"))
+        edges = e if edges is None else edges.unionByName(e)
+    edges = edges.distinct()
+    ends = edges.select(F.explode(F.array("from", "to")).alias("id"))
+    all_ = nodes.select(name("repo", "id").alias("id"), F.lit(True).alias("known")).unionByName(ends.withColumn("known", F.lit(False)))
+    return all_.groupBy("id").agg(F.bool_or("known").alias("known")), edges

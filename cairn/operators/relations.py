@@ -109,3 +109,42 @@ def many_to_many(foreign_keys: DataFrame, unique: DataFrame) -> DataFrame:
     j = g.join(unique.select("repo", "table", "colkey"), ["repo", "table", "colkey"], "left_semi").select("repo", F.col("table").alias("via_table"), "k", F.posexplode("k").alias("_i", "a"))
     rest = F.slice("k", F.col("_i") + 2, F.size("k"))
     return j.select("repo", "via_table", F.col("a.ref_table").alias("from_table"), F.explode(rest).alias("b")).select("repo", "via_table", "from_table", F.col("b.ref_table").alias("to_table"))
+
+
+def foreign_keys(cols: DataFrame) -> DataFrame:
+    """repo, table, from_columns, ref_table, to_columns: one row per table and target, of the rows of `columns`, which come in the order of the key."""
+    fk = cols.filter("ref_table is not null")
+    g = fk.groupBy("repo", "table", "ref_table").agg(F.sort_array(F.collect_list(F.struct("column", "ref_column"))).alias("_k"))
+    of = lambda f: F.transform("_k", lambda k: k[f])
+    return g.select("repo", "table", of("column").alias("from_columns"), "ref_table", of("ref_column").alias("to_columns"))
+
+
+#: What tells relations apart.
+RELATION = ["repo", "type", "from_table", "from_columns", "to_table", "to_columns", "file", "line"]
+
+
+def union_relations(*kinds: DataFrame) -> DataFrame:
+    """Foreign keys, joins of queries and mappings as one table; rows that agree in all of RELATION whatever their case count once, the first kind's and the
+    least first. Each is (repo, type, from_table, from_columns, to_table, to_columns, file, line)."""
+    rows = None
+    for i, k in enumerate(kinds):
+        k = k.select(*RELATION).filter("from_table is not null and to_table is not null").withColumn("_i", F.lit(i))
+        rows = k if rows is None else rows.unionByName(k)
+    low = lambda c: F.lower(F.array_join(c, ",") if c.endswith("columns") else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_{c}")
+    g = rows.groupBy(*(low(c) for c in RELATION)).agg(F.min(F.struct("_i", *RELATION)).alias("_w"))
+    return g.select(*(f"_w.{c}" for c in RELATION))
+
+
+def resolve_entities(rels: DataFrame, entities: DataFrame) -> DataFrame:
+    """rels(repo, from_entity, to_entity, framework, to_is_table) with from_table and to_table: the table of the entity(repo, name, table, framework, ord) of
+    that name whatever its case, of the same framework if there is one, else the first; what is no entity, or a table already, stays as it is."""
+    same = entities.groupBy("repo", F.lower("name").alias("_k"), "framework").agg(F.min_by("table", "ord").alias("_same"))
+    any_ = entities.groupBy("repo", F.lower("name").alias("_k")).agg(F.min_by("table", "ord").alias("_any"))
+    out = rels
+    for side in ("from", "to"):
+        out = out.withColumn("_k", F.lower(f"{side}_entity")).join(same, ["repo", "_k", "framework"], "left").join(any_, ["repo", "_k"], "left")
+        found = F.coalesce("_same", "_any", f"{side}_entity")
+        if side == "to":
+            found = F.when(F.coalesce("to_is_table", F.lit(False)), F.col("to_entity")).otherwise(found)
+        out = out.withColumn(f"{side}_table", found).drop("_k", "_same", "_any")
+    return out.select(*rels.columns, "from_table", "to_table")

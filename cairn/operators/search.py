@@ -44,3 +44,13 @@ def search_records(records: DataFrame, text: str, limit: int = 100) -> DataFrame
 def page(df: DataFrame, order: list[str], offset: int, size: int = 200) -> DataFrame:
     """One page of a report, at most 200 rows."""
     return df.orderBy(*order).offset(offset).limit(min(size, 200))
+
+
+def search_items(kinds: dict[str, DataFrame]) -> DataFrame:
+    """kind, id, repo, title, text: pages, symbols, statements, tables and endpoints as one table of items; ids are made unique by kind and repo."""
+    rows = None
+    for kind, t in kinds.items():
+        own = F.concat_ws("::", "repo", F.col("id").cast("string"))
+        one = t.select(F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), own).alias("id"), "repo", F.coalesce("title", F.col("id").cast("string")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
