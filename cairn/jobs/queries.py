@@ -9,6 +9,7 @@ from ..operators import contracts, dedupe, facts, graph, relations, search
 from ..sources.corpus import dao_corpus, in_scope, star_corpus
 from . import catalog_queries as catalog
 from . import fact_queries as parsed
+from . import framework_queries as frameworks
 from . import project_queries as project
 
 
@@ -160,7 +161,7 @@ _QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES} | project.queries() | parsed.queries() | catalog.queries()
+    return {f.__name__: f for f in _QUERIES} | project.queries() | parsed.queries() | catalog.queries() | frameworks.queries()
 
 
 _E = """e AS (SELECT 'api' || (p_partkey % 50) AS repo, 'src/C' || p_partkey || '.java' AS file, '/shop/s' || p_size || '/items/{param}/p' || p_partkey AS path_pattern FROM part)"""
@@ -215,4 +216,4 @@ ORACLE |= {
 
 
 def oracle_sql() -> dict:
-    return ORACLE | project.oracle_sql() | parsed.oracle_sql() | catalog.oracle_sql()
+    return ORACLE | project.oracle_sql() | parsed.oracle_sql() | catalog.oracle_sql() | frameworks.oracle_sql()
