@@ -282,8 +282,9 @@ def required_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declared_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s, _ = _nations(spark, sf_dir)
-    return checks.check_declared(c.withColumn("index", F.lit("schema")), s.withColumn("index", F.lit("schema"))).withColumnRenamed("index", "index_name")
+    """Documents declare an index of labels; those that have any are present."""
+    of = lambda t: _t(spark, sf_dir, t).select(_s("d", "@doc_id").alias("repo"), F.lit("labels").alias("index"))
+    return checks.check_declared(of("documents"), of("labels")).withColumnRenamed("index", "index_name")
 
 
 def unresolved_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,7 +412,7 @@ ORACLE = {
     "ai_evidence": "SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 AND (coalesce(trim(lang), '') = '' OR doc_id % 3 = 0 OR coalesce(trim(source), '') = '' OR n_chars IS NULL)",
     "required_files": """SELECT 'n' || n_nationkey AS repo, path, 'FILE_MISSING' AS code FROM nation, (SELECT unnest(['FURNITURE', 'BUILDING', 'NONE']) AS path)
  WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = path)""",
-    "declared_indexes": f"WITH {_N} SELECT DISTINCT repo, 'schema' AS index_name FROM c WHERE repo NOT IN (SELECT repo FROM s)",
+    "declared_indexes": "SELECT DISTINCT 'd' || doc_id AS repo, 'labels' AS index_name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
     "unresolved_counts": f"WITH {_N}, x AS (SELECT n_nationkey AS k, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS found FROM nation) SELECT 'n' || k AS repo, CAST(k % 9 AS BIGINT) AS said, found FROM x WHERE k % 9 <> found",
     "report_sections": f"""WITH {_W} SELECT repo || '/docs/r' || k || '.md' AS repo, unnest(['ANALYZER_SECTION', 'ANALYZER_SECTION', 'ANALYZER_LANGUAGE', 'ANALYZER_DETAIL']) AS code, unnest(['Detail', '근거 원장', NULL, NULL]) AS what FROM w""",
     "pattern_coverage": """WITH c AS (SELECT DISTINCT p_size AS s, p_type AS t FROM part), d AS (SELECT DISTINCT p_size AS s, p_type AS t FROM part WHERE p_retailprice > 950),
