@@ -193,13 +193,14 @@ def _sided(df: DataFrame, key: str, side: str) -> DataFrame:
 
 
 class _Verifier:
-    """Takes candidate pairs of classes and keeps the links found and the pairs already compared."""
+    """Takes candidate pairs of classes and keeps the pairs already compared and the roots over all links found: an id's root has its links, so
+    each comparison adds its own to the last roots."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int):
         self.docs, self.classes, self.k, self.percent = docs, classes, k, percent
         self.kind = docs.schema["id"].dataType.simpleString()
         self.tested: list[DataFrame] = []
-        self.links: list[DataFrame] = []
+        self.roots: DataFrame | None = None
 
     def side(self, s: str) -> DataFrame:
         return self.classes.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"m{j}").alias(f"m{s}{j}") for j in range(MAPS)))
@@ -211,6 +212,8 @@ class _Verifier:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = materialize(pairs.join(self.side("a"), "a").join(self.side("b"), "b").filter(_near(self.percent)).select("a", "b"))
         self.tested.append(pairs)
+        if self.roots is not None and pairs.isEmpty():
+            return self.roots
         need = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
         need = materialize(self.classes.join(need, "rep", "left_semi").select(F.col("rep").alias("id"), "d1"))
         wanted = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
@@ -221,12 +224,16 @@ class _Verifier:
         own = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"s{s}"))
         two = f"a {self.kind}, b {self.kind}"
         close = materialize(pairs.join(coarse("a"), "a").join(coarse("b"), "b").mapInArrow(_coarse(self.percent), two))
-        self.links.append(materialize(close.join(own("a"), "a").join(own("b"), "b").mapInArrow(_verify(self.percent), two)))
+        links = materialize(close.join(own("a"), "a").join(own("b"), "b").mapInArrow(_verify(self.percent), two))
         discard(need, sets, close)
-        linked = self.links[0]
-        for more in self.links[1:]:
-            linked = linked.union(more)
-        return components(linked)
+        before = self.roots
+        if before is None:
+            self.roots = components(links)
+        elif not links.isEmpty():
+            self.roots = components(links.union(before.select("id", "root")))
+            discard(before)
+        discard(links)
+        return self.roots
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -307,11 +314,11 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     under = posted.select("token", "g").join(rooted, "g").select("token", "rep", "root").union(own)
     under = materialize(_open(under.withColumns({"low": F.col("root"), "high": F.col("root")}), "token").select("token", "rep", "root"))
     heads = under.groupBy("token", "root").agg(F.min("rep").alias("a")).groupBy("token").agg(F.max("root").alias("last"), F.max_by("a", "root").alias("a"))
-    before, roots = roots, check.compare(under.join(heads, "token").filter("root <> last").select("a", F.col("rep").alias("b")))
-    discard(before, rooted, under)
+    roots = check.compare(under.join(heads, "token").filter("root <> last").select("a", F.col("rep").alias("b")))
+    discard(rooted, under)
     pairs, tables = _remaining(posted, members, classes, roots, percent)
-    before, roots = roots, check.compare(pairs)
-    discard(before, *tables, posted, members, *check.tested, *check.links)
+    roots = check.compare(pairs)
+    discard(*tables, posted, members, *check.tested)
     names = signed.select("id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left")
     out = names.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     alone = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
