@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fixity, jaccard, langid, packing, quality, secret_scan, suffix_dedup, token_counts
+from . import chat, decontaminate, fill_middle, fixity, jaccard, langid, packing, quality, resampling, secret_scan, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,17 @@ def op10_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_pieces(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    size = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return d.select("doc_id", "n", "form", size("prefix"), size("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     named = (
         op1_hilbert_packing, op2_quality_llr, op3_suffix_dedup, op4_decontamination, op5_secret_scan, op6_language_id, op7_jaccard_join, op8_chat_format, op9_merkle_fixity,
-        op10_viterbi_counts, pipeline,
+        op10_viterbi_counts, op11_importance_resampling, op12_fill_middle, pipeline,
     )
     return {f.__name__: f for f in named}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -121,3 +122,37 @@ def op1_ids(tokenizer, text):
 
 def crc_ids(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def op11(rows, items, percent=25, least=20, seed=7, buckets=10000):
+    """(id, text) and item texts -> {id: (n_features, weight, score, rank)}"""
+
+    def features(t):
+        w = op4_words(t)
+        return [zlib.crc32(x.encode()) % buckets for x in (*w, *map(" ".join, zip(w, w[1:], strict=False)))], len(w)
+
+    docs = [(i, *features(t)) for i, t in rows]
+    s, t = Counter(b for _, f, _ in docs for b in f), Counter(b for x in items for b in features(x)[0])
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets))))
+    out = {}
+    for i, f, n in docs:
+        weight = sum(map(gain, f)) // len(f) if f else 0
+        h = int(sha(f"{seed}:{i}")[:8], 16)
+        out[i] = [len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n]
+    fit = sorted((-v[2], i) for i, v in out.items() if v[4] >= least)
+    for k, (_, i) in enumerate(fit[: percent * len(fit) // 100]):
+        out[i][3] = k + 1
+    return {i: tuple(v[:4]) for i, v in out.items()}
+
+
+def op12(i, text):
+    """n, form, prefix_chars, middle_chars, output_sha256, restored_sha256"""
+    t = text or ""
+    units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", t)
+    h = [int(sha(f"42:{i}")[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return len(units), "plain", None, None, sha(t), sha(t)
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    form = "spm" if h[3] % 100 < 80 else "psm"
+    return len(units), form, len(p), len(m), sha(f"<S>{s}<P>{p}<M>{m}" if form == "spm" else f"<P>{p}<S>{s}<M>{m}"), sha(t)
