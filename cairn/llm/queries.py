@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fill_middle, fixity, jaccard, langid, packing, quality, resampling, secret_scan, suffix_dedup, token_counts
+from . import chat, decontaminate, fill_middle, fixity, jaccard, langid, packing, quality, resampling, secret_scan, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,11 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n", "form", size("prefix"), size("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     named = (
         op1_hilbert_packing, op2_quality_llr, op3_suffix_dedup, op4_decontamination, op5_secret_scan, op6_language_id, op7_jaccard_join, op8_chat_format, op9_merkle_fixity,
-        op10_viterbi_counts, op11_importance_resampling, op12_fill_middle, pipeline,
+        op10_viterbi_counts, op11_importance_resampling, op12_fill_middle, op13_toxicity, pipeline,
     )
     return {f.__name__: f for f in named}
 
