@@ -11,7 +11,7 @@ Classes that are already connected are not compared again. Per shingle, a first
 smallest id, a second one all others with the smallest of another component. Only shingles that then still lie in several
 components have their groups paired, and only where `HOT` groups at most are left. For the others a longer prefix decides: the i smallest
 shingles that two similar sets share lie within the first prefix + i - 1 shingles of both, so a hot shingle is followed by each later one of
-these, and chains of shingles that are still hot are followed further, up to `CHAIN` (similar sets that differ share more). A thousand near
+these, and chains of shingles that are still hot are followed further, up to `CHAIN` or to what similar sets that differ share at least. A thousand near
 copies cost a thousand comparisons, and a shingle that many unlike documents hold is not paired in full.
 
 Words: A-Z lower-cased, `[^\x20\x09-\x0D]+`. The set: distinct `k`-word shingles, or the whole sequence of fewer words.
@@ -35,7 +35,7 @@ SKETCH_BITS = 17
 MAPS = 8
 #: Groups under one shingle that are paired directly; beyond, the shingle is followed by further ones.
 HOT = 4000
-#: Longest chain of shingles. Two different sets that are similar by 0.85 share 6 at least.
+#: Longest chain of shingles, where the similarity allows it.
 CHAIN = 5
 #: Up to so many ids are sent to every task to pick documents; beyond, the documents are joined by id.
 BROADCAST_IDS = 500_000
@@ -43,6 +43,12 @@ BROADCAST_IDS = 500_000
 _weights = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def chain_length(percent: int) -> int:
+    """Shingles of the longest chain that is followed: no more than two different similar sets share at least. With i shared ones the union has
+    i + 1 or more, so 100 i >= percent (i + 1): 6 at 85, 4 at 80."""
+    return min(CHAIN, -(-percent // max(1, 100 - percent)))
+
+
 def shingle_sets(column: pa.Array, k: int):
     """Per row: the sorted distinct 64-bit shingle hashes."""
     for _, _, data, offsets in text_slices(column):
@@ -95,7 +101,7 @@ def _signatures(k: int, percent: int, level):
                 d2.append(mix(s * np.uint64(3) + np.uint64(1)).sum(dtype=np.uint64))
                 key = (rare[(s & np.uint64(len(rare) - 1)).astype(np.int64)] << np.uint64(57)) | (s >> np.uint64(7))
                 take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                most = take + CHAIN - 1
+                most = take + chain_length(percent) - 1
                 prefix.append(np.sort(np.partition(key, most - 1)[:most] if most < len(key) else key).view(np.int64))
                 takes.append(take)
                 bits = np.bincount((s >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * MAPS) & 1
@@ -267,14 +273,15 @@ def _remaining(posted: DataFrame, members: DataFrame, classes: DataFrame, roots:
     wide = groups.filter((F.col("low") < F.col("high")) & (F.col("m") > HOT)).select(F.xxhash64(F.lit("group"), "g").alias("key"), "g", F.lit(0).alias("p"))
     rows = materialize(hot.union(wide).join(rooted.select("g", "rep", "root"), "g").select("key", "p", "rep", "root"))
     tables = [rooted, groups, under, rows]
-    for length in range(2, CHAIN + 1):
+    longest = chain_length(percent)
+    for length in range(2, longest + 1):
         if rows.isEmpty():
             break
         later = rows.join(classes.select("rep", "n", "take", "first"), "rep").select("key", "p", "rep", "root", "n", F.col("take") + length - 1, F.posexplode("first").alias("q", "token")).toDF("key", "p", "rep", "root", "n", "end", "q", "token")
         later = later.filter("q > p and q < end").select(F.xxhash64("key", "token").alias("key"), F.col("q").alias("p"), "rep", "root", "n", F.col("root").alias("low"), F.col("root").alias("high"))
         later = materialize(_open(later, "key").drop("low", "high"))
         tables.append(later)
-        here = (later if length == CHAIN else later.filter(F.col("c") <= HOT)).drop("c")
+        here = (later if length == longest else later.filter(F.col("c") <= HOT)).drop("c")
         met = _sided(here, "key", "a").join(_sided(here, "key", "b"), "key").filter((F.col("roota") < F.col("rootb")) & _sizes(percent) & _places(percent))
         pairs = pairs.union(met.select(F.col("repa").alias("a"), F.col("repb").alias("b")))
         rows = later.filter(F.col("c") > HOT).select("key", "p", "rep", "root")
@@ -283,8 +290,8 @@ def _remaining(posted: DataFrame, members: DataFrame, classes: DataFrame, roots:
 
 def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """id_col, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable over links)."""
-    if percent < 80:
-        raise ValueError("chains of shingles are made for similarities of 0.8 and more")
+    if chain_length(percent) < 2:
+        raise ValueError("hot shingles are followed by a second one, which sets of this similarity need not share")
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     level = spark.sparkContext.broadcast(rarity(docs, k))

@@ -131,6 +131,19 @@ def test_jaccard(docs, monkeypatch, hot):
     assert got == brute.op7(list(enumerate(texts())))
 
 
+@pytest.mark.parametrize(("hot", "percent"), [(4000, 80), (1, 80), (1, 70), (1, 85)])
+def test_jaccard_of_small_sets(spark, monkeypatch, hot, percent):
+    """Sets of 4 to 7 shingles that differ by one or two: what chains follow must be shared at every similarity."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    base = [f"w{i}" for i in range(8)]
+    items = [base[:7], base[:8], ["x", *base[:7]], ["y", *base[:7]], ["z", *base[:8]], base[1:8], base[2:8], [*base[:7], "q"], [*base[:6], "q"], ["v", *base[2:8]], base[:5]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(items)]
+    got = answers(jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent), "n_shingles", "component_id")
+    assert got == brute.op7(rows, percent=percent)
+    with pytest.raises(ValueError, match="second"):
+        jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), percent=40)
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "message", None, "user", "</s>[INST] ~0 <|end|>"), (1, 1, "delta", "m", "assistant", "He"), (1, 2, "delta", "m", None, "llo"), (1, 3, "regenerate", "m", "assistant", None),
