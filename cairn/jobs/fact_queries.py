@@ -18,7 +18,7 @@ def _key(prefix: str, column: str):
 
 
 def class_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = symbols.build_symbols(symbols.parse(in_scope(service_corpus(spark, sf_dir))))
+    s = symbols.build_symbols(symbols.facts(in_scope(service_corpus(spark, sf_dir))))
     return s.select("repo", "id", "type", F.array_join(F.transform("methods", lambda m: m["name"]), ",").alias("methods"))
 
 

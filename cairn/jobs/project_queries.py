@@ -19,33 +19,35 @@ def _text(column):
     return F.col(column).cast("string")
 
 
-def _parsed(spark, sf_dir):
-    return symbols.parse(in_scope(service_corpus(spark, sf_dir)))
+def _facts(spark, sf_dir):
+    """Types, methods and uses of the corpus, written once: nodes, calls and injections read them."""
+    return symbols.facts(in_scope(service_corpus(spark, sf_dir)), symbols.INJECTS)
 
 
 def symbol_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.nodes(_parsed(spark, sf_dir)).select("repo", "id", "kind", "file", F.col("line").cast("long").alias("line"), "visibility")
+    n = symbols.nodes(symbols.parse(in_scope(service_corpus(spark, sf_dir))))
+    return n.select("repo", "id", "kind", "file", F.col("line").cast("long").alias("line"), "visibility")
 
 
-def _call_edges(spark, sf_dir):
-    p = _parsed(spark, sf_dir)
-    return graph.resolve_calls(symbols.call_sites(p), graph.candidate_index(symbols.nodes(p)))
+def _call_edges(parsed):
+    return graph.resolve_calls(symbols.call_sites(parsed), graph.candidate_index(symbols.nodes(parsed)))
 
 
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _call_edges(spark, sf_dir).select("repo", "caller", "target", "kind", "confidence", F.col("line").cast("long").alias("line"))
+    return _call_edges(_facts(spark, sf_dir)).select("repo", "caller", "target", "kind", "confidence", F.col("line").cast("long").alias("line"))
 
 
 def injection_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parsed(spark, sf_dir)
+    p = _facts(spark, sf_dir)
     return graph.resolve_calls(symbols.injections(p), graph.candidate_index(symbols.nodes(p))).select("repo", "caller", "target", "kind")
 
 
 def dead_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods, not private, that nothing calls."""
-    p = _parsed(spark, sf_dir)
-    m = symbols.nodes(p).filter("kind = 'method' and visibility <> 'private'")
-    return m.join(_call_edges(spark, sf_dir).select("repo", F.col("target").alias("id")).distinct(), ["repo", "id"], "left_anti").select("repo", "id")
+    p = _facts(spark, sf_dir)
+    m = symbols.nodes(p).filter("kind = 'method' and visibility <> 'private'").select("repo", "id").distinct()
+    called = _call_edges(p).filter("kind = 'edge'").select("repo", F.col("target").alias("id"))
+    return m.join(called, ["repo", "id"], "left_anti")
 
 
 def _listing(spark, sf_dir):

@@ -1,142 +1,88 @@
-"""Classes, methods, call sites and injections of brace languages and Python.
+"""Types, methods, uses of names, call sites and injections of source files.
 
-A small helper blanks comments and literals and tells where blocks close. All else are column functions over the blanked text of a file's row:
-declarations are found as heads (words, a name, brackets, what leads to the brace) and judged by their words, so they may run over lines."""
+A pass over each file, linear in its text, tells types, methods and uses with their owners (`functions.source`); they are columns of the file's row. `facts` writes these rows
+once, so that symbols, calls, injections and whatever else is asked of them read a table and not the sources again."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import spans
+from ..functions.source import JVM, LANGUAGES, SCRIPT, Scan, strip_comments
 from ..sources.corpus import extension
+from ..sources.tables import written
 
-BRACES = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|[{}\n]')
-INDENT = re.compile(r'"""[\s\S]*?(?:"""|\Z)|\'\'\'[\s\S]*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|#[^\n]*|[{}\n]')
-WORDS = re.compile(r"[^\n]")
+#: Annotations that have a field injected, and words that may stand before its type.
+INJECTS = ("Autowired", "Inject", "Resource")
+MODIFIERS = ("public", "protected", "private", "internal", "final", "static", "readonly", "lateinit", "val", "var")
 
-_IN_BRACKETS = r"\((?:[^(){};]++|\([^(){};]*+\))*+\)"
-#: words, name, brackets, and what leads to the brace: at most one more pair of brackets
-HEAD = rf"(?m)^([^\n(){{}};=]*?)\b([A-Za-z_$][\w$]*)[ \t]*(?:<[^<>()\n]*>[ \t]*)?{_IN_BRACKETS}[^(){{}};=]*+(?:\([^(){{}};]*\)[^(){{}};=]*+)?\{{"
-ARROW = r"(?m)^([^\n(){};=]*)\b([A-Za-z_$][\w$]*)[ \t]*(?::[^\n=;]*)?=[ \t]*(?:async\b[ \t]*)?(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)|[A-Za-z_$][\w$]*)[^\n=;{}()]*=>[ \t]*\{?"
-TYPE = r"(?m)^([^\n(){};=]*)\b(?:class|interface|enum|record|object|struct)[ \t]+([A-Za-z_]\w*)([^{};]*)\{"
-CALLED = r"[A-Za-z_$][\w$]*(?:[ \t]*\.[ \t]*[A-Za-z_$][\w$]*)*(?=[ \t]*\()"
-INJECTED = r"@(?:Autowired|Inject|Resource)\b(?:\([^()]*\))?([^;{}=()@]*)"
-#: Languages, words that no method is named, words before a name that make it no declaration, and words that may stand before one.
-JVM = ("java", "kt", "cs")
-SCRIPT = ("js", "ts", "tsx", "vue")
-KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "do", "try", "synchronized", "function", "super", "this")
-NOT_BEFORE = ("new", "return", "else", "throw", "case", "await", "yield")
-BEFORE_SCRIPT = ("export", "default", "async", "function", "public", "private", "protected", "static", "override", "get", "set")
-DECLARES = ("const", "let", "var")
-VISIBILITY = ("public", "protected", "private", "internal")
-MODIFIERS = (*VISIBILITY, "final", "static", "readonly", "lateinit", "val", "var")
+_S, _I, _B = T.StringType(), T.IntegerType(), T.BooleanType()
 
 
-def outline(content: str | None, indented: bool) -> dict:
-    """The text with comments and the insides of literals as blanks, and for each line the one where the outermost block opened on it closes (null if
-    none does). Null: empty."""
-    ends, opened, line = {}, [], 1
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
-    def blank(m: re.Match) -> str:
-        nonlocal line
-        t = m.group()
-        if t == "{":
-            opened.append(line)
-        elif t == "}" and opened:
-            ends[opened.pop()] = line
-        line += t.count("\n")
-        if len(t) == 1:
-            return t
-        comment = t[0] == "#" or t[:2] in ("//", "/*")
-        return WORDS.sub(" ", t) if comment else t[0] + WORDS.sub(" ", t[1:-1]) + t[-1]
 
-    clean = (INDENT if indented else BRACES).sub(blank, content or "")
-    return {"clean": clean, "ends": [ends.get(i) for i in range(1, clean.count("\n") + 2)]}
+TYPES = _struct(name=_S, kind=_S, line=_I, start=_I, end=_I, last=_I, outer=_S, extends=T.ArrayType(_S), implements=T.ArrayType(_S))
+METHODS = _struct(name=_S, owner=_S, visibility=_S, line=_I, start=_I, end=_I, body=_I, last=_I)
+#: mark: @ or [ of annotations, else empty. args: what stands in its brackets, of the names asked for; field: what its result is assigned to. method: what it stands in, with its type; ahead: the next declaration.
+USES = _struct(mark=_S, owner=_S, name=_S, args=_S, line=_I, last=_I, start=_I, end=_I, type=_S, method_owner=_S, method=_S, declares=_B, next_method=_S, ahead=_S, ahead_name=_S, after=_S, field=_S)
+PARSED = _struct(repo=_S, file=_S, ext=_S, types=T.ArrayType(TYPES), methods=T.ArrayType(METHODS), uses=T.ArrayType(USES))
+_ARROW = {_S: pa.string(), _I: pa.int32(), _B: pa.bool_()}
 
 
-@F.pandas_udf(T.StructType([T.StructField("clean", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))]))
-def outlines(content: pd.Series, indented: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([outline(c, i) for c, i in zip(content, indented, strict=True)], columns=["clean", "ends"])
+def _arrow(t: T.DataType) -> pa.DataType:
+    if isinstance(t, T.ArrayType):
+        return pa.list_(_arrow(t.elementType))
+    return pa.struct([(f.name, _arrow(f.dataType)) for f in t.fields]) if isinstance(t, T.StructType) else _ARROW[t]
 
 
-def _inner(classes: Column, line: Column) -> Column:
-    """The class that begins last of those whose lines hold the given one."""
-    return F.try_element_at(F.filter(classes, lambda c: (c["line"] <= line) & (line <= c["end"])), F.lit(-1))["name"]
+def _scan(named: frozenset):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [_arrow(PARSED[c].dataType) for c in ("types", "methods", "uses")]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                rows = [Scan(c, e if e in LANGUAGES else "js", named) for c, e in zip(part.column("content").to_pylist(), part.column("ext").to_pylist(), strict=True)]
+                for s in rows:
+                    for u in s.uses:
+                        m = u["method"]
+                        u["method"], u["method_owner"] = (m["name"], m["owner"]) if m else (None, None)
+                columns = [pa.array(c, k) for c, k in zip(([s.types for s in rows], [s.methods for s in rows], [s.uses for s in rows]), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("repo"), part.column("file"), part.column("ext"), *columns], names=PARSED.fieldNames())
 
+    return run
 
-def _end(s: Column) -> Column:
-    return F.coalesce(F.get("ends", s["last"] - 1), s["last"])
 
+@F.pandas_udf(T.StringType())
+def without_comments(content, ext):
+    """E1 for column expressions: comments as blanks; literals, line ends and offsets stay. Null: empty."""
+    import pandas as pd
 
-def _words(s: Column) -> Column:
-    return F.filter(F.split(s, r"\s+"), lambda x: x != "")
+    return pd.Series([strip_comments(c, e) for c, e in zip(content, ext, strict=True)])
 
 
-def _listed(words: Column, names: tuple[str, ...]) -> Column:
-    return F.arrays_overlap(words, F.array(*map(F.lit, names)))
-
-
-def _method(s: Column, end: Column, visibility: Column) -> Column:
-    owner = F.coalesce(_inner(F.col("classes"), s["line"]), F.lit(""))
-    return F.struct(s["b"].alias("name"), s["line"].alias("line"), s["last"].alias("body"), end.alias("end"), visibility.alias("visibility"), owner.alias("owner"))
-
-
-def _brace_methods() -> Column:
-    jvm, script = F.col("ext").isin(*JVM), F.col("ext").isin(*SCRIPT)
-    # a receiver is no part of a name's head
-    text = F.when(F.col("ext") == "go", F.regexp_replace("clean", r"(?m)^func[ \t]*\([^()\n]*\)", "func")).otherwise(F.col("clean"))
-
-    def declared(s: Column) -> Column:
-        w = _words(s["a"])
-        own = F.when(script, F.size(F.array_except(w, F.array(*map(F.lit, BEFORE_SCRIPT)))) == 0).when(F.col("ext") == "go", F.coalesce(F.get(w, 0) == "func", F.lit(False))).otherwise(True)
-        return own & ~_listed(w, NOT_BEFORE) & ~s["b"].isin(*KEYWORDS) & ~F.rtrim(s["a"]).endswith(".")
-
-    def seen(s: Column) -> Column:
-        said = F.get(F.array_intersect(_words(s["a"]), F.array(*map(F.lit, VISIBILITY))), 0)
-        return F.coalesce(said, F.when(jvm, "package").otherwise(""))
-
-    heads = F.transform(F.filter(spans(text, HEAD, 2), declared), lambda s: _method(s, _end(s), seen(s)))
-    arrows = F.when(script, F.filter(spans(F.col("clean"), ARROW, 2), lambda s: _listed(_words(s["a"]), DECLARES)))
-    block = lambda s: F.when(s["whole"].endswith("{"), _end(s)).otherwise(s["last"])
-    arrows = F.coalesce(F.transform(arrows, lambda s: _method(s, block(s), F.lit(""))), F.filter(heads, lambda s: F.lit(False)))
-    return F.array_sort(F.concat(heads, arrows), lambda x, y: x["line"] - y["line"])
-
-
-def _indented(keyword: str) -> Column:
-    """line, name, end, indent of Python blocks: they end before the next line that is indented no further."""
-    lines = F.transform(F.split("clean", "\n"), lambda t, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(t, r"^[ \t]*", 0)).alias("indent"), t.alias("t")))
-    full = F.filter(lines, lambda x: F.trim(x["t"]) != "")
-    pattern = rf"^[ \t]*(?:async[ \t]+)?{keyword}[ \t]+([A-Za-z_]\w*)"
-    found = F.filter(full, lambda x: x["t"].rlike(pattern))
-    after = lambda x: F.get(F.filter(full, lambda y: (y["line"] > x["line"]) & (y["indent"] <= x["indent"])), 0)["line"] - 1
-    return F.transform(found, lambda x: F.struct(F.regexp_extract(x["t"], pattern, 1).alias("name"), x["line"].alias("line"), F.coalesce(after(x), F.size(lines)).alias("end"), x["t"].alias("t")))
+def parse(files: DataFrame, named: tuple[str, ...] = (), pages: tuple[str, ...] = ()) -> DataFrame:
+    """repo, file, ext, package, types, methods, uses: a row per file of a known language. named: names whose arguments are wanted; pages: further formats, read like scripts. The package is the one that is declared, or of Python and
+    script files the dotted path. One evaluation of the sources: explode both of its columns at once, or write it (`facts`)."""
+    ext = extension(F.col("path"))
+    d = files.filter(ext.isin(*LANGUAGES, *pages)).select("repo", F.col("path").alias("file"), ext.alias("ext"), F.coalesce("content", F.lit("")).alias("content"))
+    said = F.regexp_extract("content", r"(?m)^\s*(?:package|namespace)\s+([\w.]+)", 1)
+    path = F.regexp_replace(F.regexp_replace("file", r"(?:(?:^|/)__init__)?\.py$", ""), rf"\.(?:{'|'.join(SCRIPT)})$", "")
+    own = F.when(F.col("ext").isin(*JVM), said).when(F.col("ext") == "go", F.coalesce(F.nullif(said, F.lit("")), F.replace(F.regexp_extract("file", r"^(.*)/[^/]*$", 1), F.lit("/"), F.lit(".")))).otherwise(F.replace(path, F.lit("/"), F.lit(".")))
+    # the package rides in the file's name through the pass: no second look at the content
+    d = d.select("repo", F.concat_ws("\u0001", "file", own).alias("file"), "ext", "content")
+    p = d.mapInArrow(_scan(frozenset(named)), PARSED).withColumn("_f", F.split("file", "\u0001"))
+    return p.select("repo", F.col("_f")[0].alias("file"), "ext", F.col("_f")[1].alias("package"), "types", "methods", "uses")
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """repo, file, package, clean, classes, methods: one row per file of a known language. The package of a Python file is its dotted path."""
-    ext = extension(F.col("path"))
-    d = files.filter(ext.isin(*JVM, *SCRIPT, "go", "py")).select("repo", F.col("path").alias("file"), ext.alias("ext"), "content")
-    python = F.col("ext") == "py"
-    named = F.regexp_extract("content", r"(?m)^\s*(?:package|namespace)\s+([\w.]+)", 1)
-    module = F.regexp_replace(F.translate(F.regexp_replace("file", r"(?:(?:^|/)__init__)?\.py$", ""), "/", "."), r"^(?:src\.)?", "")
-    d = d.select("repo", "file", "ext", F.when(python, module).otherwise(named).alias("package"), outlines("content", python).alias("_o")).select("repo", "file", "ext", "package", "_o.*")
-    parents = lambda tail, word: F.transform(F.filter(F.split(F.regexp_extract(tail, rf"\b{word}\s+([\w.$, \t]+?)\s*(?:\bimplements\b|$)", 1), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
-    colon = lambda tail: F.transform(F.split(F.regexp_extract(tail, r":\s*([^{]+)$", 1), ","), lambda x: F.regexp_extract(x, r"[\w.]+", 0))
-    some = lambda a: F.filter(a, lambda x: x != "")
-    brace = F.transform(
-        spans(F.col("clean"), TYPE, 3),
-        lambda s: F.struct(s["b"].alias("name"), s["line"].alias("line"), _end(s).alias("end"), some(F.concat(parents(F.trim(s["c"]), "extends"), colon(s["c"]))).alias("extends"), parents(F.trim(s["c"]), "implements").alias("implements")),
-    )
-    bases = lambda x: some(F.transform(F.split(F.regexp_extract(x["t"], r"\(([^()]*)\)", 1), ","), lambda y: F.trim(y)))
-    indent = F.transform(_indented("class"), lambda x: F.struct(x["name"].alias("name"), x["line"].alias("line"), x["end"].alias("end"), bases(x).alias("extends"), F.array().cast("array<string>").alias("implements")))
-    d = d.withColumn("classes", F.when(python, indent).otherwise(brace))
-    defs = F.transform(_indented("def"), lambda x: _method(F.struct(x["name"].alias("b"), x["line"].alias("line"), x["line"].alias("last")), x["end"], F.lit("")))
-    return d.withColumn("methods", F.when(python, defs).otherwise(_brace_methods())).drop("ext", "ends")
+def facts(files: DataFrame, named: tuple[str, ...] = ()) -> DataFrame:
+    """`parse`, written once."""
+    return written(parse(files, named))
 
 
 def symbol_id(*parts: Column) -> Column:
@@ -144,39 +90,39 @@ def symbol_id(*parts: Column) -> Column:
 
 
 def nodes(parsed: DataFrame) -> DataFrame:
-    """repo, id, kind, file, line, visibility: classes and methods."""
-    c = parsed.select("repo", "file", "package", F.explode("classes").alias("s")).select("repo", symbol_id(F.col("package"), F.col("s.name")).alias("id"), F.lit("class").alias("kind"), "file", F.col("s.line").alias("line"), F.lit("").alias("visibility"))
-    m = parsed.select("repo", "file", "package", F.explode("methods").alias("s")).select("repo", symbol_id(F.col("package"), F.col("s.owner"), F.col("s.name")).alias("id"), F.lit("method").alias("kind"), "file", F.col("s.line").alias("line"), F.col("s.visibility").alias("visibility"))
-    return c.unionByName(m)
+    """repo, id, kind, file, line, visibility: types and methods, of one explosion."""
+    row = lambda id_, kind, line, visibility: F.struct(id_.alias("id"), kind.alias("kind"), line.alias("line"), visibility.alias("visibility"))
+    types = F.transform("types", lambda t: row(symbol_id(F.col("package"), t["name"]), t["kind"], t["line"], F.lit("")))
+    methods = F.transform("methods", lambda m: row(symbol_id(F.col("package"), m["owner"], m["name"]), F.lit("method"), m["line"], m["visibility"]))
+    return parsed.select("repo", "file", F.inline(F.array_distinct(F.concat(types, methods)))).select("repo", "id", "kind", "file", "line", "visibility")
 
 
 def build_symbols(parsed: DataFrame) -> DataFrame:
-    """repo, file, id, type, line, extends, implements, methods: each class with its methods, and functions outside of classes. Within a file's row."""
-    own = lambda c: F.transform(F.filter("methods", lambda m: m["owner"] == c), lambda m: F.struct(m["name"].alias("name"), symbol_id(F.col("package"), m["owner"], m["name"]).alias("id"), m["line"].alias("line"), m["visibility"].alias("visibility")))
-    none = F.array().cast("array<string>")
-    classes = F.transform("classes", lambda c: F.struct(symbol_id(F.col("package"), c["name"]).alias("id"), F.lit("class").alias("type"), c["line"].alias("line"), c["extends"].alias("extends"), c["implements"].alias("implements"), own(c["name"]).alias("methods")))
-    free = F.transform(F.filter("methods", lambda m: m["owner"] == ""), lambda m: F.struct(symbol_id(F.col("package"), m["name"]).alias("id"), F.lit("function").alias("type"), m["line"].alias("line"), none.alias("extends"), none.alias("implements"), F.filter(own(F.lit("")), lambda x: F.lit(False)).alias("methods")))
-    return parsed.select("repo", "file", F.inline(F.concat(classes, free)))
+    """repo, file, id, type, line, extends, implements, methods: each type with its methods, and functions outside of types."""
+    m = parsed.select("repo", "file", "package", F.explode("methods").alias("m")).select(
+        "repo", "file", F.col("m.owner").alias("owner"), F.struct(F.col("m.line").alias("line"), F.col("m.name").alias("name"), symbol_id(F.col("package"), F.col("m.owner"), F.col("m.name")).alias("id"), F.col("m.visibility").alias("visibility")).alias("m")
+    )
+    own = m.groupBy("repo", "file", "owner").agg(F.transform(F.sort_array(F.collect_list("m")), lambda x: F.struct(x["name"].alias("name"), x["id"].alias("id"), x["line"].alias("line"), x["visibility"].alias("visibility"))).alias("methods"))
+    t = parsed.select("repo", "file", "package", F.explode("types").alias("t")).select("repo", "file", F.col("t.name").alias("owner"), symbol_id(F.col("package"), F.col("t.name")).alias("id"), F.col("t.kind").alias("type"), "t.line", "t.extends", "t.implements")
+    none, no_methods = F.array().cast("array<string>"), F.array().cast(own.schema["methods"].dataType)
+    classes = t.join(own, ["repo", "file", "owner"], "left").withColumn("methods", F.coalesce("methods", no_methods)).drop("owner")
+    free = m.filter("owner = ''").select("repo", "file", "m.id", F.lit("function").alias("type"), "m.line", none.alias("extends"), none.alias("implements"), no_methods.alias("methods"))
+    return classes.unionByName(free)
 
 
 def call_sites(parsed: DataFrame) -> DataFrame:
-    """repo, file, line, caller, name, qualifier (null if none): calls in method bodies; on the line where the body opens only what follows the brace
-    counts. Lines are taken apart once; each finds the method that holds it."""
-    x = parsed.select("repo", "file", "package", "methods", F.posexplode(F.split("clean", "\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
-    m = F.try_element_at(F.filter("methods", lambda m: (m["line"] <= F.col("line")) & (F.col("line") <= m["end"])), F.lit(-1))
-    x = x.withColumn("m", m).filter((F.col("m.name").isNotNull()) & (F.col("line") >= F.col("m.body")))
-    body = F.when(F.col("line") == F.col("m.body"), F.regexp_replace("text", r"^[^{]*?(?:\{|=>|\)[^():]*:)", "")).otherwise(F.col("text"))
-    caller = symbol_id(F.col("package"), F.col("m.owner"), F.col("m.name")).alias("caller")
-    c = x.select("repo", "file", "line", "m", caller, F.explode(F.regexp_extract_all(body, F.lit(CALLED), F.lit(0))).alias("_c")).withColumn("_p", F.split("_c", r"[ \t]*\.[ \t]*"))
-    c = c.select("repo", "file", "line", "caller", F.element_at("_p", -1).alias("name"), F.try_element_at("_p", F.lit(-2)).alias("qualifier"), ((F.col("line") == F.col("m.line")) & (F.element_at("_p", -1) == F.col("m.name"))).alias("_own"))
-    return c.filter(~F.col("name").isin(*KEYWORDS) & ~F.col("_own")).drop("_own")
+    """repo, file, line, caller, name, qualifier (null if none): calls in method bodies."""
+    called = F.filter("uses", lambda u: (u["mark"] == "") & u["method"].isNotNull() & ~u["declares"])
+    x = parsed.select("repo", "file", "package", F.explode(called).alias("u"))
+    return x.select("repo", "file", F.col("u.line").alias("line"), symbol_id(F.col("package"), F.col("u.method_owner"), F.col("u.method")).alias("caller"), F.col("u.name").alias("name"), F.nullif(F.substring_index("u.owner", ".", -1), F.lit("")).alias("qualifier"))
 
 
 def injections(parsed: DataFrame) -> DataFrame:
-    """repo, file, line, caller (the class), name (the injected type): injected fields inside a class. A field is a type and a name (or, behind a colon, a type)."""
-    x = parsed.select("repo", "file", "package", "classes", F.explode(spans(F.col("clean"), INJECTED, 1)).alias("s"))
-    own = F.filter(_words(F.regexp_replace("s.a", r"<[^<>]*>", " ")), lambda w: ~w.isin(*MODIFIERS))
-    kind = F.when(F.contains("s.a", F.lit(":")), F.trim(F.element_at(F.split("s.a", ":"), -1))).when(F.size(own) == 2, own[0])
-    owner = _inner(F.col("classes"), F.col("s.line"))
-    x = x.filter(owner.isNotNull()).select("repo", "file", F.col("s.line").alias("line"), symbol_id(F.col("package"), owner).alias("caller"), F.element_at(F.split(kind, r"\."), -1).alias("name"), F.lit(None).cast("string").alias("qualifier"))
-    return x.filter("name is not null")
+    """repo, file, line, caller (the type), name (the injected type), qualifier (null): injected fields, which are a type and a name, or a name, a colon and a type. `parsed` must be
+    asked for INJECTS."""
+    x = parsed.select("repo", "file", "package", F.explode(F.filter("uses", lambda u: (u["mark"] == "@") & u["name"].isin(*INJECTS) & (u["type"] != ""))).alias("u"))
+    text = F.regexp_replace("u.after", r"<[^<>]*>", " ")
+    words = F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~w.isin(*MODIFIERS))
+    kind = F.when(F.contains(text, F.lit(":")), F.trim(F.element_at(F.split(text, ":"), -1))).when(F.size(words) == 2, words[0])
+    name = F.element_at(F.split(kind, r"\."), -1)
+    return x.select("repo", "file", F.col("u.line").alias("line"), symbol_id(F.col("package"), F.col("u.type")).alias("caller"), name.alias("name"), F.lit(None).cast("string").alias("qualifier")).filter(F.col("name").rlike("^[A-Z]"))

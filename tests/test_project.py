@@ -12,11 +12,11 @@ def rows(df, *cols):
 def test_symbols_skip_comments_strings_and_keywords(spark):
     java = 'package a.b;\nclass Out {\n  class In {\n    @Inject Dao dao;\n    void f() { g("x{"); }\n  }\n  // void no() {\n  /* class No {\n  } */\n  void g() {\n    if (x) { dao.save(1); }\n  }\n}\n'
     files = spark.createDataFrame([("r", "A.java", java), ("r", "b.ts", "export function load(id) {\n  return find(id);\n}\n"), ("r", "c.go", "func (s *S) Run() error {\n  s.stop()\n}"), ("r", "d.java", None), ("r", "e.java", ""), ("r", "f.md", "class X {")], FILES)
-    p = symbols.parse(files)
+    p = symbols.facts(files, symbols.INJECTS)
     assert rows(symbols.nodes(p), "id", "kind", "line") == [
-        ("Run", "method", 1), ("a.b.In", "class", 3), ("a.b.In.f", "method", 5), ("a.b.Out", "class", 2), ("a.b.Out.g", "method", 10), ("load", "method", 1),
+        ("Run", "method", 1), ("a.b.In", "class", 3), ("a.b.In.f", "method", 5), ("a.b.Out", "class", 2), ("a.b.Out.g", "method", 10), ("b.load", "method", 1),
     ]
-    assert rows(symbols.call_sites(p), "caller", "name", "line") == [("Run", "stop", 2), ("a.b.In.f", "g", 5), ("a.b.Out.g", "save", 11), ("load", "find", 2)]
+    assert rows(symbols.call_sites(p), "caller", "name", "line") == [("Run", "stop", 2), ("a.b.In.f", "g", 5), ("a.b.Out.g", "save", 11), ("b.load", "find", 2)]
     assert rows(symbols.injections(p), "caller", "name") == [("a.b.In", "Dao")]
 
 

@@ -1,8 +1,11 @@
 """Extraction over source shapes that the corpora made from the star tables do not have."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions.source import Scan
 from cairn.functions.text import slugify, tokens
 from cairn.operators import facts, graph, relations, symbols
 
@@ -22,20 +25,87 @@ GO = "package m\nfunc (s *S) Run(a int) (int, error) {\n  s.stop()\n}\nfunc Free
 
 def test_shapes(spark):
     files = spark.createDataFrame([("r", "a.ts", TS), ("r", "src/pkg/b.py", PY), ("r", "C.java", JAVA), ("r", "d.go", GO)], FILES)
-    p = symbols.parse(files).cache()
+    p = symbols.facts(files, symbols.INJECTS)
     assert rows(symbols.nodes(p).filter("kind = 'method'"), "file", "line", "id", "visibility") == [
-        ("C.java", 7, "p.C.C", "public"), ("C.java", 9, "p.C.all", "public"), ("C.java", 13, "p.C.plain", "package"), ("a.ts", 1, "load", ""), ("a.ts", 4, "one", ""),
-        ("a.ts", 6, "Shop.find", "private"), ("a.ts", 12, "Shop.name", ""), ("d.go", 2, "m.Run", ""), ("d.go", 5, "m.Free", ""),
-        ("src/pkg/b.py", 4, "pkg.b.A.f", ""), ("src/pkg/b.py", 8, "pkg.b.A.h", ""), ("src/pkg/b.py", 10, "pkg.b.top", ""), ("src/pkg/b.py", 11, "pkg.b.inner", ""),
+        ("C.java", 7, "p.C.C", "public"), ("C.java", 9, "p.C.all", "public"), ("C.java", 13, "p.C.plain", "package"), ("a.ts", 1, "a.load", "module"), ("a.ts", 4, "a.one", "module"),
+        ("a.ts", 6, "a.Shop.find", "private"), ("a.ts", 12, "a.Shop.name", "unknown"), ("d.go", 2, "m.Run", "public"), ("d.go", 5, "m.Free", "public"),
+        ("src/pkg/b.py", 4, "src.pkg.b.A.f", "public"), ("src/pkg/b.py", 8, "src.pkg.b.A.h", "public"), ("src/pkg/b.py", 10, "src.pkg.b.top", "public"), ("src/pkg/b.py", 11, "src.pkg.b.inner", "public"),
     ]
     assert rows(symbols.call_sites(p).fillna(""), "file", "line", "caller", "qualifier", "name") == [
-        ("C.java", 11, "p.C.all", "", "Runner"), ("C.java", 11, "p.C.all", "", "list"), ("C.java", 11, "p.C.all", "", "run"), ("a.ts", 2, "load", "api", "get"), ("a.ts", 10, "Shop.find", "repo", "find"),
-        ("d.go", 3, "m.Run", "s", "stop"), ("src/pkg/b.py", 6, "pkg.b.A.f", "", "g"), ("src/pkg/b.py", 11, "pkg.b.inner", "", "k"), ("src/pkg/b.py", 12, "pkg.b.top", "", "A"),
+        ("C.java", 11, "p.C.all", "", "Runner"), ("C.java", 11, "p.C.all", "", "list"), ("C.java", 11, "p.C.all", "", "run"), ("a.ts", 2, "a.load", "api", "get"), ("a.ts", 10, "a.Shop.find", "repo", "find"),
+        ("d.go", 3, "m.Run", "s", "stop"), ("src/pkg/b.py", 6, "src.pkg.b.A.f", "", "g"), ("src/pkg/b.py", 11, "src.pkg.b.inner", "", "k"), ("src/pkg/b.py", 12, "src.pkg.b.top", "", "A"),
     ]
     assert rows(symbols.injections(p), "line", "caller", "name") == [(4, "p.C", "Dao"), (6, "p.C", "Foo")]
     got = {r.id: (r.type, r.extends, r.implements, [m.name for m in r.methods]) for r in symbols.build_symbols(p).collect()}
-    assert got["Shop"] == ("class", ["Base"], ["A", "B"], ["find", "name"]) and got["pkg.b.A"] == ("class", ["Base", "mixins.M"], [], ["f", "h"])
-    assert got["p.C"] == ("class", ["D"], ["I", "J"], ["C", "all", "plain"]) and got["load"] == ("function", [], [], [])
+    assert got["a.Shop"] == ("class", ["Base"], ["A", "B"], ["find", "name"]) and got["src.pkg.b.A"] == ("class", ["Base", "mixins.M"], [], ["f", "h"])
+    assert got["p.C"] == ("class", ["D"], ["I", "J"], ["C", "all", "plain"]) and got["a.load"] == ("function", [], [], [])
+
+
+KT = """package k
+@Service class Foo<T : Any>(val a: Int) : Bar(a), Baz {
+  private fun short() = go(1)
+  @Inject lateinit var dao: Dao
+  fun <T> long(x: T): List<T> {
+    items.forEach { run(it) }
+    return x.map { y -> y.z() }
+      .filter { ok(it) }
+  }
+  companion object { fun make(): Foo = Foo(1) }
+}
+fun top() { Foo(2).short() }
+"""
+NESTED = """package p;
+class J<T> extends B<T, List<T>> implements I<A, B>, K {
+  Runnable r = new Runnable() { public void run() { inner(); } };
+  static class N { void one() { two(); } }
+  enum E { A(1) { void z() { q(); } }, B(2); E(int i) { } }
+  record P(int x, int y) implements Q { int sum() { return x + y; } }
+  void last() { if (a) { b("}"); } else if (c()) { d('{'); } /* { */ }
+}
+"""
+CS = "namespace n.m {\n  public class C : Base, IOne {\n    public C(int a) : base(a) { X(); }\n    int Two() => Three(1);\n    internal async Task Go()\n    {\n      await this.Two();\n    }\n  }\n}\n"
+VIS = "def _hidden(): pass\nclass _A:\n    async def go(self): self._hidden()\n"
+
+
+def test_nested_and_short_forms(spark):
+    """Types in brackets and one-line bodies, generic heads, Kotlin's constructors and expression bodies, ids of script files, visibility by language."""
+    files = spark.createDataFrame([("r", "K.kt", KT), ("r", "J.java", NESTED), ("r", "C.cs", CS), ("r", "s/v.py", VIS), ("r", "g.go", "package g\nfunc low() {}\nfunc Up() { low() }\n"), ("r", "a/x.ts", "function load() { go(); }"), ("r", "b/x.ts", "function load() {}\nclass Q { private m() {} n() {} }")], FILES)
+    p = symbols.facts(files, symbols.INJECTS)
+    got = {(r.file, r.id): (r.kind, r.visibility) for r in symbols.nodes(p).collect()}
+    assert got == {
+        ("K.kt", "k.Foo"): ("class", ""), ("K.kt", "k.Foo.short"): ("method", "private"), ("K.kt", "k.Foo.long"): ("method", "package"), ("K.kt", "k.Foo.make"): ("method", "package"), ("K.kt", "k.top"): ("method", "package"),
+        ("J.java", "p.J"): ("class", ""), ("J.java", "p.J.run"): ("method", "public"), ("J.java", "p.N"): ("class", ""), ("J.java", "p.N.one"): ("method", "package"), ("J.java", "p.E"): ("enum", ""), ("J.java", "p.E.z"): ("method", "package"),
+        ("J.java", "p.E.E"): ("method", "package"), ("J.java", "p.P"): ("record", ""), ("J.java", "p.P.sum"): ("method", "package"), ("J.java", "p.J.last"): ("method", "package"),
+        ("C.cs", "n.m.C"): ("class", ""), ("C.cs", "n.m.C.C"): ("method", "public"), ("C.cs", "n.m.C.Two"): ("method", "package"), ("C.cs", "n.m.C.Go"): ("method", "internal"),
+        ("s/v.py", "s.v._hidden"): ("method", "private"), ("s/v.py", "s.v._A"): ("class", ""), ("s/v.py", "s.v._A.go"): ("method", "public"), ("g.go", "g.low"): ("method", "private"), ("g.go", "g.Up"): ("method", "public"),
+        ("a/x.ts", "a.x.load"): ("method", "module"), ("b/x.ts", "b.x.load"): ("method", "module"), ("b/x.ts", "b.x.Q"): ("class", ""), ("b/x.ts", "b.x.Q.m"): ("method", "private"), ("b/x.ts", "b.x.Q.n"): ("method", "unknown"),
+    }
+    assert rows(symbols.call_sites(p).fillna(""), "caller", "qualifier", "name") == sorted([
+        ("k.Foo.short", "", "go"), ("k.Foo.long", "", "run"), ("k.Foo.long", "y", "z"), ("k.Foo.long", "", "ok"), ("k.Foo.make", "", "Foo"), ("k.top", "", "Foo"), ("k.top", "", "short"), ("p.J.run", "", "inner"), ("p.N.one", "", "two"),
+        ("p.E.z", "", "q"), ("p.J.last", "", "b"), ("p.J.last", "", "c"), ("p.J.last", "", "d"), ("n.m.C.C", "", "X"), ("n.m.C.Two", "", "Three"), ("n.m.C.Go", "this", "Two"), ("s.v._A.go", "self", "_hidden"), ("g.Up", "", "low"), ("a.x.load", "", "go"),
+    ])
+    parents = {r.id: (r.extends, r.implements) for r in symbols.build_symbols(p).filter("type <> 'function'").collect()}
+    assert parents["k.Foo"] == (["Bar", "Baz"], []) and parents["p.J"] == (["B"], ["I", "K"]) and parents["n.m.C"] == (["Base", "IOne"], []) and parents["p.P"] == ([], ["Q"])
+    assert rows(symbols.injections(p), "caller", "name") == [("k.Foo", "Dao")]
+
+
+def test_scan_is_linear():
+    """Twenty thousand lines in seconds, and twice the lines in about twice the time."""
+    body = lambda n: "class A {\n" + "".join(f'  @Get("/x")\n  public void f{i}(String a) {{\n    if (a.b()) {{ this.c.d(e({i})); }}\n  }}\n' for i in range(n)) + "}\n"
+    took = []
+    for n in (2500, 5000):
+        began = time.process_time()
+        s = Scan(body(n), "java", frozenset(["Get"]))
+        took.append(time.process_time() - began)
+        assert len(s.methods) == n and sum(u["mark"] == "@" for u in s.uses) == n and all(u["last"] >= u["line"] for u in s.uses)
+    assert took[1] < 10 and took[1] < 3.5 * took[0] + 0.5
+
+
+@pytest.mark.parametrize("text", ["", "}", ")", "{", "((([", "class", "class A {", "fun(", "a => ", "@", "'", '"""', "/*", "x = = => {", "def f(:", "} } ) ] {", "const f = ", "[Http", "func (", "@A @B("])
+@pytest.mark.parametrize("ext", ["java", "kt", "cs", "ts", "py", "go"])
+def test_broken_sources(text, ext):
+    s = Scan(text, ext, frozenset(["A"]))
+    assert all(0 <= t["start"] <= t["end"] <= len(text) for t in (*s.types, *s.methods, *s.uses))
 
 
 @pytest.mark.parametrize(
