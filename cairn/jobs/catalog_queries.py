@@ -293,7 +293,7 @@ def unresolved_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.check_unresolved(meta, c)
 
 
-def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report_section_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = report_corpus(spark, sf_dir)
     reports = r.select(_s("@repo", "/", "@path").alias("repo"), F.lit("Lite").alias("tier"), "content")
     s = markdown.sections(r).select(_s("@repo", "/", "@path").alias("repo"), "level", "title", "body")
@@ -342,7 +342,7 @@ def item_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     stored_statements, statement_uses, statement_joins, method_tables, unused_statements, project_counts, index_summary, index_status, evidence_files, pattern_candidates, all_relations, relation_stats,
     entity_tables, matches_across, backend_drift, partner_contracts, external_owners, contract_status, markdown_documents, document_inventory, glossary_domains, limit_notes, noted_nodes, related_items, document_findings,
-    test_cases, quality_commands, ai_evidence, required_files, declared_indexes, unresolved_counts, report_sections, pattern_coverage, stale_indexes, project_edges, project_nodes, item_table,
+    test_cases, quality_commands, ai_evidence, required_files, declared_indexes, unresolved_counts, report_section_checks, pattern_coverage, stale_indexes, project_edges, project_nodes, item_table,
 )
 
 _M = "d AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey % 7 AS u, 'db' || (s_suppkey % 20) AS repo FROM supplier)"
@@ -414,7 +414,7 @@ ORACLE = {
  WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = path)""",
     "declared_indexes": "SELECT DISTINCT 'd' || doc_id AS repo, 'labels' AS index_name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
     "unresolved_counts": f"WITH {_N}, x AS (SELECT n_nationkey AS k, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS found FROM nation) SELECT 'n' || k AS repo, CAST(k % 9 AS BIGINT) AS said, found FROM x WHERE k % 9 <> found",
-    "report_sections": f"""WITH {_W} SELECT repo || '/docs/r' || k || '.md' AS repo, unnest(['ANALYZER_SECTION', 'ANALYZER_SECTION', 'ANALYZER_LANGUAGE', 'ANALYZER_DETAIL']) AS code, unnest(['Detail', '근거 원장', NULL, NULL]) AS what FROM w""",
+    "report_section_checks": f"""WITH {_W} SELECT repo || '/docs/r' || k || '.md' AS repo, unnest(['ANALYZER_SECTION', 'ANALYZER_SECTION', 'ANALYZER_LANGUAGE', 'ANALYZER_DETAIL']) AS code, unnest(['Detail', '근거 원장', NULL, NULL]) AS what FROM w""",
     "pattern_coverage": """WITH c AS (SELECT DISTINCT p_size AS s, p_type AS t FROM part), d AS (SELECT DISTINCT p_size AS s, p_type AS t FROM part WHERE p_retailprice > 950),
  h AS (SELECT s, t FROM c WHERE s % 2 = 0 AND t = 'PROMO' AND (s, t) NOT IN (SELECT (s, t) FROM d)),
  g AS (SELECT s, count(*) AS n, (SELECT count(*) FROM d WHERE d.s = c.s) + (SELECT count(*) FROM h WHERE h.s = c.s) AS satisfied FROM c GROUP BY s)

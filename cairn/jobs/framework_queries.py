@@ -21,6 +21,17 @@ MAPPED = (
     ("ts", "@Entity({ name: \"s#\" })\nexport class T# {\n  @OneToOne(() => Item, i => i.t)\n  item: Item;\n}\nT#.hasMany(Role);\n"),
     ("py", 'class A#(Base):\n    __tablename__ = "a#"\n    b_id = Column(Integer, ForeignKey("b#.id"))\n    c = relationship("C", secondary=ac)\nclass D#(models.Model):\n    e = models.OneToOneField("app.E")\n'),
 )
+#: The same over several lines, with brackets in arguments, bare annotations and options before the path.
+WEB_LONG = (
+    ("java", '@RestController\n@RequestMapping(\n    value = "/long#",\n    produces = {"a/b", "c(d)"}\n)\npublic class L# {\n  @GetMapping\n  public List<Item> all#() {\n  }\n  @PostMapping(\n    consumes = "x/y",\n    path = "/new"\n  )\n  public void add#(@RequestBody(required = isTrue(")")) Item i) {\n  }\n  static class In {\n    @DeleteMapping("/in")\n    void drop#() {\n    }\n  }\n}\n'),
+    ("py", '@router.put(\n    "/l#/{x}",\n    dependencies=[Depends(check("a)"))],\n)\nasync def put#(x):\n    pass\n\n@app.route(\n    "/m#",\n    methods=[\n        "PATCH",\n    ],\n)\ndef patch#():\n    pass\n'),
+    ("ts", "class C# {\n  async load(id) {\n    const r = await axios.post(\n      `/n#/${id}`,\n      {a: f(1)},\n    );\n    return fetch('/o#', {\n      headers: h({x: 1}),\n      method: 'PUT',\n    });\n  }\n}\n"),
+)
+MAPPED_LONG = (
+    ("java", '@Entity\n@Table(\n    name = "long_#",\n    indexes = {@Index(columnList = "a(b)")}\n)\npublic class L# {\n  @ManyToOne(\n    fetch = FetchType.LAZY,\n    cascade = {CascadeType.ALL}\n  )\n  @JoinColumn(\n    name = "c_id"\n  )\n  private Customer owner;\n  @OneToMany(\n    mappedBy = "l",\n    orphanRemoval = true\n  )\n  private final List<Item> items = new ArrayList<>();\n}\n@Entity\nclass Second# {\n  @OneToOne(targetEntity = Third.class)\n  private Object third;\n}\n'),
+    ("ts", "@Entity(\n  'ts_#',\n  { orderBy: { id: 'ASC' } },\n)\nexport class T# {\n  @ManyToMany(\n    () => Tag,\n    (t) => t.items,\n  )\n  tags: Tag[];\n}\nT#.belongsToMany(\n  Role,\n  { through: 'x' },\n);\n"),
+    ("py", 'class A#(Base):\n    __tablename__ = "py_#"\n    b_id = mapped_column(\n        Integer,\n        ForeignKey(\n            "b#.id",\n        ),\n        unique=True,\n    )\n    c = relationship(\n        "C",\n        uselist=False,\n    )\n'),
+)
 STARTED = (
     ("cs", "void Init() {\n  this.btn#.Click += new EventHandler(OnSave#);\n}\n"),
     ("java", "class J# {\n  @Scheduled(fixedRate = #)\n  public void nightly#() {\n  }\n  public static void main(String[] a) {\n  }\n}\n"),
@@ -59,6 +70,26 @@ def mapped_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("repo", "file", "from_entity", "to_entity", "to_is_table", "framework", "cardinality", "owning_side")
 
 
+def web_endpoints_over_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = web.endpoints(_files(spark, sf_dir, WEB_LONG))
+    return e.select("repo", "file", F.col("line").cast("long").alias("line"), "framework", "method", "path_pattern", "handler")
+
+
+def web_consumers_over_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = web.consumers(_files(spark, sf_dir, WEB_LONG))
+    return c.select("repo", "file", F.col("line").cast("long").alias("line"), "call_type", "method", "path_pattern", "function")
+
+
+def mapped_entities_over_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = orm.entities(_files(spark, sf_dir, MAPPED_LONG))
+    return e.select("repo", "file", "name", F.col("table").alias("table_name"), "table_resolved", "framework")
+
+
+def mapped_relations_over_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = orm.entity_relations(_files(spark, sf_dir, MAPPED_LONG))
+    return r.select("repo", "file", "from_entity", "to_entity", "to_is_table", "framework", "cardinality", "owning_side")
+
+
 def trigger_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Handlers are nodes where the part's key is even; OnSave of keys that four divides are two."""
     b = bindings.extract_bindings(_files(spark, sf_dir, STARTED))
@@ -74,7 +105,9 @@ def legacy_routines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("repo", "file", F.col("line").cast("long").alias("line"), "id", "type")
 
 
-_QUERIES = (web_endpoints, web_consumers, mapped_entities, mapped_relations, trigger_bindings, legacy_routines)
+_QUERIES = (
+    web_endpoints, web_consumers, mapped_entities, mapped_relations, web_endpoints_over_lines, web_consumers_over_lines, mapped_entities_over_lines, mapped_relations_over_lines, trigger_bindings, legacy_routines,
+)
 
 
 def _oracle(n: int, columns: str, *rows: tuple) -> str:
@@ -105,6 +138,19 @@ ORACLE = {
         (1, "ts", "'T' || k, 'Item', false, 'typeorm', 'one_to_one', true"), (1, "ts", "'T' || k, 'Role', false, 'sequelize', 'one_to_many', true"), (2, "py", "'A' || k, 'b' || k, true, 'sqlalchemy', 'many_to_one', true"),
         (2, "py", "'A' || k, 'C', false, 'sqlalchemy', 'many_to_many', true"), (2, "py", "'D' || k, 'E', false, 'django', 'one_to_one', true"),
     ),
+    "web_endpoints_over_lines": _oracle(
+        3, "line, framework, method, path_pattern, handler", (0, "java", _LINE.format(7) + "'spring', 'GET', '/long' || k, 'all' || k"), (0, "java", _LINE.format(10) + "'spring', 'POST', '/long' || k || '/new', 'add' || k"),
+        (0, "java", _LINE.format(17) + "'spring', 'DELETE', '/in', 'drop' || k"), (1, "py", _LINE.format(1) + "'fastapi', 'PUT', '/l' || k || '/{param}', 'put' || k"), (1, "py", _LINE.format(8) + "'flask', 'PATCH', '/m' || k, 'patch' || k"),
+    ),
+    "web_consumers_over_lines": _oracle(3, "line, call_type, method, path_pattern, function", (2, "ts", _LINE.format(3) + "'axios', 'POST', '/n' || k || '/{param}', 'load'"), (2, "ts", _LINE.format(7) + "'fetch', 'PUT', '/o' || k, 'load'")),
+    "mapped_entities_over_lines": _oracle(
+        3, "name, table_name, table_resolved, framework", (0, "java", "'L' || k, 'long_' || k, true, 'jpa'"), (0, "java", "'Second' || k, 'Second' || k, false, 'jpa'"), (1, "ts", "'T' || k, 'ts_' || k, true, 'typeorm'"), (2, "py", "'A' || k, 'py_' || k, true, 'sqlalchemy'"),
+    ),
+    "mapped_relations_over_lines": _oracle(
+        3, "from_entity, to_entity, to_is_table, framework, cardinality, owning_side", (0, "java", "'L' || k, 'Customer', false, 'jpa', 'many_to_one', true"), (0, "java", "'L' || k, 'Item', false, 'jpa', 'one_to_many', false"),
+        (0, "java", "'Second' || k, 'Third', false, 'jpa', 'one_to_one', true"), (1, "ts", "'T' || k, 'Tag', false, 'typeorm', 'many_to_many', true"), (1, "ts", "'T' || k, 'Role', false, 'sequelize', 'many_to_many', true"),
+        (2, "py", "'A' || k, 'b' || k, true, 'sqlalchemy', 'one_to_one', true"), (2, "py", "'A' || k, 'C', false, 'sqlalchemy', 'one_to_one', true"),
+    ),
     "trigger_bindings": """WITH p AS (SELECT p_partkey AS k, 'w' || (p_partkey % 30) AS repo FROM part), x AS (
  SELECT repo, k, 'src/f' || k || '.cs#btn' || k || '.Click' AS trigger, 'OnSave' || k AS handler_name, 'ui_event' AS type, k % 4 = 2 AS one FROM p WHERE k % 3 = 0
  UNION ALL SELECT repo, k, 'src/f' || k || '.java#scheduled:fixedRate = ' || k, 'nightly' || k, 'scheduler', k % 2 = 0 FROM p WHERE k % 3 = 1 UNION ALL SELECT repo, k, 'src/f' || k || '.java#process-entry', 'main', 'process_entry', false FROM p WHERE k % 3 = 1

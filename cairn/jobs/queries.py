@@ -11,6 +11,7 @@ from . import catalog_queries as catalog
 from . import fact_queries as parsed
 from . import framework_queries as frameworks
 from . import project_queries as project
+from . import router_queries as routing
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,8 +161,21 @@ _QUERIES = (
 )
 
 
+_PARTS = (project, parsed, catalog, frameworks, routing)
+
+
+def merged(*parts: dict) -> dict:
+    """One dictionary of all; a name that comes twice is a mistake."""
+    out: dict = {}
+    for p in parts:
+        if twice := out.keys() & p.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= p
+    return out
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES} | project.queries() | parsed.queries() | catalog.queries() | frameworks.queries()
+    return merged({f.__name__: f for f in _QUERIES}, *(m.queries() for m in _PARTS))
 
 
 _E = """e AS (SELECT 'api' || (p_partkey % 50) AS repo, 'src/C' || p_partkey || '.java' AS file, '/shop/s' || p_size || '/items/{param}/p' || p_partkey AS path_pattern FROM part)"""
@@ -216,4 +230,4 @@ ORACLE |= {
 
 
 def oracle_sql() -> dict:
-    return ORACLE | project.oracle_sql() | parsed.oracle_sql() | catalog.oracle_sql() | frameworks.oracle_sql()
+    return merged(ORACLE, *(m.oracle_sql() for m in _PARTS))

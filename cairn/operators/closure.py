@@ -1,66 +1,70 @@
-"""Fixpoints over edges, as many rounds as the longest chain of new finds: router prefixes and transaction scopes. Each round is written to the shared folder, so lineage stays short and a lost
-executor costs one round at most."""
+"""Fixpoints over edges: router prefixes and transaction scopes. Steps are doubled from round to round, so that the rounds grow as the logarithm of the depth and not as the depth; each round is written
+to the shared folder, so lineage stays short and a lost executor costs one round at most."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import join_path
+from ..sources.tables import discard, written
 
-
-class Rounds:
-    """One table in the shared folder of spark.checkpoint.dir that grows by a folder a round; small rounds are read back as few partitions.
-    A folder of our own only where the setting is unset."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = tempfile.mkdtemp(prefix="spark-")
-        self.spark, self.root, self.paths = spark, f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}", []
-
-    def add(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths):04d}"
-        df.write.parquet(path)
-        self.schema = df.schema
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def all(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*self.paths)
+#: Steps are doubled only while the pairs that this passes through are no more than so many times the edges and the finds so far.
+DOUBLING = 8
 
 
 def mount_prefixes(mounts: DataFrame, roots: DataFrame) -> DataFrame:
     """mounts(repo, owner, target, prefix) and roots(repo, module) -> repo, module, prefix: every prefix under which a module is reached.
-    A module is passed once along a chain, so mount cycles end; mounts without a known prefix (null) lead nowhere."""
-    known = mounts.filter("prefix is not null").select("repo", F.col("owner").alias("module"), "target", F.col("prefix").alias("step")).distinct()
-    known = Rounds(mounts.sparkSession).add(known)
-    done = Rounds(mounts.sparkSession)
-    front = done.add(roots.select("repo", "module", F.lit("/").alias("prefix"), F.array("module").alias("chain")).distinct())
-    while True:
-        nxt = front.join(known, ["repo", "module"]).filter(~F.array_contains("chain", F.col("target")))
-        front = done.add(nxt.select("repo", F.col("target").alias("module"), join_path(F.col("prefix"), F.col("step")).alias("prefix"), F.concat("chain", F.array("target")).alias("chain")).distinct())
-        if front.isEmpty():
-            break
-    return done.all().select("repo", "module", "prefix").distinct()
+    A module is passed once along a chain, so mount cycles end; mounts without a known prefix (null) lead nowhere.
+
+    Round j joins the chains of less than 2^j mounts from a root with all chains of exactly 2^j mounts: each chain is made once."""
+    step = mounts.filter("prefix is not null and owner <> target").select("repo", "owner", "target", "prefix", F.array("target").alias("chain")).distinct()
+    step = written(step)
+    done = written(roots.select("repo", "module", F.lit("/").alias("prefix"), F.array("module").alias("chain")).distinct())
+    while not step.isEmpty():
+        s = step.select("repo", F.col("owner").alias("module"), F.col("target").alias("_t"), F.col("prefix").alias("_p"), F.col("chain").alias("_c"))
+        found = done.join(s, ["repo", "module"]).filter(~F.arrays_overlap("chain", "_c"))
+        found = found.select("repo", F.col("_t").alias("module"), join_path(F.col("prefix"), F.col("_p")).alias("prefix"), F.concat("chain", "_c").alias("chain"))
+        grown = written(done.unionByName(found))
+        a, b = step.alias("a"), step.alias("b")
+        twice = a.join(b, (F.col("a.repo") == F.col("b.repo")) & (F.col("a.target") == F.col("b.owner"))).filter(~F.arrays_overlap("a.chain", "b.chain") & ~F.array_contains("b.chain", F.col("a.owner")))
+        twice = written(twice.select("a.repo", "a.owner", "b.target", join_path(F.col("a.prefix"), F.col("b.prefix")).alias("prefix"), F.concat("a.chain", "b.chain").alias("chain")))
+        discard(done, step)
+        done, step = grown, twice
+    discard(step)
+    return done.select("repo", "module", "prefix").distinct()
 
 
 def scope(entries: DataFrame, edges: DataFrame) -> DataFrame:
-    """entries(repo, entry) and edges(repo, from, to) -> repo, entry, method: all methods reached from an entry, itself included."""
-    step = Rounds(edges.sparkSession).add(edges.select("repo", F.col("from").alias("method"), "to").distinct())
-    done = Rounds(edges.sparkSession)
-    front = done.add(entries.select("repo", "entry", F.col("entry").alias("method")).distinct())
+    """entries(repo, entry) and edges(repo, from, to) -> repo, entry, method: all methods reached from an entry, itself included.
+
+    A round takes what the last one found by steps of up to h edges, and doubles h where that is cheap: long chains take a logarithm of their length. Where all reach all, steps stay short, and few
+    rounds are left anyway."""
+    step = written(edges.filter("from is not null and to is not null and from <> to").select("repo", F.col("from").alias("method"), "to").distinct())
+    far, n_edges = step, step.count()  # far: by walks of exactly h edges
+    front = written(entries.filter("entry is not null").select("repo", "entry", F.col("entry").alias("method")).distinct())
+    done, n_done, doubles = front, front.count(), True
     while True:
-        nxt = front.join(step, ["repo", "method"]).select("repo", "entry", F.col("to").alias("method")).distinct()
-        front = done.add(nxt.join(done.all(), ["repo", "entry", "method"], "left_anti"))
-        if front.isEmpty():
-            break
-    return done.all()
+        found = front.join(step, ["repo", "method"]).select("repo", "entry", F.col("to").alias("method")).distinct()
+        new = written(found.join(done, ["repo", "entry", "method"], "left_anti"))
+        n = new.count()
+        if not n:
+            discard(new, step, far if far is not step else None)
+            return done
+        grown = written(done.unionByName(new))
+        discard(front, done if done is not front else None)
+        front, done, n_done = new, grown, n_done + n
+        if not doubles:
+            continue
+        ends = far.groupBy("repo", F.col("to").alias("method")).agg(F.count("*").alias("i"))
+        begins = step.groupBy("repo", "method").agg(F.count("*").alias("o"))
+        doubles = (ends.join(begins, ["repo", "method"]).agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0) <= DOUBLING * (n_edges + n_done)
+        if doubles:
+            on = far.select("repo", F.col("method").alias("_m"), F.col("to").alias("method"))
+            by = lambda s: on.join(s, ["repo", "method"]).select("repo", F.col("_m").alias("method"), "to").filter("method <> to").distinct()
+            longer, twice = written(step.unionByName(by(step)).distinct()), written(by(far))
+            discard(step, far if far is not step else None)
+            step, far = longer, twice
 
 
 def in_transaction(calls: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -1,88 +1,108 @@
-"""Entities of object-relational mappers and the relations that they state. Files are cut to the lines that say something of a mapping; each goes to the class
-it stands in, the last one that begins before it."""
+"""Entities of object-relational mappers and the relations that they state: annotations, assigned fields and associations, which are uses of names with whole arguments, however many lines these
+take. Each goes to the type it stands in, and annotations of a type to the one they stand before."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..sources.corpus import extension
-from .contracts import lines
-
-#: What a mapping is called, by mapper, and its cardinality.
-CARDINALITY = {
-    "OneToOne": "one_to_one", "ManyToOne": "many_to_one", "OneToMany": "one_to_many", "ManyToMany": "many_to_many", "hasOne": "one_to_one", "belongsTo": "many_to_one", "hasMany": "one_to_many",
-    "belongsToMany": "many_to_many", "ForeignKey": "many_to_one", "OneToOneField": "one_to_one", "ManyToManyField": "many_to_many",
-}
-TYPE = r"^\s*(?:[a-z]+\s+)*class\s+([\w$]+)\s*(?:\(([^)]*)\))?"
-ANNOTATED = r"@(OneToOne|ManyToOne|OneToMany|ManyToMany)\b\s*(?:\(([^\n]*)\))?"
-FIELD = r"^\s*(?:(?:private|protected|public|final|val|var|lateinit)\s+)*(?:\w+\s*<\s*)?([A-Z][\w$]*)\s*>?\s+[\w$]+\s*[;=]"
-ASSIGNED = r"^\s*(\w+)\s*(?::[^=]*)?=\s*(?:[\w]+\.)?(Column|mapped_column|relationship|ForeignKey|OneToOneField|ManyToManyField)\s*\((.*)$"
-ASSOCIATED = r"\b([A-Z][\w$]*)\.(hasOne|hasMany|belongsToMany|belongsTo)\(\s*([A-Z][\w$]*)"
+from . import symbols
+
+#: Names of mappings, by mapper.
+SIDES = ("OneToOne", "ManyToOne", "OneToMany", "ManyToMany")
+ASSOCIATIONS = {"hasOne": "one_to_one", "belongsTo": "many_to_one", "hasMany": "one_to_many", "belongsToMany": "many_to_many"}
+FIELDS = {"ForeignKey": "many_to_one", "OneToOneField": "one_to_one", "ManyToManyField": "many_to_many"}
+COLUMNS = ("Column", "mapped_column")
+ALCHEMY, DJANGO = ("Base", "DeclarativeBase"), ("Model",)
+NAMES = ("Entity", "Table", "JoinColumn", *SIDES, *ASSOCIATIONS, *FIELDS, *COLUMNS, "relationship")
 JVM, SCRIPT = ("java", "kt"), ("ts", "tsx", "js")
 
 
-def _marked(files: DataFrame) -> DataFrame:
-    """repo, path, ext, line, text and the class around each line that names a mapping (null above the first), with the classes themselves."""
-    said = r"@Entity\b|@Table\b|@JoinColumn\b|__tablename__|db_table|" + "|".join((TYPE, ANNOTATED, FIELD, ASSIGNED, ASSOCIATED))
-    t = lines(files.filter(extension(F.col("path")).isin(*JVM, *SCRIPT, "py"))).filter(F.col("text").rlike(said))
-    w = W.partitionBy("repo", "path").orderBy("line")
-    c = F.nullif(F.regexp_extract("text", TYPE, 1), F.lit(""))
-    here = F.when(c.isNotNull(), F.struct(c.alias("name"), F.col("line").alias("line"), F.regexp_extract("text", TYPE, 2).alias("bases")))
-    t = t.select("repo", "path", extension(F.col("path")).alias("ext"), "line", "text", here.alias("_c"))
-    return t.withColumn("own", F.last("_c", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn(
-        "coming", F.first("_c", ignorenulls=True).over(w.rowsBetween(W.currentRow, W.unboundedFollowing))
-    )
+def snake(name: Column) -> Column:
+    """OneToMany: one_to_many."""
+    return F.lower(F.regexp_replace(name, r"(?<=[a-z])([A-Z])", "_$1"))
+
+
+def first_word(args: Column) -> Column:
+    """The first name among the arguments: bare, in quotes, or what an arrow without a body returns; its last part."""
+    return F.nullif(F.element_at(F.split(F.regexp_extract(args, r"^\s*(?:\(?\s*\w*\s*\)?\s*=>\s*)?[\"']?([A-Za-z_$][\w$.]*)", 1), r"\."), -1), F.lit(""))
+
+
+def option(args: Column, name: str) -> Column:
+    """What a named argument is set to; null if it is not."""
+    return F.nullif(F.regexp_extract(args, rf"\b{name}\s*[=:]\s*[\"']?([\w$.]+)", 1), F.lit(""))
+
+
+def uses(files: DataFrame) -> DataFrame:
+    """repo, file, ext, type, and the struct u of uses of NAMES and of types: a row each."""
+    p = symbols.parse(files, NAMES)
+    named = F.filter("uses", lambda u: u["name"].isin(*NAMES) & ~u["declares"])
+    field = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    of_use = lambda u: F.struct(u["mark"].alias("mark"), u["owner"].alias("owner"), u["name"].alias("name"), F.coalesce(u["args"], F.lit("")).alias("args"), u["line"].alias("line"), u["start"].alias("start"), u["type"].alias("type"), u["ahead"].alias("ahead"), u["ahead_name"].alias("ahead_name"), u["after"].alias("after"), u["field"].alias("field"), field("bases", "array<string>"))
+    of_type = lambda t: F.struct(F.lit("type").alias("mark"), F.lit("").alias("owner"), t["name"].alias("name"), F.lit("").alias("args"), t["line"].alias("line"), t["start"].alias("start"), t["name"].alias("type"), field("ahead", "string"), field("ahead_name", "string"), field("after", "string"), field("field", "string"), t["extends"].alias("bases"))
+    return p.filter(F.col("ext").isin(*JVM, *SCRIPT, "py")).select("repo", "file", "ext", F.inline(F.concat(F.transform(named, of_use), F.transform("types", of_type))))
+
+
+def assigned_texts(files: DataFrame) -> DataFrame:
+    """repo, file, line, field, text: Python fields that are set to a literal."""
+    set_ = r"(?m)^[ \t]+(__tablename__|db_table)[ \t]*=[ \t]*[\"']([^\"']+)[\"']"
+    from ..functions.text import spans
+    from ..sources.corpus import extension
+
+    s = files.filter(extension(F.col("path")) == "py").select("repo", F.col("path").alias("file"), F.explode(spans(F.col("content"), set_, 2)).alias("s"))
+    return s.select("repo", "file", F.col("s.line").alias("line"), F.col("s.a").alias("field"), F.col("s.b").alias("text"))
+
+
+def entities(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """repo, file, line, name, table, table_resolved, framework of JPA, TypeORM, SQLAlchemy and Django; an entity without a table of its own goes by its name."""
+    u = symbols.written(uses(files)) if found is None else found
+    types = u.filter("mark = 'type'").select("repo", "file", "ext", "line", "name", "bases")
+    quoted = F.nullif(F.regexp_extract("args", r"[\"']([^\"']+)[\"']", 1), F.lit(""))
+    marked = u.filter("mark = '@' and ahead = 'type' and name in ('Entity', 'Table')")
+    own = F.when(F.col("ext").isin(*JVM), F.when(F.col("name") == "Table", F.nullif(F.regexp_extract("args", r"\bname\s*=\s*\"([^\"]+)", 1), F.lit("")))).otherwise(F.when(F.col("args").rlike(r"^\s*[\"']"), quoted).otherwise(F.nullif(F.regexp_extract("args", r"\bname\s*:\s*[\"']([^\"']+)", 1), F.lit(""))))
+    marked = marked.groupBy("repo", "file", F.col("ahead_name").alias("name")).agg(F.max(own).alias("_t"), F.bool_or(F.col("name") == "Entity").alias("_e"))
+    by_mark = types.filter("ext <> 'py'").join(marked.filter("_e"), ["repo", "file", "name"]).withColumn("framework", F.when(F.col("ext").isin(*JVM), "jpa").otherwise("typeorm"))
+    # a field belongs to the last type that begins before it
+    said = assigned_texts(files)
+    both = types.filter("ext = 'py'").select("repo", "file", "line", F.col("name").alias("type"), "bases", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("text")).unionByName(said.withColumn("type", F.lit(None).cast("string")).withColumn("bases", F.lit(None).cast("array<string>")))
+    w = W.partitionBy("repo", "file").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = both.withColumn("_c", F.last(F.when(F.col("type").isNotNull(), F.struct("type", "line", "bases")), ignorenulls=True).over(w)).filter("_c is not null")
+    g = both.groupBy("repo", "file", F.col("_c.line").alias("line"), F.col("_c.type").alias("name")).agg(F.first("_c.bases").alias("bases"), F.min("text").alias("_t"), F.coalesce(F.bool_or(F.col("field") == "__tablename__"), F.lit(False)).alias("_a"))
+    last = F.transform("bases", lambda b: F.element_at(F.split(b, r"\."), -1))
+    held = lambda names: F.arrays_overlap(last, F.array(*map(F.lit, names)))
+    python = g.withColumn("framework", F.when(F.col("_a") | held(ALCHEMY), "sqlalchemy").when(held(DJANGO), "django")).filter("framework is not null")
+    cols = ["repo", "file", "line", "name", "_t", "framework"]
+    out = by_mark.select(*cols).unionByName(python.select(*cols))
+    return out.select("repo", "file", "line", "name", F.coalesce("_t", "name").alias("table"), F.col("_t").isNotNull().alias("table_resolved"), "framework")
 
 
-def entities(files: DataFrame) -> DataFrame:
-    """repo, file, line, name, table, table_resolved, framework of JPA, TypeORM, SQLAlchemy and Django; an entity without a table of its own goes by its name.
-    Annotations belong to the class that comes, assignments to the class they stand in."""
-    m = _marked(files)
-    text = F.col("text")
-    py = F.col("ext") == "py"
-    at = F.when(py | F.col("_c").isNotNull(), F.col("own")).otherwise(F.col("coming"))
-    first = lambda *patterns: F.coalesce(*(F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in patterns))
-    jvm_table = F.when(text.rlike("@Table"), first(r"@Table\b[^)]*\bname\s*=\s*\"([^\"]+)"))
-    ts_table = F.when(text.rlike("@Entity"), first(r"@Entity\(\s*[\"']([^\"']+)", r"@Entity\(\s*\{[^}]*\bname\s*:\s*[\"']([^\"']+)"))
-    py_table = first(r"__tablename__\s*=\s*[\"']([^\"']+)", r"db_table\s*=\s*[\"']([^\"']+)")
-    table = F.when(py, py_table).when(F.col("ext").isin(*JVM), jvm_table).otherwise(ts_table)
-    bases = F.col("own.bases")
-    alchemy = py & ((F.col("_c").isNotNull() & bases.rlike(r"(?:^|[\s,.])(?:Base|DeclarativeBase)\b")) | text.rlike("__tablename__"))
-    django = py & F.col("_c").isNotNull() & bases.rlike(r"(?:^|[\s,.])Model\b")
-    by = F.when(alchemy, "sqlalchemy").when(django, "django").when(text.rlike("@Entity\\b") & ~py, F.when(F.col("ext").isin(*JVM), "jpa").otherwise("typeorm"))
-    g = m.select("repo", F.col("path").alias("file"), at.alias("_at"), table.alias("_t"), by.alias("_by")).filter("_at is not null")
-    g = g.groupBy("repo", "file", F.col("_at.name").alias("name"), F.col("_at.line").alias("line")).agg(F.min("_t").alias("_t"), F.max("_by").alias("framework")).filter("framework is not null")
-    return g.select("repo", "file", "line", "name", F.coalesce("_t", "name").alias("table"), F.col("_t").isNotNull().alias("table_resolved"), "framework")
-
-
-def entity_relations(files: DataFrame) -> DataFrame:
-    """repo, file, line, from_entity, to_entity, to_is_table, framework, cardinality, owning_side. A relation() alone does not tell how many: unknown."""
-    m = _marked(files)
-    w = W.partitionBy("repo", "path").orderBy("line").rowsBetween(1, W.unboundedFollowing)
-    m = m.withColumn("_field", F.first(F.nullif(F.regexp_extract("text", FIELD, 1), F.lit("")), ignorenulls=True).over(w))
-    part = lambda p, g: F.regexp_extract("text", p, g)
-    some = lambda c: F.nullif(c, F.lit(""))
-    of = F.create_map(*(F.lit(x) for pair in CARDINALITY.items() for x in pair))
-    out = lambda d, target, framework, many, owning=F.lit(True), is_table=F.lit(False), start=F.col("own.name"): d.select(
-        "repo", F.col("path").alias("file"), "line", start.alias("from_entity"), target.alias("to_entity"), is_table.alias("to_is_table"), framework.alias("framework"), many.alias("cardinality"), owning.alias("owning_side")
+def entity_relations(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """repo, file, line, from_entity, to_entity, to_is_table, framework, cardinality, owning_side, field. A relationship alone does not tell how many: unknown."""
+    u = symbols.written(uses(files)) if found is None else found
+    name, args, py = F.col("name"), F.col("args"), F.col("ext") == "py"
+    jvm, script = F.col("ext").isin(*JVM), F.col("ext").isin(*SCRIPT)
+    # the type of the field behind an annotation: what a collection holds, or the word before the field's name (in Kotlin, behind its colon)
+    words = F.filter(F.split(F.regexp_replace("after", r"<[^<>]*>", " "), r"[\s:]+"), lambda w: (w != "") & ~w.isin(*symbols.MODIFIERS))
+    held = F.nullif(F.regexp_extract("after", r"<\s*(?:\w+\s+)*([A-Z][\w$]*)\s*\??\s*>", 1), F.lit(""))
+    behind = F.when(F.contains("after", F.lit(":")), F.element_at(words, -1)).otherwise(F.get(words, F.size(words) - 2))
+    behind = F.when(behind.rlike("^[A-Z]"), F.regexp_replace(behind, r"\?$", ""))
+    row = lambda d, start, target, framework, many, owning=F.lit(True), is_table=F.lit(False): d.select(
+        "repo", "file", "line", start.alias("from_entity"), target.alias("to_entity"), is_table.alias("to_is_table"), framework.alias("framework"), many.alias("cardinality"), owning.alias("owning_side"), "field"
     )
-    jvm = m.filter(F.col("ext").isin(*JVM) & F.col("text").rlike(ANNOTATED))
-    named = some(F.regexp_extract(part(ANNOTATED, 2), r"targetEntity\s*=\s*(\w+)", 1))
-    jpa = out(jvm, F.coalesce(named, "_field"), F.lit("jpa"), of[part(ANNOTATED, 1)], ~F.contains(part(ANNOTATED, 2), F.lit("mappedBy")))
-    script = m.filter(F.col("ext").isin(*SCRIPT))
-    typed = out(script.filter(F.col("text").rlike(ANNOTATED)), some(F.regexp_extract(part(ANNOTATED, 2), r"^\s*(?:\(\w*\)\s*=>\s*|[\"'])([\w$]+)", 1)), F.lit("typeorm"), of[part(ANNOTATED, 1)])
-    kind = part(ASSOCIATED, 2)
-    sequelize = out(script.filter(F.col("text").rlike(ASSOCIATED)), part(ASSOCIATED, 3), F.lit("sequelize"), of[kind], kind != "belongsTo", start=part(ASSOCIATED, 1))
-    py, call, args = m.filter((F.col("ext") == "py") & F.col("text").rlike(ASSIGNED)), part(ASSIGNED, 2), part(ASSIGNED, 3)
-    is_key = call.isin("Column", "mapped_column")
-    key = some(F.regexp_extract(args, r"ForeignKey\(\s*[\"']([\w.]+)\.\w+[\"']", 1))
-    target = F.when(is_key, key).otherwise(F.substring_index(some(F.regexp_extract(args, r"^\s*[\"']?([A-Za-z_][\w.]*)", 1)), ".", -1))
-    flag = lambda p: args.rlike(p)
-    many = (
-        F.when(is_key, F.when(flag(r"\bunique\s*=\s*True"), "one_to_one").otherwise("many_to_one"))
-        .when(call == "relationship", F.when(flag(r"\bsecondary\s*="), "many_to_many").when(flag(r"\buselist\s*=\s*False"), "one_to_one").otherwise("unknown")).otherwise(of[call])
-    )
-    mapped = out(py, target, F.when(is_key | (call == "relationship"), "sqlalchemy").otherwise("django"), many, is_table=is_key)
-    return jpa.unionByName(typed).unionByName(sequelize).unionByName(mapped).filter("from_entity is not null and to_entity is not null")
+    marked = u.filter((F.col("mark") == "@") & name.isin(*SIDES))
+    jpa = row(marked.filter(jvm), F.col("type"), F.coalesce(option(args, "targetEntity"), held, behind), F.lit("jpa"), snake(name), option(args, "mappedBy").isNull())
+    jpa = jpa.withColumn("to_entity", F.regexp_replace("to_entity", r"(?:\.class|::class)$", ""))
+    typed = row(marked.filter(script), F.col("type"), first_word(args), F.lit("typeorm"), snake(name))
+    kinds = F.create_map(*(F.lit(x) for pair in {**ASSOCIATIONS, **FIELDS}.items() for x in pair))
+    models = F.col("owner").rlike("^[A-Z]") & name.isin(*ASSOCIATIONS)
+    sequelize = row(u.filter(script & (F.col("mark") == "") & models), F.element_at(F.split("owner", r"\."), -1), F.when(first_word(args).rlike("^[A-Z]"), first_word(args)), F.lit("sequelize"), kinds[name], name != "belongsTo")
+    fields = u.filter(py & (F.col("mark") == "") & F.col("field").isNotNull() & (F.col("type") != ""))
+    key = F.nullif(F.regexp_extract(args, r"ForeignKey\s*\(\s*[\"']([\w.]+)\.\w+[\"']", 1), F.lit(""))
+    columns = row(fields.filter(name.isin(*COLUMNS)), F.col("type"), key, F.lit("sqlalchemy"), F.when(option(args, "unique") == "True", "one_to_one").otherwise("many_to_one"), is_table=F.lit(True))
+    related = row(fields.filter(name == "relationship"), F.col("type"), first_word(args), F.lit("sqlalchemy"), F.when(option(args, "secondary").isNotNull(), "many_to_many").when(option(args, "uselist") == "False", "one_to_one").otherwise("unknown"))
+    django = row(fields.filter(name.isin(*FIELDS) & (F.col("owner") != "")), F.col("type"), first_word(args), F.lit("django"), kinds[name])
+    out = jpa
+    for d in (typed, sequelize, columns, related, django):
+        out = out.unionByName(d)
+    return out.filter("from_entity <> '' and to_entity is not null")

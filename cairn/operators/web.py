@@ -1,5 +1,5 @@
-"""Endpoints and consumers of web frameworks. One pass finds all calls and annotations whose name can mean either, with their owner, mark and arguments; what
-they mean is told from these by column expressions. Base paths and handlers come from windows over the marked and declaring lines of a file."""
+"""Endpoints and consumers of web frameworks. What can mean either is a use of a name: a call or an annotation with its owner, its arguments up to the bracket that closes them,
+over as many lines as they take, and the declaration it stands before. What it means is told from these by column expressions; only named uses leave a file's row."""
 
 from __future__ import annotations
 
@@ -7,110 +7,118 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.source import SCRIPT
 from ..functions.text import join_path, normalize_path, spans
 from ..sources.corpus import extension
-from .contracts import lines
-from .facts import METHOD
+from . import symbols
 
 #: HTTP verbs, and the names of calls and annotations that serve or send requests.
 VERBS = ("get", "post", "put", "delete", "patch")
-NAMES = (
-    *VERBS, "use", "route", "path", "re_path", "fetch", "useFetch", "$fetch", "ajax", "RestRequest", "RequestMapping", "Route",
-    *(v.capitalize() + "Mapping" for v in VERBS), *("Http" + v.capitalize() for v in VERBS), *(v.capitalize() + "Async" for v in VERBS), *map(str.capitalize, VERBS), *map(str.upper, VERBS),
-)
-REMARK = r"(?m)^[ \t]*(?://|#|/?\*)[^\n]*"
-CALL = rf"(?<![\w$])([@\[]?)((?:[\w$]+\.)*)({'|'.join(n.replace('$', '[$]') for n in NAMES)})(?:\s*\(([^)]{{0,300}})|\])"
+ROUTES = (*VERBS, "use", "route", "path", "re_path")
+MAPPINGS = ("RequestMapping", *(v.capitalize() + "Mapping" for v in VERBS), *("Http" + v.capitalize() for v in VERBS))
+CALLS = ("fetch", "useFetch", "$fetch", "ajax", "RestRequest", *(v.capitalize() + "Async" for v in VERBS), *map(str.capitalize, VERBS), *map(str.upper, VERBS))
+NAMES = (*ROUTES, *MAPPINGS, "Route", *CALLS)
 QUOTED = r"[\"'`]([^\"'`]*)[\"'`]"
-SCRIPT, PAGE = ("js", "jsx", "ts", "tsx", "vue", "mjs"), ("html", "htm", "jsp", "cshtml", "vue", "aspx")
-TYPE_NAME = r"\b(?:class|interface)\s+(\w+)"
-FUNCTION = r"^\s*(?:async\s+)?def\s+(\w+)"
+PAGE = ("html", "htm", "jsp", "cshtml", "vue", "aspx")
 #: Formats that are routes by themselves.
 ROUTED_FILES = {"asp": "classic-asp", "aspx": "aspnet-webforms", "ashx": "aspnet-webforms", "asmx": "aspnet-webforms"}
 
 
-def calls(files: DataFrame) -> DataFrame:
-    """repo, path, ext, line, mark, owner, name, args, said: said is the first quoted text among the arguments."""
-    # a bracket before a name in lower case begins a list, not an attribute
-    mark = F.when(F.col("_s.c").rlike("^[a-z$]"), F.replace("_s.a", F.lit("["), F.lit(""))).otherwise(F.col("_s.a"))
-    d = files.select("repo", "path", extension(F.col("path")).alias("ext"), F.explode(spans(F.regexp_replace("content", REMARK, ""), CALL, 4)).alias("_s"))
-    return d.select(
-        "repo", "path", "ext", F.col("_s.last").alias("line"), mark.alias("mark"), F.rtrim("_s.b", F.lit(".")).alias("owner"), F.col("_s.c").alias("name"), F.col("_s.d").alias("args"),
-        F.regexp_extract("_s.d", QUOTED, 1).alias("said"),
-    )
+def uses(files: DataFrame) -> DataFrame:
+    """repo, path, ext, mark, owner, name, args, line, type, method, next_method, ahead, ahead_name: uses of NAMES, one row each."""
+    named = F.filter("uses", lambda u: u["name"].isin(*NAMES) & ~u["declares"])
+    d = symbols.parse(files, NAMES, PAGE).select("repo", F.col("file").alias("path"), "ext", F.inline(named))
+    return d.select("repo", "path", "ext", "mark", "owner", "name", F.coalesce("args", F.lit("")).alias("args"), "line", "start", "type", "method", "next_method", "ahead", "ahead_name")
+
+
+def quoted(args: Column) -> Column:
+    """The text that the arguments begin with, or that a named one gives as the path; empty if there is none."""
+    named = F.regexp_extract(args, rf"\b(?:value|path|template|rule)\s*[=:]\s*[{{\[]?\s*{QUOTED}", 1)
+    return F.when(args.rlike(r"^\s*[{\[$]?\s*[\"'`]"), F.regexp_extract(args, QUOTED, 1)).otherwise(named)
+
+
+def key(text: Column, name: str) -> Column:
+    """What an option is set to, in quotes; null if it is not."""
+    return F.nullif(F.regexp_extract(text, rf"(?i)\b(?:{name})\s*[:=]\s*[\"']([^\"']+)", 1), F.lit(""))
+
+
+def based(found: DataFrame) -> DataFrame:
+    """Uses with the base path of the type that they stand in: the last route before it. [controller] is its name."""
+    own = F.replace(quoted(F.col("args")), F.lit("[controller]"), F.regexp_replace(F.lower("ahead_name"), "controller$", ""))
+    of_type = F.when((F.col("mark") != "") & (F.col("ahead") == "type") & F.col("name").isin("RequestMapping", "Route"), F.struct(F.col("ahead_name").alias("type"), own.alias("path")))
+    w = W.partitionBy("repo", "path").orderBy("start").rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = found.withColumn("_b", F.last(of_type, ignorenulls=True).over(w))
+    return d.withColumn("base", F.when(F.col("_b.type") == F.col("type"), F.col("_b.path")).otherwise("")).drop("_b")
+
 
+def _annotated(found: DataFrame) -> DataFrame:
+    """Spring and ASP.NET: mappings of methods, under the base of their type; without a path, the base itself."""
+    name, args, java = F.col("name"), F.col("args"), F.col("ext").isin("java", "kt", "kts")
+    d = based(found.filter(F.col("mark").isin("@", "[") & name.isin(*MAPPINGS, "Route"))).filter(name.isin(*MAPPINGS) & (F.coalesce("ahead", F.lit("")) != "type"))
+    verb = F.when(name == "RequestMapping", F.coalesce(F.nullif(F.regexp_extract(args, r"RequestMethod\.(\w+)", 1), F.lit("")), F.lit("ANY"))).otherwise(F.upper(F.regexp_replace(name, "^Http|Mapping$", "")))
+    handler = F.coalesce("ahead_name", F.element_at(F.split("path", "/"), -1))
+    return d.select("repo", "path", "line", F.when(java, "spring").otherwise("aspnet").alias("framework"), verb.alias("method"), join_path(F.col("base"), quoted(args)).alias("path_pattern"), handler.alias("handler"), F.lit(None).cast("string").alias("router"))
 
-def _declarations(files: DataFrame) -> DataFrame:
-    """repo, path, line, decl, name: lines that begin a type or a method."""
-    text = F.col("text")
-    kind = F.when(text.rlike(TYPE_NAME) & ~text.rlike(r"^\s*(?://|#|\*)"), "type").when(text.rlike(METHOD) | text.rlike(FUNCTION), "method")
-    name = F.coalesce(*(F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in (TYPE_NAME, METHOD, FUNCTION)))
-    return lines(files).select("repo", "path", "line", kind.alias("decl"), name.alias("decl_name")).filter("decl is not null")
-
-
-def _placed(found: DataFrame, files: DataFrame) -> DataFrame:
-    """found(repo, path, line, said, ...) with what each stands before (next_decl, next_name) and the base path of the type it stands in: that of the last
-    found row before a type; a type without one has none."""
-    both = found.withColumn("decl", F.lit(None).cast("string")).unionByName(_declarations(files), allowMissingColumns=True)
-    order = W.partitionBy("repo", "path").orderBy("line", F.col("decl").isNotNull())
-    ahead = order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    d = both.withColumns({"next_decl": F.first("decl", ignorenulls=True).over(ahead), "next_name": F.first("decl_name", ignorenulls=True).over(ahead), "_after": F.lag(F.col("decl").isNull()).over(order)})
-    own = F.replace(F.col("said"), F.lit("[controller]"), F.regexp_replace(F.lower("next_name"), "controller$", ""))
-    base = F.when(F.col("decl").isNull() & (F.col("next_decl") == "type"), own).when((F.col("decl") == "type") & ~F.coalesce("_after", F.lit(False)), F.lit(""))
-    return d.withColumn("base", F.coalesce(F.last(base, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(""))).filter("decl is null").drop("decl", "decl_name", "_after")
-
-
-def _one(verb: Column) -> Column:
-    return F.array(F.upper(verb))
-
-
-def endpoints(files: DataFrame) -> DataFrame:
-    """repo, file, line, framework, method, path_pattern, handler of Spring, ASP.NET, FastAPI, Flask, Django, Express, Struts, servlet mappings and routed files."""
-    mark, name, args, ext, owner = (F.col(c) for c in ("mark", "name", "args", "ext", "owner"))
-    java, py, verb = ext.isin("java", "kt"), ext == "py", name.isin(*VERBS)
-    declared = F.regexp_extract_all(args, F.lit(r"(?i)[\"'](get|post|put|delete|patch)[\"']"), F.lit(1))
-    after = F.nullif(F.regexp_extract(args, r",\s*([\w.]+)", 1), F.lit(""))
-    based = F.endswith(name, F.lit("Mapping")) | F.startswith(name, F.lit("Http")) | (name == "Route")
-    found = calls(files)
-    a = _placed(found.filter(based & mark.isin("@", "[")), files).filter((F.coalesce("next_decl", F.lit("")) != "type") & (name != "Route"))
-    spring = F.coalesce(F.nullif(F.regexp_extract(args, r"RequestMethod\.(\w+)", 1), F.lit("")), F.lit("ANY"))
-    told = F.when(name == "RequestMapping", spring).otherwise(F.upper(F.regexp_replace(name, "^Http|Mapping$", "")))
-    head = a.select("repo", "path", "line", F.when(java, "spring").otherwise("aspnet").alias("framework"), told.alias("method"), join_path(F.col("base"), F.col("said")).alias("path_pattern"), F.coalesce("next_name", F.element_at(F.split("path", "/"), -1)).alias("handler"))
-    p = _placed(found.filter(py & (mark == "@") & (owner != "") & (verb | (name == "route"))), files)
-    methods = F.when(verb, _one(name)).when(F.size(declared) > 0, F.transform(declared, lambda m: F.upper(m))).otherwise(F.array(F.lit("GET")))
-    python = p.select("repo", "path", "line", F.when(verb, "fastapi").otherwise("flask").alias("framework"), F.explode(methods).alias("method"), normalize_path(F.col("said")).alias("path_pattern"), F.col("next_name").alias("handler"))
-    quoted = args.rlike(r"^\s*[\"'`]") & after.isNotNull()
-    django = (py & (mark == "") & name.isin("path", "re_path") & quoted)
-    express = ext.isin(*SCRIPT) & (mark == "") & F.element_at(F.split(owner, r"\."), -1).isin("app", "router") & (verb | (name == "use")) & quoted
-    plain = found.filter(django | express).select(
-        "repo", "path", "line", F.when(py, "django").otherwise("express").alias("framework"), F.when(py, "ANY").otherwise(F.upper(name)).alias("method"), normalize_path(F.col("said")).alias("path_pattern"), after.alias("handler")
-    )
-    of = lambda text, key: F.nullif(F.trim(F.regexp_extract(text, rf"(?i)\b{key}\s*=\s*[\"']([^\"']+)", 1)), F.lit(""))
-    tag = lambda text, key: F.nullif(F.trim(F.regexp_extract(text, rf"(?i)<{key}>([^<]+)<", 1)), F.lit(""))
+
+def _decorated(found: DataFrame) -> DataFrame:
+    """FastAPI and Flask: decorators of a router, a row per method."""
+    name, args = F.col("name"), F.col("args")
+    verb = name.isin(*VERBS)
+    said = F.transform(F.regexp_extract_all(F.regexp_extract(args, r"\bmethods\s*=\s*[\[(]([^\])]*)", 1), F.lit(QUOTED), F.lit(1)), F.upper)
+    methods = F.when(verb, F.array(F.upper(name))).when(F.size(said) > 0, said).otherwise(F.array(F.lit("GET")))
+    d = found.filter((F.col("ext") == "py") & (F.col("mark") == "@") & (F.col("owner") != "") & (verb | (name == "route")))
+    router = F.element_at(F.split("owner", r"\."), -1)
+    return d.select("repo", "path", "line", F.when(verb, "fastapi").otherwise("flask").alias("framework"), F.explode(methods).alias("method"), normalize_path(quoted(args)).alias("path_pattern"), F.coalesce("ahead_name", "next_method").alias("handler"), router.alias("router"))
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    """Django and Express: a path and, behind it, a handler."""
+    name, args, py = F.col("name"), F.col("args"), F.col("ext") == "py"
+    after = F.regexp_extract(args, rf"^\s*{QUOTED}\s*,\s*([\w.]+)", 2)
+    express = F.col("ext").isin(*SCRIPT) & F.element_at(F.split("owner", r"\."), -1).isin("app", "router") & name.isin(*VERBS, "use")
+    d = found.filter((F.col("mark") == "") & (after != "") & (express | (py & (F.col("owner") == "") & name.isin("path", "re_path"))))
+    return d.select("repo", "path", "line", F.when(py, "django").otherwise("express").alias("framework"), F.when(py, "ANY").otherwise(F.upper(name)).alias("method"), normalize_path(quoted(args)).alias("path_pattern"), after.alias("handler"), F.lit(None).cast("string").alias("router"))
+
+
+def _configured(files: DataFrame) -> DataFrame:
+    """Struts actions and servlet mappings of XML files, and formats that are routes."""
+    of = lambda text, name: F.nullif(F.trim(F.regexp_extract(text, rf"(?i)\b{name}\s*=\s*[\"']([^\"']+)", 1)), F.lit(""))
+    tag = lambda text, name: F.nullif(F.trim(F.regexp_extract(text, rf"(?i)<{name}>([^<]+)<", 1)), F.lit(""))
     xml = files.filter(extension(F.col("path")) == "xml").select("repo", "path", F.explode(spans(F.col("content"), r"(?is)<(action\s[^>]*|servlet-mapping>.*?</servlet-mapping)>", 1)).alias("_s"))
-    body = F.col("_s.a")
+    body, none = F.col("_s.a"), F.lit(None).cast("string").alias("router")
     configured = xml.select(
         "repo", "path", F.col("_s.line").alias("line"), F.when(body.rlike("(?i)^action"), "struts").otherwise("servlet").alias("framework"), F.lit("ANY").alias("method"),
-        normalize_path(F.coalesce(of(body, "path"), tag(body, "url-pattern"))).alias("path_pattern"), F.coalesce(of(body, "type"), tag(body, "servlet-name")).alias("handler"),
+        normalize_path(F.coalesce(of(body, "path"), tag(body, "url-pattern"))).alias("path_pattern"), F.coalesce(of(body, "type"), tag(body, "servlet-name")).alias("handler"), none,
     ).filter("path_pattern is not null and handler is not null")
     routed = F.create_map(*(F.lit(x) for pair in ROUTED_FILES.items() for x in pair))[extension(F.col("path"))]
-    by_file = files.select("repo", "path", F.lit(1).alias("line"), routed.alias("framework"), F.lit("ANY").alias("method"), F.concat(F.lit("/"), "path").alias("path_pattern"), F.element_at(F.split("path", "/"), -1).alias("handler")).filter("framework is not null")
-    return head.unionByName(python).unionByName(plain).unionByName(configured).unionByName(by_file).withColumnRenamed("path", "file")
+    by_file = files.select("repo", "path", F.lit(1).alias("line"), routed.alias("framework"), F.lit("ANY").alias("method"), F.concat(F.lit("/"), "path").alias("path_pattern"), F.element_at(F.split("path", "/"), -1).alias("handler"), none)
+    return configured.unionByName(by_file.filter("framework is not null"))
+
+
+def endpoints(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """repo, file, line, framework, method, path_pattern, handler, router of Spring, ASP.NET, FastAPI, Flask, Django, Express, Struts, servlet mappings and routed files. found: `uses` of the files,
+    where they are at hand; they are read three times, so a written table is best."""
+    found = symbols.written(uses(files)) if found is None else found
+    out = _annotated(found).unionByName(_decorated(found)).unionByName(_listed(found)).unionByName(_configured(files))
+    return out.withColumnRenamed("path", "file")
 
 
-def consumers(files: DataFrame) -> DataFrame:
-    """repo, file, line, call_type, method, path_pattern of axios, fetch, HttpClient, RestSharp, Refit, Retrofit, jQuery and HTML forms; GET if unsaid."""
-    mark, name, args, owner = (F.col(c) for c in ("mark", "name", "args", "owner"))
-    last = F.element_at(F.split(owner, r"\."), -1)
+def consumers(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """repo, file, line, call_type, method, path_pattern, function of axios, fetch, HttpClient, RestSharp, Refit, Retrofit, jQuery and HTML forms; GET if unsaid. function: the method that a call stands in,
+    or that an annotation stands before."""
+    found = uses(files) if found is None else found
+    mark, name, args = (F.col(c) for c in ("mark", "name", "args"))
+    last, plain = F.element_at(F.split("owner", r"\."), -1), mark == ""
     low, cap, up = (name.isin(*(f(v) for v in VERBS)) for f in (str.lower, str.capitalize, str.upper))
+    is_async = name.rlike("^[A-Z][a-z]+Async$")
     kind = (
-        F.when((mark == "") & (last == "axios") & low, "axios").when((mark == "") & name.isin("fetch", "useFetch", "$fetch"), name).when((mark == "") & F.endswith(name, F.lit("Async")), "HttpClient")
-        .when(name == "RestRequest", "RestSharp").when((mark == "[") & cap, "Refit").when((mark == "@") & up, "Retrofit").when((name == "ajax") & last.isin("$", "jQuery"), "jquery-ajax")
+        F.when(plain & (last == "axios") & low, "axios").when(plain & name.isin("fetch", "useFetch", "$fetch"), name).when(plain & is_async, "HttpClient").when(plain & (name == "RestRequest"), "RestSharp")
+        .when((mark == "[") & cap, "Refit").when((mark == "@") & up, "Retrofit").when(plain & (name == "ajax") & last.isin("$", "jQuery"), "jquery-ajax")
     )
-    key = lambda text, k: F.nullif(F.regexp_extract(text, rf"(?i)\b(?:{k})\s*[:=]\s*[\"']([^\"']+)", 1), F.lit(""))
-    verb = F.when(low | cap | up, name).when(F.endswith(name, F.lit("Async")), F.regexp_replace(name, "Async$", "")).when(name == "RestRequest", F.nullif(F.regexp_extract(args, r"\bMethod\.(\w+)", 1), F.lit(""))).otherwise(key(args, "method|type"))
-    url = F.when(name == "ajax", key(args, "url")).otherwise(F.nullif("said", F.lit("")))
-    found = calls(files).select("repo", "path", "line", kind.alias("call_type"), F.upper(F.coalesce(verb, F.lit("GET"))).alias("method"), url.alias("_p"))
+    verb = F.when(low | cap | up, name).when(is_async, F.regexp_replace(name, "Async$", "")).when(name == "RestRequest", F.nullif(F.regexp_extract(args, r"\bMethod\.(\w+)", 1), F.lit(""))).otherwise(key(args, "method|type"))
+    url = F.when(name == "ajax", key(args, "url")).otherwise(F.nullif(quoted(args), F.lit("")))
+    calls = found.select("repo", "path", "line", kind.alias("call_type"), F.upper(F.coalesce(verb, F.lit("GET"))).alias("method"), url.alias("_p"), F.when(plain, F.col("method")).otherwise(F.coalesce("ahead_name", "next_method")).alias("function"))
     pages = files.filter(extension(F.col("path")).isin(*PAGE)).select("repo", "path", F.explode(spans(F.col("content"), r"(?i)<form(\s[^>]*)>", 1)).alias("_s"))
-    forms = pages.select("repo", "path", F.col("_s.line").alias("line"), F.lit("html-form").alias("call_type"), F.upper(F.coalesce(key(F.col("_s.a"), "method"), F.lit("GET"))).alias("method"), key(F.col("_s.a"), "action").alias("_p"))
-    out = found.unionByName(forms).filter("call_type is not null and _p is not null")
-    return out.select("repo", F.col("path").alias("file"), "line", "call_type", "method", normalize_path(F.col("_p")).alias("path_pattern"))
+    forms = pages.select("repo", "path", F.col("_s.line").alias("line"), F.lit("html-form").alias("call_type"), F.upper(F.coalesce(key(F.col("_s.a"), "method"), F.lit("GET"))).alias("method"), key(F.col("_s.a"), "action").alias("_p"), F.lit(None).cast("string").alias("function"))
+    out = calls.unionByName(forms).filter("call_type is not null and _p is not null")
+    return out.select("repo", F.col("path").alias("file"), "line", "call_type", "method", normalize_path(F.col("_p")).alias("path_pattern"), "function")
