@@ -6,7 +6,8 @@ suffix is then looked up in it by binary search over its first `window` words, a
 longest verbatim match of each item in each document, with its place.
 
 The benchmark is the only thing that is sent around: it is cut into blocks of `block_bytes` at most (an item is not cut), one pass over the
-documents each. What a pass has found is written before the next block is read, so that driver and workers hold one block at a time.
+documents each. A pass returns the rows that hold a window of its block, with what they hold, and nothing of the others; that is written before the next block is read, so that driver and workers
+hold one block at a time. With several blocks the texts are written once, so that rows have lasting numbers by which the passes' finds meet; they are not carried from pass to pass.
 
 Words: A-Z lower-cased, then runs of 0-9, a-z and everything beyond ASCII. A window is `window` consecutive words
 of an item; a shorter item is one window as a whole.
@@ -19,7 +20,7 @@ table are carried or ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize
+from .common import materialize
 from .textbytes import ALNUM_WORD, LOWER, text_slices, word_hashes
 
 WINDOW = 10
@@ -143,28 +144,29 @@ def summarize(words: np.ndarray, found, test: TestSuffixes) -> list[dict]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, window: int):
-    """(TestSuffixes of a block, whether it is the last); a block is read to the driver only when it is used, and is about block_bytes at most."""
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, window: int) -> tuple[int, Iterator[TestSuffixes]]:
+    """How many blocks there are, and the blocks; a block is read to the driver only when it is used, and is about block_bytes at most."""
     b = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
     total = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = 1 + total // block_bytes
-    for k in range(n):
-        rows = b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).distinct().orderBy("i", "t").collect()
-        yield TestSuffixes([r.i for r in rows], [r.t for r in rows], window), k + 1 == n
 
+    def read() -> Iterator[TestSuffixes]:
+        for k in range(n):
+            rows = b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).distinct().orderBy("i", "t").collect()
+            yield TestSuffixes([r.i for r in rows], [r.t for r in rows], window)
 
-def _passes(docs: DataFrame, blocks, step: Callable) -> DataFrame:
-    """docs after step(docs, broadcast block) for each block; all but the last result are written, and their block is dropped."""
-    spark, before = docs.sparkSession, None
-    for test, last in blocks:
-        block = spark.sparkContext.broadcast(test)
-        docs = step(docs, block)
-        if not last:
-            docs = materialize(docs)
-            block.unpersist(blocking=False)
-            discard(before)
-            before = docs
-    return docs
+    return n, read()
+
+
+def _passes(docs: DataFrame, blocks: Iterator[TestSuffixes], step: Callable) -> DataFrame:
+    """The union of step(docs, broadcast block) over the blocks, each written before the next block is read."""
+    out = None
+    for test in blocks:
+        block = docs.sparkSession.sparkContext.broadcast(test)
+        found = materialize(step(docs, block))
+        block.unpersist(blocking=False)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _scan(text_col: str, test, finish: Callable):
@@ -203,37 +205,53 @@ def find_contamination(
 ) -> DataFrame:
     """id_col, n_words, hits (disjoint word ranges), matches (the longest per item): a row per document."""
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    schema = T.StructType([docs.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(SPAN)), T.StructField("matches", T.ArrayType(MATCH))])
     hits, matches = (pa.list_(pa.struct([(f.name, pa.string() if f.name == "item_id" else pa.int64()) for f in k.fields])) for k in (SPAN, MATCH))
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(SPAN)), T.StructField("matches", T.ArrayType(MATCH))]
+    columns = lambda rows: [pa.array([r["n_words"] for r in rows], pa.int64()), pa.array([r["hits"] for r in rows], hits), pa.array([r["matches"] for r in rows], matches)]
+    names = [f.name for f in fields]
+    n, blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes, window)
+    if n == 1:
+        finish = lambda part, rows: pa.RecordBatch.from_arrays([part.column("id"), *columns(rows)], names=["id", *names])
+        block = docs.sparkSession.sparkContext.broadcast(next(blocks))
+        return docs.mapInArrow(_scan("t", block, finish), T.StructType([docs.schema["id"], *fields])).select(F.col("id").alias(id_col), *names)
+    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()))
+
+    def found(part, out):
+        some = [i for i, r in enumerate(out) if r["hits"]]
+        return pa.RecordBatch.from_arrays([part.column("row").take(pa.array(some, pa.int64())), *columns([out[i] for i in some])], names=["row", *names])
+
+    each = _passes(rows.select("row", "t"), blocks, lambda d, test: d.mapInArrow(_scan("t", test, found), T.StructType([T.StructField("row", T.LongType()), *fields])))
+    # a row has one list from each block at most
+    met = each.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("matches")).alias("matches"))
+
+    def merge(batches):
+        for batch in batches:
+            h, m = ([list_ or [] for list_ in batch.column(c).to_pylist()] for c in ("hits", "matches"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([_merge(x) for x in h], hits), pa.array([_longest(x) for x in m], matches)], names=["row", "hits", "matches"])
 
-    found = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(schema["hits"].dataType), "matches": F.array().cast(schema["matches"].dataType)})
-    carried = T.StructType([*schema.fields[:1], docs.schema["t"], *schema.fields[1:]])
+    merged = met.mapInArrow(merge, T.StructType([T.StructField("row", T.LongType()), *fields[1:]]))
+    counted = rows.select("row", "id", "t").mapInArrow(_count_words, T.StructType([T.StructField("row", T.LongType()), docs.schema["id"], fields[0]]))
+    none = (F.array().cast(f.dataType) for f in fields[1:])
+    out = counted.join(merged, "row", "left").withColumns(dict(zip(names[1:], (F.coalesce(c, z) for c, z in zip(names[1:], none, strict=True)), strict=True)))
+    return out.select(F.col("id").alias(id_col), *names)
 
-    def finish(part, rows):
-        """Adds what this block has found to what the blocks before it have."""
-        had = part.select(["hits", "matches"]).to_pylist()
-        return pa.RecordBatch.from_arrays(
-            [
-                part.column("id"),
-                part.column("t"),
-                pa.array([r["n_words"] for r in rows], pa.int64()),
-                pa.array([_merge(h["hits"] + r["hits"]) if h["hits"] else r["hits"] for h, r in zip(had, rows, strict=True)], hits),
-                pa.array([_longest(h["matches"] + r["matches"]) if h["matches"] else r["matches"] for h, r in zip(had, rows, strict=True)], matches),
-            ],
-            names=["id", "t", "n_words", "hits", "matches"],
-        )
 
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes, window)
-    found = _passes(found, blocks, lambda d, test: d.mapInArrow(_scan("t", test, finish), carried))
-    return found.select(F.col("id").alias(id_col), "n_words", "hits", "matches")
+def _count_words(batches):
+    for batch in batches:
+        for lo, hi, data, offsets in text_slices(batch.column("t")):
+            _, _, first = word_hashes(LOWER[data], offsets, ALNUM_WORD)
+            yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), batch.column("id").slice(lo, hi - lo), pa.array(np.diff(first))], names=["row", "id", "n_words"])
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, with all their columns, in which no window of the benchmark occurs. No shuffle."""
-    schema = documents.schema
-
-    def finish(part, rows):
-        return part.filter(pa.array([not r["hits"] for r in rows], pa.bool_()))
-
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes, window)
-    return _passes(documents, blocks, lambda d, test: d.mapInArrow(_scan(text_col, test, finish), schema))
+    """The documents, with all their columns, in which no window of the benchmark occurs. No shuffle with one block."""
+    n, blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes, window)
+    if n == 1:
+        clean = lambda part, rows: part.filter(pa.array([not r["hits"] for r in rows], pa.bool_()))
+        block = documents.sparkSession.sparkContext.broadcast(next(blocks))
+        return documents.mapInArrow(_scan(text_col, block, clean), documents.schema)
+    own = [f"c{i}" for i in range(len(documents.columns))]
+    rows = materialize(documents.toDF(*own).withColumn("row", F.monotonically_increasing_id()))
+    hit = lambda part, out: pa.RecordBatch.from_arrays([part.column("row").filter(pa.array([bool(r["hits"]) for r in out], pa.bool_()))], names=["row"])
+    gone = _passes(rows.select("row", F.col(own[documents.columns.index(text_col)]).alias("t")), blocks, lambda d, test: d.mapInArrow(_scan("t", test, hit), "row long")).distinct()
+    return rows.join(gone, "row", "left_anti").select(*own).toDF(*documents.columns)
