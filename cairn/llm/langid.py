@@ -10,8 +10,9 @@ Calibration: on the training texts that a language has won, the mean of the cros
 character; a text more than `reject_sigmas` of both, the latter over the root of its length, above the mean is rejected (as is `und`). The score is the winner's
 posterior over `evidence` characters at most.
 
-The models are fitted on about `max_training` labelled documents of each language, those of smallest hash, with whole texts and all their grams: that is
-the only bound, and none applies to a language with fewer. Models of more than `MODEL_NUMBERS` numbers are refused rather than broadcast.
+The models are fitted on about `max_training` labelled documents of each language, those of smallest hash, with whole texts and all their grams, and none
+applies to a language with fewer. Where the grams of these make a model of more than `MODEL_NUMBERS` numbers (many languages, or scripts of many signs), the half of smaller hash is counted instead, as
+often as it takes: the sample is bounded by the size of the model too, and no gram of a sampled text is left out.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, and rejected; null languages are not learned; with no
 training texts at all everything is `und`; equal cross-entropies go to the first language in string order; repeated rows count and
@@ -32,8 +33,8 @@ from .textbytes import mix
 
 ORDER = 4
 MAX_TRAINING = 100_000
-#: Numbers of four bytes that a broadcast model may have: grams times languages, or grams of all languages while they are counted.
-MODEL_NUMBERS = 1 << 26
+#: Numbers of four bytes that a broadcast model may have: grams times languages, twice. Four times fewer grams of all languages come to the driver.
+MODEL_NUMBERS = 1 << 25
 SLICE_CHARS = 1 << 18
 SPACE = 32
 
@@ -251,12 +252,15 @@ def matrix_hash(codes: np.ndarray) -> np.ndarray:
     return mix(h + np.uint64(n))
 
 
-def train(training: DataFrame, order: int = ORDER) -> Model:
-    """training(lang, t) -> model."""
-    counts = materialize(count_grams(training, order))
-    size = counts.agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), F.count_distinct("gram").alias("grams")).first()
-    if max(size.n, 2 * size.grams * size.langs) > MODEL_NUMBERS:
-        raise ValueError(f"{size.grams} grams of {size.langs} languages are too many to broadcast: lower max_training or the order")
+def train(training: DataFrame, order: int = ORDER, numbers: int = MODEL_NUMBERS) -> Model:
+    """training(lang, t) -> model of `numbers` numbers at most, from all of the texts or from a half, a quarter... of them, by hash."""
+    for halvings in range(40):
+        share = training if not halvings else training.filter(F.shiftrightunsigned(F.xxhash64("t", F.lit("sample")), 64 - halvings) == 0)
+        counts = materialize(count_grams(share, order))
+        size = counts.agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), F.count_distinct("gram").alias("grams")).first()
+        if max(4 * size.n, 2 * size.grams * size.langs) <= numbers:
+            break
+        discard(counts)
     rows = counts.toPandas()
     discard(counts)
     return Model({lang: (g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in rows.groupby("lang")}, order)
