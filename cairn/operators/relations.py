@@ -2,30 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-#: Quotes around names, and comments to the end of a line.
-NOISE = r"[\"`\[\]]|--[^\n]*"
+from pyspark.sql.window import Window as W
+
+#: What SQL is made of: comments, literals, quoted names, words, and single signs.
+TOKEN = r"--[^\n]*|(?s:/\*.*?\*/)|'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\[[^\]\n]*\]|[\w$]+|\S"
+
+
+def tokens(files: DataFrame) -> DataFrame:
+    """repo, file, statement, pos, t, depth, entry, head: the tokens of statements that begin with CREATE, without comments; names lose their quotes, literals keep theirs.
+
+    Statements, brackets and the entries of a table's list are islands of running counts: semicolons and commas count only where no literal and, for commas, no further bracket holds them. depth: brackets that are
+    open before the token; entry: null outside of the first list; head: tokens of the statement before that list."""
+    every = F.filter(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("--") & ~t.startswith("/*"))
+    t = files.select("repo", F.col("path").alias("file"), F.posexplode(every).alias("pos", "t"))
+    name = F.when(F.col("t").rlike('^["`\\[].'), F.substr("t", F.lit(2), F.length("t") - 2)).otherwise(F.col("t"))
+    before = W.partitionBy("repo", "file").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    t = t.withColumn("statement", F.coalesce(F.count_if(F.col("t") == ";").over(before), F.lit(0))).filter("t <> ';'").withColumn("t", name)
+    one = W.partitionBy("repo", "file", "statement").orderBy("pos")
+    so_far = one.rowsBetween(W.unboundedPreceding, -1)
+    t = t.withColumn("_first", F.lower(F.first("t").over(one.rowsBetween(W.unboundedPreceding, W.currentRow)))).filter("_first = 'create'")
+    turn = F.when(F.col("t") == "(", 1).when(F.col("t") == ")", -1).otherwise(0)
+    t = t.withColumn("depth", F.coalesce(F.sum(turn).over(so_far), F.lit(0)))
+    opened = F.coalesce(F.count_if((F.col("t") == "(") & (F.col("depth") == 0)).over(so_far), F.lit(0))
+    commas = F.coalesce(F.count_if((F.col("t") == ",") & (F.col("depth") == 1)).over(so_far), F.lit(0))
+    t = t.withColumns({"_o": opened, "_n": commas})
+    ends = (F.col("depth") == 1) & F.col("t").isin(",", ")")
+    return t.select("repo", "file", "statement", "pos", "t", "depth", F.when((F.col("_o") == 1) & (F.col("depth") > 0) & ~ends, F.col("_n")).alias("entry"), (F.col("_o") == 0).alias("head"))
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """repo, file, sql: statements without quotes and line comments; the last one need not end in a semicolon."""
-    return files.select("repo", F.col("path").alias("file"), F.explode(F.split(F.regexp_replace("content", NOISE, ""), ";")).alias("sql"))
+    """repo, file, statement, head, entries: CREATE statements; head: the words before the first list; entries: what stands between its commas, in order, each an array of tokens with their depth within the entry."""
+    t = tokens(files)
+    keys = ["repo", "file", "statement"]
+    head = F.transform(F.sort_array(F.collect_list(F.when(F.col("head") & (F.col("t") != "("), F.struct("pos", "t")))), lambda x: x["t"])
+    e = t.filter("entry is not null").groupBy(*keys, "entry").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t", "depth"))), lambda x: F.struct(x["t"].alias("t"), (x["depth"] - 1).alias("d"))).alias("e"))
+    e = e.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("entry", "e"))), lambda x: x["e"]).alias("entries"))
+    return t.groupBy(*keys).agg(head.alias("head")).join(e, keys)
+
+
+def _dotted(words: Column) -> Column:
+    """How many of the first words are one name: every second is a point."""
+    ends = F.array_position(F.transform(words, lambda x, i: (i % 2 == 1) & (x != ".")), F.lit(True)).cast("int") - 1
+    return F.when(ends < 0, F.size(words)).otherwise(ends)
+
+
+def _named(head: Column, after: str) -> Column:
+    """The dotted name behind a word of a head (and IF NOT EXISTS); null without the word."""
+    at = F.array_position(F.transform(head, F.lower), F.lit(after)).cast("int")
+    rest = F.slice(head, at + 1, F.size(head))
+    rest = F.when(F.lower(F.get(rest, 0)) == "if", F.slice(rest, F.lit(4), F.size(rest))).otherwise(rest)
+    return F.when((at > 0) & (F.size(rest) > 0), F.array_join(F.slice(rest, F.lit(1), _dotted(rest)), ""))
 
 
 def extract_ddl(files: DataFrame) -> DataFrame:
-    """repo, file, table, body: one row per CREATE TABLE."""
-    made = r"(?is)^\s*create\s+(?:\w+\s+)?table\s+(?:if\s+not\s+exists\s+)?([\w.$]+)\s*\((.*)\)[^()]*$"
-    s = statements(files).filter(F.col("sql").rlike(made))
-    return s.select("repo", "file", F.regexp_extract("sql", made, 1).alias("table"), F.regexp_extract("sql", made, 2).alias("body"))
+    """repo, file, table, entries: one row per CREATE TABLE."""
+    s = statements(files)
+    at = F.array_position(F.transform("head", F.lower), F.lit("table"))
+    return s.filter(at.between(2, 4)).select("repo", "file", _named(F.col("head"), "table").alias("table"), "entries").filter("table is not null")
 
 
 def extract_indexes(files: DataFrame) -> DataFrame:
     """repo, file, index, table, unique, columns: one row per CREATE INDEX."""
-    made = r"(?is)^\s*create\s+(unique\s+)?index\s+(?:if\s+not\s+exists\s+)?([\w.$]+)\s+on\s+([\w.$]+)[^(]*\(([^()]*)\)"
-    s, part = statements(files).filter(F.col("sql").rlike(made)), lambda g: F.regexp_extract("sql", made, g)
-    return s.select("repo", "file", part(2).alias("index"), part(3).alias("table"), (part(1) != "").alias("unique"), _names(part(4)).alias("columns"))
+    low = F.transform("head", F.lower)
+    s = statements(files).filter((F.get(low, 1) == "index") | ((F.get(low, 1) == "unique") & (F.get(low, 2) == "index")))
+    return s.select("repo", "file", _named(F.col("head"), "index").alias("index"), _named(F.col("head"), "on").alias("table"), (F.get(low, 1) == "unique").alias("unique"), F.transform("entries", lambda e: e[0]["t"]).alias("columns")).filter("table is not null")
 
 
 def attach_indexes(tables: DataFrame, indexes: DataFrame) -> DataFrame:
@@ -37,37 +79,64 @@ def attach_indexes(tables: DataFrame, indexes: DataFrame) -> DataFrame:
     return j.select("repo", "file", "index", F.col("_t").alias("table"), "unique", "columns")
 
 
-def _names(listed):
-    return F.transform(F.split(listed, ","), lambda x: F.regexp_extract(F.trim(x), r"^[\w$]+", 0))
+def _list(e: Column, at: Column) -> Column:
+    """Names of the list that opens at a place of an entry: what stands behind its bracket and its commas; empty if none opens there."""
+    inner = F.slice(e, at + 2, F.size(e))
+    end = F.array_position(F.transform(inner, lambda x: (x["t"] == ")") & (x["d"] == 1)), F.lit(True)).cast("int")
+    inner = F.slice(inner, F.lit(1), F.greatest(end - 1, F.lit(0)))
+    names = F.transform(F.filter(inner, lambda x, i: (x["d"] == 1) & (x["t"] != ",") & ((i == 0) | (F.get(inner, i - 1)["t"] == ","))), lambda x: x["t"])
+    return F.when(F.coalesce(F.get(e, at)["t"] == "(", F.lit(False)), names).otherwise(F.array().cast("array<string>"))
+
+
+def _place(e: Column, word: str) -> Column:
+    """Place of a word outside of brackets, from 0; -1 if it is not there."""
+    return F.array_position(F.transform(e, lambda x: F.when(x["d"] == 0, F.lower(x["t"])).otherwise("")), F.lit(word)).cast("int") - 1
+
+
+def _first_list(e: Column) -> Column:
+    return F.array_position(F.transform(e, lambda x: (x["t"] == "(") & (x["d"] == 0)), F.lit(True)).cast("int") - 1
+
+
+def entries(tables: DataFrame) -> DataFrame:
+    """repo, file, table, ord, kind, own, to, theirs, e: the entries of tables. kind: column, or of keys of the table primary, foreign, unique, or other; own: the columns that it is about; to, theirs: what it refers to."""
+    d = tables.select("repo", "file", "table", F.posexplode("entries").alias("ord", "e"))
+    bare = F.when(F.lower(F.col("e")[0]["t"]) == "constraint", F.slice("e", F.lit(3), F.size("e"))).otherwise(F.col("e"))
+    d = d.withColumn("k", bare).filter("size(k) > 0")
+    word = F.lower(F.col("k")[0]["t"])
+    list_ = _list(F.col("k"), _first_list(F.col("k")))
+    is_key = (F.size(list_) > 0) & F.when(word.isin("primary", "foreign"), F.lower(F.get("k", 1)["t"]) == "key").otherwise(word.isin("unique", "key", "index", "fulltext", "spatial"))
+    kind = F.when(is_key & word.isin("primary", "foreign", "unique"), word).when(is_key | word.isin("check", "exclude", "like", "period") | (F.size("k") < F.size("e")), "other").otherwise("column")
+    refers = _place(F.col("k"), "references")
+    rest = F.slice("k", refers + 2, F.size("k"))
+    words = F.transform(rest, lambda x: x["t"])
+    to = F.when(refers >= 0, F.array_join(F.slice(words, F.lit(1), _dotted(words)), ""))
+    theirs = F.when(refers >= 0, _list(rest, _dotted(words)))
+    return d.withColumn("kind", kind).select("repo", "file", "table", "ord", "kind", F.when(F.col("kind") == "column", F.array(F.col("k")[0]["t"])).otherwise(list_).alias("own"), to.alias("to"), theirs.alias("theirs"), "e")
 
 
 def columns(tables: DataFrame) -> DataFrame:
-    """repo, table, column, primary_key, unique (alone: its own key, or the only column of one), ref_table, ref_column. Entries are split at commas outside
-    brackets and told apart before any name is taken: keys of the table are given to the columns they name."""
-    entry = F.transform(F.split("body", r",(?![^()]*\))"), lambda e: F.trim(F.regexp_replace(e, r"\s+", " ")))
-    d = tables.select("repo", "table", F.filter(entry, lambda e: e != "").alias("_e"))
-    rule = lambda e: F.upper(F.regexp_replace(e, r"(?i)^constraint [\w$]+ ", ""))
-    keyed = lambda e: rule(e).rlike(r"^(PRIMARY KEY|FOREIGN KEY|UNIQUE|KEY|INDEX|CHECK|EXCLUDE|FULLTEXT)\b")
-    target = r"(?i)\breferences ([\w.$]+) ?(?:\(([^()]*)\))?"
-    key = lambda e: F.named_struct(
-        F.lit("kind"), F.regexp_extract(rule(e), r"^\w+", 0), F.lit("own"), _names(F.regexp_extract(e, r"\(([^()]*)\)", 1)),
-        F.lit("to"), F.regexp_extract(e, target, 1), F.lit("theirs"), _names(F.regexp_extract(e, target, 2)),
-    )
-    d = d.select("repo", "table", F.transform(F.filter("_e", keyed), key).alias("_k"), F.explode(F.filter("_e", lambda e: ~keyed(e))).alias("_c"))
-    name = F.regexp_extract("_c", r"^[\w$]+", 0)
-    of = lambda *kinds: F.filter("_k", lambda k: k["kind"].isin(*kinds) & F.exists(k["own"], lambda x: F.lower(x) == F.lower(name)))
-    foreign = F.get(of("FOREIGN"), 0)
-    place = F.array_position(F.transform(foreign["own"], F.lower), F.lower(name)).cast("int") - 1
-    said = lambda p: F.col("_c").rlike(rf"(?i)\b{p}\b")
-    some = lambda c: F.nullif(c, F.lit(""))
-    return d.select(
-        "repo", "table", name.alias("column"), (said("primary key") | (F.size(of("PRIMARY")) > 0)).alias("primary_key"),
-        (said("primary key") | said("unique") | F.exists(of("PRIMARY", "UNIQUE"), lambda k: F.size(k["own"]) == 1)).alias("unique"),
-        F.coalesce(some(F.regexp_extract("_c", target, 1)), some(foreign["to"])).alias("ref_table"),
-        F.coalesce(some(F.get(_names(F.regexp_extract("_c", target, 2)), 0)), some(F.get(foreign["theirs"], place))).alias("ref_column"),
+    """repo, table, column, type, nullable, primary_key, unique (alone: its own key, or the only column of one), ref_table, ref_column (of the first key that it is in)."""
+    e = entries(tables)
+    place = lambda w: _place(F.col("e"), w)
+    typed = F.concat(F.col("e")[1]["t"], F.when(F.get("e", 2)["t"] == "(", F.concat(F.lit("("), F.array_join(_list(F.col("e"), F.lit(2)), ","), F.lit(")"))).otherwise(""))
+    primary = (place("primary") > 0) & (F.lower(F.get("e", place("primary") + 1)["t"]) == "key")
+    c = e.filter("kind = 'column'").select("repo", "file", "table", "ord", F.col("own")[0].alias("column"), typed.alias("type"), (~((place("not") > 0) & (F.lower(F.get("e", place("not") + 1)["t"]) == "null"))).alias("nullable"), primary.alias("_p"), (place("unique") > 0).alias("_u"), F.col("to").alias("_to"), F.get("theirs", 0).alias("_theirs"))
+    k = e.filter("kind in ('primary', 'foreign', 'unique')").select("repo", "file", "table", "ord", "kind", F.size("own").alias("n"), "to", "theirs", F.posexplode("own").alias("i", "_c"))
+    k = k.withColumn("_c", F.lower("_c")).groupBy("repo", "file", "table", "_c").agg(
+        F.bool_or(F.col("kind") == "primary").alias("_kp"), F.bool_or((F.col("kind") != "foreign") & (F.col("n") == 1)).alias("_ku"), F.min(F.when(F.col("kind") == "foreign", F.struct("ord", "to", F.get("theirs", F.col("i")).alias("c")))).alias("_kf")
+    )
+    j = c.withColumn("_c", F.lower("column")).join(k, ["repo", "file", "table", "_c"], "left")
+    return j.select(
+        "repo", "table", "column", "type", "nullable", (F.col("_p") | F.coalesce("_kp", F.lit(False))).alias("primary_key"), (F.col("_p") | F.col("_u") | F.coalesce("_ku", F.lit(False))).alias("unique"),
+        F.coalesce("_to", "_kf.to").alias("ref_table"), F.coalesce("_theirs", "_kf.c").alias("ref_column"),
     )
 
 
+def foreign_keys(tables: DataFrame) -> DataFrame:
+    """repo, table, ord, from_columns, ref_table, to_columns: each foreign key of a table, of its own or of a column, as it is written; two to the same table are two."""
+    return entries(tables).filter("to is not null and kind in ('column', 'foreign')").select("repo", "table", "ord", F.col("own").alias("from_columns"), F.col("to").alias("ref_table"), F.col("theirs").alias("to_columns"))
+
+
 def relations(cols: DataFrame) -> DataFrame:
     """Foreign keys: 1:1 where the child's column is unique by itself, else N:1."""
     fk = cols.filter("ref_table is not null")
@@ -111,14 +180,6 @@ def many_to_many(foreign_keys: DataFrame, unique: DataFrame) -> DataFrame:
     return j.select("repo", "via_table", F.col("a.ref_table").alias("from_table"), F.explode(rest).alias("b")).select("repo", "via_table", "from_table", F.col("b.ref_table").alias("to_table"))
 
 
-def foreign_keys(cols: DataFrame) -> DataFrame:
-    """repo, table, from_columns, ref_table, to_columns: one row per table and target, of the rows of `columns`, which come in the order of the key."""
-    fk = cols.filter("ref_table is not null")
-    g = fk.groupBy("repo", "table", "ref_table").agg(F.sort_array(F.collect_list(F.struct("column", "ref_column"))).alias("_k"))
-    of = lambda f: F.transform("_k", lambda k: k[f])
-    return g.select("repo", "table", of("column").alias("from_columns"), "ref_table", of("ref_column").alias("to_columns"))
-
-
 #: What tells relations apart.
 RELATION = ["repo", "type", "from_table", "from_columns", "to_table", "to_columns", "file", "line"]
 

@@ -80,7 +80,7 @@ def test_contracts(spark):
 
 def test_foreign_keys(spark):
     files = spark.createDataFrame([("r", "a.sql", "create table a (x int references t (k), y int, foreign key (y) references b (id)); create table c (z int)")], FILES)
-    fk = relations.foreign_keys(relations.columns(relations.extract_ddl(files)))
+    fk = relations.foreign_keys(relations.extract_ddl(files))
     assert rows(fk, "table", "from_columns", "ref_table", "to_columns") == [("a", ["x"], "t", ["k"]), ("a", ["y"], "b", ["id"])]
 
 

@@ -126,12 +126,32 @@ def test_ddl(spark):
     )
     files = spark.createDataFrame([("r", "a.sql", sql), ("r", "b.sql", "create index other on a (b_id)"), ("r", "c.sql", None)], FILES)
     tables = relations.extract_ddl(files)
-    assert {r.column: tuple(r)[3:] for r in relations.columns(tables).collect()} == {
+    assert {r.column: tuple(r)[5:] for r in relations.columns(tables).collect()} == {
         "id": (True, True, None, None), "b_id": (False, False, "b", "id"), "c": (False, True, "b", "c2"), "x": (False, False, "t", None), "q": (True, True, None, None),
     }
     assert rows(relations.attach_indexes(tables, relations.extract_indexes(files)), "index", "table", "unique", "columns") == [("ix", "shop.a", True, ["b_id", "c"])]
 
 
+def test_ddl_of_literals_and_brackets(spark):
+    """Semicolons, commas and brackets in literals and defaults, comments, two keys to one table, quoted and dotted names."""
+    sql = (
+        "CREATE TABLE `a b`.\"t x\" (\n id BIGINT DEFAULT nextval('s;q') PRIMARY KEY, -- , (\n price DECIMAL(10, 2) DEFAULT (round(f(1, g(2)), 3)) NOT NULL, /* x INT, */\n note VARCHAR(20) DEFAULT 'it''s; (unique, references z(q)' UNIQUE,\n"
+        " home_id INT REFERENCES addr(id), [work id] INT REFERENCES addr (id),\n CONSTRAINT two FOREIGN KEY (home_id, note) REFERENCES other.pair (a, b) ON DELETE CASCADE,\n CHECK (price > 0 AND note IN ('a', 'b')),\n PRIMARY KEY (id)\n) PARTITION BY HASH(id);\n"
+        "INSERT INTO t VALUES ('create table no (x int);');\nCREATE TEMPORARY TABLE u (key_part INT, unique_id INT, index INT, UNIQUE INDEX i (key_part, unique_id));\nCREATE UNIQUE INDEX ix ON `a b`.\"t x\" USING btree (price DESC, lower(note))"
+    )
+    files = spark.createDataFrame([("r", "a.sql", sql), ("r", "n.sql", None), ("r", "e.sql", "create table"), ("q", "a.sql", "create table t (a int, a2 int references t)")], FILES)
+    t = relations.extract_ddl(files)
+    assert rows(t, "repo", "table") == [("q", "t"), ("r", "a b.t x"), ("r", "u")]
+    got = {(r.table, r.column): (r.type, r.nullable, r.primary_key, r.unique, r.ref_table, r.ref_column) for r in relations.columns(t).collect()}
+    assert got == {
+        ("t", "a"): ("int", True, False, False, None, None), ("t", "a2"): ("int", True, False, False, "t", None), ("a b.t x", "id"): ("BIGINT", True, True, True, None, None), ("a b.t x", "price"): ("DECIMAL(10,2)", False, False, False, None, None),
+        ("a b.t x", "note"): ("VARCHAR(20)", True, False, True, "other.pair", "b"), ("a b.t x", "home_id"): ("INT", True, False, False, "addr", "id"), ("a b.t x", "work id"): ("INT", True, False, False, "addr", "id"),
+        ("u", "key_part"): ("INT", True, False, False, None, None), ("u", "unique_id"): ("INT", True, False, False, None, None), ("u", "index"): ("INT", True, False, False, None, None),
+    }
+    assert rows(relations.foreign_keys(t).filter("repo = 'r'"), "from_columns", "ref_table", "to_columns") == [(["home_id"], "addr", ["id"]), (["home_id", "note"], "other.pair", ["a", "b"]), (["work id"], "addr", ["id"])]
+    assert rows(relations.attach_indexes(t, relations.extract_indexes(files)), "index", "table", "unique", "columns") == [("ix", "a b.t x", True, ["price", "lower"])]
+
+
 def test_text(spark):
     one = spark.createDataFrame([("Größe naïve 東京タワー ﬁne getHTTPName snake_case",)], "t string")
     got = one.select(tokens(F.col("t")).alias("t")).first().t
