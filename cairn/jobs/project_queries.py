@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, closure, graph, inventory, markdown, relations, search, symbols
-from ..sources.corpus import dao_corpus, in_scope, report_corpus, service_corpus
+from ..sources.corpus import dao_corpus, extension, in_scope, report_corpus, service_corpus
 
 EXTENSIONS = ("java", "ts", "py", "sql", "rpt", "xml", "jsp", "md")
 
@@ -214,12 +214,26 @@ def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unresolved_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.page(_t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey"), ["o_orderkey"], 100, 1000)
+    return search.page(_t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey"), ["o_orderkey"], 100, 1000).select("o_orderkey", "ord", "total", "next_offset")
+
+
+def sorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing with its place in the order of extension and path."""
+    f = _listing(spark, sf_dir).select("repo", "path", extension(F.col("path")).alias("ext"))
+    return search.ordinals(f, ["ext", "path", "repo"])[0].select("repo", "path", "ord")
+
+
+def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations, market segments and part types as queries over parts and customers: a table of queries at once."""
+    p = _t(spark, sf_dir, "part").select(F.concat(F.lit("part-"), _text("p_partkey")).alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("text"))
+    c = _t(spark, sf_dir, "customer").select(F.concat(F.lit("customer-"), _text("c_custkey")).alias("id"), F.col("c_mktsegment").alias("title"), F.col("c_name").alias("text"))
+    q = _t(spark, sf_dir, "part").select(F.lower("p_type").alias("query")).union(_t(spark, sf_dir, "customer").select("c_mktsegment")).union(_t(spark, sf_dir, "nation").select(F.concat(F.lit("part customer-"), _text("n_nationkey")))).distinct()
+    return search.rank_batch(p.unionByName(c), q.select(F.col("query").alias("query_id"), "query"), 50).select("query_id", "item", "score", "place")
 
 
 _QUERIES = (
     symbol_nodes, call_graph, injection_edges, dead_methods, unsupported_files, adapter_coverage, complexity, workspace_files, router_prefixes, transaction_scope, external_in_transaction, hub_nodes, top_hubs, visible_edges,
-    edge_patch, layer_counts, merged_nodes, relation_cardinality, join_tables, schema_violations, evidence_paths, line_references, evidence_density, report_score, report_sections, report_risks, search_candidates, record_search, unresolved_page,
+    edge_patch, layer_counts, merged_nodes, relation_cardinality, join_tables, schema_violations, evidence_paths, line_references, evidence_density, report_score, report_sections, report_risks, search_candidates, record_search, unresolved_page, sorted_files, batch_search,
 )
 
 
@@ -282,7 +296,17 @@ SELECT CASE WHEN NOT ok THEN 'rejected' WHEN i > 1 OR (f, t) IN (SELECT (f, t) F
     "search_candidates": """WITH tok AS (SELECT DISTINCT p_partkey AS item, lower(unnest(regexp_split_to_array(p_name, '[^A-Za-z0-9]+'))) AS token FROM part), i AS (SELECT * FROM tok WHERE length(token) > 1), q AS (SELECT DISTINCT lower(unnest([p_type, substr(p_type, 2, 2)])) AS query FROM part)
  SELECT DISTINCT query, item FROM q JOIN i ON CASE WHEN query IN (SELECT token FROM i) THEN token = query ELSE contains(token, query) OR contains(query, token) END""",
     "record_search": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'build') ORDER BY c_custkey LIMIT 100",
-    "unresolved_page": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 200 OFFSET 100",
+    "unresolved_page": """WITH f AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ord, count(*) OVER () AS total FROM orders WHERE o_orderstatus = 'F')
+ SELECT *, CASE WHEN total > 300 THEN CAST(300 AS BIGINT) END AS next_offset FROM f WHERE ord BETWEEN 100 AND 299""",
+    "sorted_files": f"WITH {_F} SELECT repo, path, row_number() OVER (ORDER BY ['java','ts','py','sql','rpt','xml','jsp','md'][e + 1], path, repo) - 1 AS ord FROM f",
+    "batch_search": r"""WITH i AS (SELECT 'part-' || p_partkey AS id, p_name AS title, p_type AS txt FROM part UNION ALL SELECT 'customer-' || c_custkey, c_mktsegment, c_name FROM customer),
+t AS (SELECT DISTINCT id, unnest(list_concat(string_split(lower(regexp_replace(title || ' ' || txt, '[^\p{L}\p{N}_.$-]+', ' ', 'g')), ' '), string_split(lower(regexp_replace(regexp_replace(title || ' ' || txt, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' '))) AS token FROM i),
+q AS (SELECT lower(p_type) AS q FROM part UNION SELECT c_mktsegment FROM customer UNION SELECT 'part customer-' || n_nationkey FROM nation),
+w AS (SELECT DISTINCT q, unnest(list_concat(string_split(lower(regexp_replace(q, '[^\p{L}\p{N}_.$-]+', ' ', 'g')), ' '), string_split(lower(regexp_replace(regexp_replace(q, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ' '))) AS token FROM q),
+u AS (SELECT DISTINCT token FROM w WHERE length(token) > 1),
+h AS (SELECT u.token, i.id, i.title, CASE WHEN lower(title) = u.token THEN 20 WHEN contains(lower(title), u.token) THEN 10 ELSE 0 END + CASE WHEN contains(lower(i.id), u.token) THEN 7 ELSE 0 END + CASE WHEN contains(lower(txt), u.token) THEN 2 ELSE 0 END
+  + CASE WHEN (i.id, u.token) IN (SELECT (id, token) FROM t) THEN 5 ELSE 0 END AS s FROM u, i)
+SELECT q AS query_id, id AS item, CAST(score AS BIGINT) AS score, CAST(place AS INTEGER) AS place FROM (SELECT q, id, sum(s) AS score, row_number() OVER (PARTITION BY q ORDER BY sum(s) DESC, lower(any_value(title)), id) AS place FROM w JOIN h USING (token) WHERE s > 0 GROUP BY q, id) WHERE place <= 50""",
 }
 
 

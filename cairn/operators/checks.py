@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import is_rule
+
 
 def check_schema(df: DataFrame, key: list[str], rules: list[tuple]) -> DataFrame:
     """key, column, rule for each broken rule; rules are (column, "required"), (column, "enum", values) or (column, "minimum", least). One pass, no shuffle."""
@@ -82,14 +84,23 @@ def check_unresolved(meta: DataFrame, unresolved: DataFrame) -> DataFrame:
 
 def content_lines(text):
     """How many lines say something: no blank lines, headings, fences or rules of tables."""
-    said = F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x))
-    return F.size(F.filter(said, lambda x: (x != "") & ~x.rlike(r"^(?:#{1,6}\s|`{3}|\|?\s*:?-{3,})")))
+    line = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
+    mark = lambda x: F.substring_index(x, " ", 1)
+    heading = lambda x: (x != mark(x)) & (F.translate(mark(x), "#", "") == "") & (F.length(mark(x)) <= 6)
+    return F.size(F.filter(line, lambda x: (x != "") & ~heading(x) & ~x.startswith("```") & ~is_rule(x)))
 
 
 def has_code(text):
-    """A fenced block that holds more than dots or a bracketed stand-in."""
-    blocks = F.regexp_extract_all(text, F.lit(r"(?ms)^(`{3,})[^\r\n`]*\r?\n(.*?)^\1\s*$"), F.lit(2))
-    return F.exists(F.transform(blocks, lambda b: F.trim(b, F.lit(" \t\r\n"))), lambda b: (b != "") & (b != "...") & ~b.rlike(r"^\[[^\]\r\n]+\]$"))
+    """A fenced block that holds more than dots or a bracketed stand-in: a walk over the lines that knows whether a fence is open and what it has held."""
+    line = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
+    stand_in = lambda x: (x == "") | (x == "...") | (x.startswith("[") & x.endswith("]"))
+    state = F.struct(F.lit(False).alias("open"), F.lit(False).alias("said"), F.lit(False).alias("found"))
+
+    def step(s, x):
+        fence = x.startswith("```")
+        return F.struct((fence != s["open"]).alias("open"), (s["open"] & ~fence & (s["said"] | ~stand_in(x))).alias("said"), (s["found"] | (fence & s["open"] & s["said"])).alias("found"))
+
+    return F.aggregate(line, state, step, lambda s: s["found"])
 
 
 #: Least Hangul characters and least lines of a report by tier.
