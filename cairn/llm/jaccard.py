@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, materialize
-from .textbytes import LOWER, SPACE_WORD, batch_parts, mix, text_slices, word_hashes
+from .textbytes import LOWER, SPACE_WORD, batch_parts, freeing, mix, text_slices, word_hashes
 
 SKETCH_BITS = 17
 MAPS = 8
@@ -80,7 +80,7 @@ def _sketch(k: int):
 
 def rarity(docs: DataFrame, k: int) -> np.ndarray:
     """Class per counter, 0 rarest: quarter-octaves above the mean load."""
-    rows = docs.select("t").mapInArrow(_sketch(k), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("t").mapInArrow(freeing(_sketch(k)), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     load = np.zeros(1 << SKETCH_BITS)
     load[rows["bin"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     level = np.log2(np.maximum(load, 1) / max(load.mean(), 1)) * 4
@@ -224,13 +224,13 @@ class _Verifier:
         need = materialize(self.classes.join(need, "rep", "left_semi").select(F.col("rep").alias("id"), "d1"))
         wanted = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
         # by id and content: rows that share an id with other texts are not meant
-        sets = self.docs.join(wanted.select("id"), "id", "left_semi").mapInArrow(_sets(self.k), f"id {self.kind}, d1 long, n long, map binary, set binary")
+        sets = self.docs.join(wanted.select("id"), "id", "left_semi").mapInArrow(freeing(_sets(self.k)), f"id {self.kind}, d1 long, n long, map binary, set binary")
         sets = materialize(sets.join(wanted, ["id", "d1"], "left_semi"))
         coarse = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("map").alias(f"m{s}"))
         own = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"s{s}"))
         two = f"a {self.kind}, b {self.kind}"
-        close = materialize(pairs.join(coarse("a"), "a").join(coarse("b"), "b").mapInArrow(_coarse(self.percent), two))
-        links = materialize(close.join(own("a"), "a").join(own("b"), "b").mapInArrow(_verify(self.percent), two))
+        close = materialize(pairs.join(coarse("a"), "a").join(coarse("b"), "b").mapInArrow(freeing(_coarse(self.percent)), two))
+        links = materialize(close.join(own("a"), "a").join(own("b"), "b").mapInArrow(freeing(_verify(self.percent)), two))
         discard(need, sets, close)
         before = self.roots
         if before is None:
@@ -296,7 +296,7 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     level = spark.sparkContext.broadcast(rarity(docs, k))
     kind = docs.schema["id"].dataType.simpleString()
-    signed = materialize(docs.mapInArrow(_signatures(k, percent, level), SIGNATURE.format(id=kind)))
+    signed = materialize(docs.mapInArrow(freeing(_signatures(k, percent, level)), SIGNATURE.format(id=kind)))
     maps = [f"m{j}" for j in range(MAPS)]
     prefix = F.slice("first", F.lit(1), F.col("take"))
     classes = materialize(

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, materialize
-from .textbytes import mix
+from .textbytes import freeing, mix
 
 ORDER = 4
 MAX_TRAINING = 100_000
@@ -131,7 +131,7 @@ def training_sample(docs: DataFrame, most: int) -> DataFrame:
 def count_grams(training: DataFrame, order: int) -> DataFrame:
     """training(lang, t) -> lang, gram, n."""
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
-    return training.select("lang", "t").mapInArrow(_count(order), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return training.select("lang", "t").mapInArrow(freeing(_count(order)), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -294,7 +294,7 @@ def judge(docs: DataFrame, carried: list[str], order: int, max_training: int, ev
     model = train(training_sample(docs.filter("not held_out"), max_training), order)
     kept = [*carried, *(c for c in ("lang", "held_out") if c not in carried)]
     schema = T.StructType([*(docs.schema[c] for c in kept), *ADDED])
-    found = materialize(docs.mapInArrow(_predict(spark.sparkContext.broadcast(model), evidence, kept), schema))
+    found = materialize(docs.mapInArrow(freeing(_predict(spark.sparkContext.broadcast(model), evidence, kept)), schema))
     won = found.filter("not held_out and lang = lang_pred").groupBy("lang")
     x, n = F.col("cross_entropy"), F.col("n_letters")
     stats = won.agg(F.avg(x).alias("m"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias("s"), F.avg(n * x * x).alias("nxx"), F.avg(n * x).alias("nx"), F.avg(n).alias("n")).collect()

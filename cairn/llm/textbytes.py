@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +86,19 @@ def text_slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int,
         lo = hi
 
 
+def freeing(run):
+    """run(batches), after which the worker gives back to the system what its allocators hold but do not use. Workers live on between tasks, next to the executor's own memory."""
+
+    @functools.wraps(run)
+    def out(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return out
+
+
 def batch_parts(batches: Iterator[pa.RecordBatch], *names: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `most` bytes in the named string or binary columns (one row at least), so that what a task makes of a
     slice stays small however long the texts are."""
