@@ -65,6 +65,13 @@ def adapter_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.adapter_coverage(_listing(spark, sf_dir))
 
 
+def adapter_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files of sources that end in 7 have Flask endpoints."""
+    f = _listing(spark, sf_dir)
+    e = f.filter("repo like '%7'").select("repo", F.col("path").alias("file"), F.lit("flask").alias("framework"))
+    return inventory.adapter_extensions(f, e)
+
+
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _listing(spark, sf_dir)
     return inventory.complexity(f, f.select("repo", F.col("path").endswith(".sql").alias("has_db"), (F.col("doc_id") % 97 == 0).alias("has_external")))
@@ -210,7 +217,7 @@ def search_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_records(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "BUILD")
+    return search.search_records(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("file")), "BUILD", file="BUILDING").withColumnRenamed("file", "c_mktsegment")
 
 
 def unresolved_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +239,7 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
-    symbol_nodes, call_graph, injection_edges, dead_methods, unsupported_files, adapter_coverage, complexity, workspace_files, router_prefixes, transaction_scope, external_in_transaction, hub_nodes, top_hubs, visible_edges,
+    symbol_nodes, call_graph, injection_edges, dead_methods, unsupported_files, adapter_coverage, adapter_extensions, complexity, workspace_files, router_prefixes, transaction_scope, external_in_transaction, hub_nodes, top_hubs, visible_edges,
     edge_patch, layer_counts, merged_nodes, relation_cardinality, join_tables, schema_violations, evidence_paths, line_references, evidence_density, report_score, report_sections, report_risks, search_candidates, record_search, unresolved_page, sorted_files, batch_search,
 )
 
@@ -259,6 +266,8 @@ ORACLE = {
     "unsupported_files": f"WITH {_F} SELECT repo, path FROM f WHERE e = 4",
     "adapter_coverage": f"""WITH {_F}, g AS (SELECT repo, count(*) FILTER (WHERE e < 4) AS full_files, count(*) FILTER (WHERE e > 4) AS partial_files, count(*) FILTER (WHERE e = 4) AS unsupported_files FROM f GROUP BY repo)
  SELECT *, CASE WHEN unsupported_files > 0 THEN 'WARN' WHEN partial_files > 0 THEN 'PARTIAL' ELSE 'FULL' END AS status FROM g""",
+    "adapter_extensions": f"""WITH {_F}, x AS (SELECT repo, e, ['java','ts','py','sql','rpt','xml','jsp','md'][e + 1] AS extension FROM f)
+ SELECT repo, extension, CASE WHEN e = 4 THEN 'UNSUPPORTED' WHEN e > 4 OR (e = 2 AND repo LIKE '%7') THEN 'PARTIAL' ELSE 'FULL' END AS level, count(*) AS files FROM x GROUP BY ALL""",
     "complexity": f"""WITH {_F}, g AS (SELECT repo, count(*) + CASE WHEN bool_or(e = 3) THEN 30 ELSE 0 END + CASE WHEN count(*) FILTER (WHERE e = 6) >= 50 THEN 40 ELSE 0 END + CASE WHEN bool_or(doc_id % 97 = 0) THEN 20 ELSE 0 END AS score FROM f GROUP BY repo)
  SELECT repo, score, CASE WHEN score <= 50 THEN 'Lite' WHEN score <= 120 THEN 'Standard' ELSE 'Full' END AS tier FROM g""",
     "workspace_files": f"WITH {_F} SELECT repo, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 = 1 THEN 'deep' WHEN doc_id % 3 = 2 THEN 'other' ELSE 'all' END AS workspace, count(*) AS files FROM f GROUP BY ALL",
@@ -295,7 +304,7 @@ SELECT CASE WHEN NOT ok THEN 'rejected' WHEN i > 1 OR (f, t) IN (SELECT (f, t) F
  UNION ALL SELECT repo, 'HIGH', 'HIGH leak in `src/D' || k || '.java:3`' FROM s UNION ALL SELECT repo, 'MEDIUM', 'medium case (src/D' || k || '.java:400)' FROM s UNION ALL SELECT DISTINCT repo, 'INFO', 'shared remark' FROM s""",
     "search_candidates": """WITH tok AS (SELECT DISTINCT p_partkey AS item, lower(unnest(regexp_split_to_array(p_name, '[^A-Za-z0-9]+'))) AS token FROM part), i AS (SELECT * FROM tok WHERE length(token) > 1), q AS (SELECT DISTINCT lower(unnest([p_type, substr(p_type, 2, 2)])) AS query FROM part)
  SELECT DISTINCT query, item FROM q JOIN i ON CASE WHEN query IN (SELECT token FROM i) THEN token = query ELSE contains(token, query) OR contains(query, token) END""",
-    "record_search": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'build') ORDER BY c_custkey LIMIT 100",
+    "record_search": """SELECT c_custkey, c_name, c_mktsegment, count(*) OVER () > 100 AS truncated FROM customer WHERE c_mktsegment = 'BUILDING' QUALIFY row_number() OVER (ORDER BY c_custkey) <= 100""",
     "unresolved_page": """WITH f AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ord, count(*) OVER () AS total FROM orders WHERE o_orderstatus = 'F')
  SELECT *, CASE WHEN total > 300 THEN CAST(300 AS BIGINT) END AS next_offset FROM f WHERE ord BETWEEN 100 AND 299""",
     "sorted_files": f"WITH {_F} SELECT repo, path, row_number() OVER (ORDER BY ['java','ts','py','sql','rpt','xml','jsp','md'][e + 1], path, repo) - 1 AS ord FROM f",

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contracts, dedupe, facts, graph, relations, search
+from ..operators import contracts, dedupe, facts, graph, relations, search, web
 from ..sources.corpus import dao_corpus, in_scope, star_corpus
 from . import catalog_queries as catalog
 from . import fact_queries as parsed
 from . import framework_queries as frameworks
 from . import project_queries as project
 from . import router_queries as routing
+from . import source_queries as stored
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _api(spark, sf_dir):
     files = in_scope(star_corpus(spark, sf_dir))
-    e, c = contracts.extract_endpoints(files), contracts.extract_consumers(files)
+    e, c = web.endpoints(files), web.consumers(files)
     return e, c, contracts.match_api(e, c)
 
 
@@ -161,7 +162,7 @@ _QUERIES = (
 )
 
 
-_PARTS = (project, parsed, catalog, frameworks, routing)
+_PARTS = (project, parsed, catalog, frameworks, routing, stored)
 
 
 def merged(*parts: dict) -> dict:

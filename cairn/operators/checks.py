@@ -19,6 +19,49 @@ def check_schema(df: DataFrame, key: list[str], rules: list[tuple]) -> DataFrame
     return df.select(*key, F.explode(found).alias("_v")).select(*key, "_v.column", "_v.rule")
 
 
+#: JSON types by what a value's type is called.
+KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "BIGINT": "integer"}
+
+
+def _kind(value):
+    """The JSON type of a value (variant): integer is also number."""
+    name = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    kinds = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
+    return F.coalesce(kinds[name], F.when(name.isin("DECIMAL", "DOUBLE", "FLOAT"), F.when(F.try_variant_get(value, "$", "double") == F.floor(F.try_variant_get(value, "$", "double")), "integer").otherwise("number")), F.lit("other"))
+
+
+def _violations(value, rules: dict, path, depth: int = 0):
+    """array<struct<path, rule>> of a value (variant) against rules: type, enum, minimum, required, properties, items. Deeper rules count only where the type is right."""
+    one = lambda at, rule: F.struct(at.alias("path"), F.lit(rule).alias("rule"))
+    none = F.array().cast("array<struct<path:string,rule:string>>")
+    kind = _kind(value)
+    types = [rules["type"]] if isinstance(rules.get("type"), str) else list(rules.get("type", []))
+    fine = F.lit(True) if not types else kind.isin(*types) | (F.lit("number" in types) & (kind == "integer"))
+    parts = []
+    if "enum" in rules:
+        parts.append(F.when(~F.coalesce(F.try_variant_get(value, "$", "string").isin(*map(str, rules["enum"])), F.lit(False)), F.array(one(path, "enum"))).otherwise(none))
+    if "minimum" in rules:
+        parts.append(F.when(kind.isin("integer", "number") & (F.try_variant_get(value, "$", "double") < rules["minimum"]), F.array(one(path, "minimum"))).otherwise(none))
+    child = lambda name: F.try_variant_get(value, f"$['{name}']", "variant")
+    for name in rules.get("required", ()):
+        parts.append(F.when((kind == "object") & child(name).isNull(), F.array(one(F.concat(path, F.lit(f".{name}")), "required"))).otherwise(none))
+    for name, inner in rules.get("properties", {}).items():
+        parts.append(F.when((kind == "object") & child(name).isNotNull(), _violations(child(name), inner, F.concat(path, F.lit(f".{name}")), depth)).otherwise(none))
+    if "items" in rules:
+        each = F.try_variant_get(value, "$", "array<variant>")
+        within = F.flatten(F.transform(each, lambda x, i: _violations(x, rules["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), depth + 1)))
+        parts.append(F.when(kind == "array", within).otherwise(none))
+    below = F.concat(*parts) if parts else none
+    return F.when(fine, F.coalesce(below, none)).otherwise(F.array(one(path, "type")))
+
+
+def check_documents(docs: DataFrame, key: list[str], column: str, rules: dict) -> DataFrame:
+    """key, path, rule: what breaks the rules in JSON documents, with the place ($.a[2].b) of each value; `invalid` where a text is no JSON. Rules are nested as the documents are; one pass, no shuffle."""
+    v = docs.select(*key, F.col(column).alias("_t"), F.try_parse_json(column).alias("_v"))
+    broken = F.when(F.col("_v").isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("invalid").alias("rule")))).otherwise(_violations(F.col("_v"), rules, F.lit("$")))
+    return v.select(*key, F.explode(broken).alias("_b")).select(*key, "_b.path", "_b.rule")
+
+
 def check_evidence_paths(facts: DataFrame, files: DataFrame) -> DataFrame:
     """repo, file, problem: files that facts name but the corpus lacks (MISSING), and absolute or climbing paths (UNSAFE)."""
     named = facts.select("repo", "file").filter("file is not null").distinct()
@@ -29,19 +72,21 @@ def check_evidence_paths(facts: DataFrame, files: DataFrame) -> DataFrame:
 
 def source_references(docs: DataFrame) -> DataFrame:
     """repo, doc, file, line: distinct references such as `src/a.ts:12` of each document (repo, path, content). Words between blanks, backticks and brackets
-    are taken apart at colons: a file with an extension, then a number."""
+    are taken apart at colons: a file with an extension, then a number; before it, two colons and a repo may stand."""
     word = F.split("content", r"[\s`()\[\]<>,;\"']+")
     part = F.transform(word, lambda w: F.split(F.rtrim(w, F.lit(".")), ":"))
     is_ref = lambda p: (F.size(p) >= 2) & F.get(p, F.size(p) - 1).rlike(r"^[0-9]+$") & F.get(p, F.size(p) - 2).rlike(r"^[\w@+~./\\-]*\.[A-Za-z0-9]+$")
-    found = F.transform(F.filter(part, is_ref), lambda p: F.struct(F.get(p, F.size(p) - 2).alias("file"), F.get(p, F.size(p) - 1).try_cast("bigint").alias("line")))
+    found = F.transform(F.filter(part, is_ref), lambda p: F.struct(F.when((F.size(p) == 4) & (p[1] == "") & (p[0] != ""), F.concat(p[0], F.lit("::"), p[2])).otherwise(F.get(p, F.size(p) - 2)).alias("file"), F.get(p, F.size(p) - 1).try_cast("bigint").alias("line")))
     return docs.select("repo", F.col("path").alias("doc"), F.explode(F.array_distinct(found)).alias("_r")).select("repo", "doc", "_r.file", "_r.line")
 
 
 def check_line_references(references: DataFrame, files: DataFrame) -> DataFrame:
-    """References with a status: OK, MISSING (no such file) or OUT_OF_RANGE. Only line counts are shuffled, never contents."""
-    n = files.select("repo", F.col("path").alias("file"), F.size(F.split("content", "\n")).alias("_n"))
-    j = references.join(n, ["repo", "file"], "left")
-    return j.withColumn("status", F.when(F.col("_n").isNull(), "MISSING").when(F.col("line").between(1, F.col("_n")), "OK").otherwise("OUT_OF_RANGE")).drop("_n")
+    """References(repo, file, line, ...) with a status: OK, MISSING (no such file) or OUT_OF_RANGE. A file of another repo is named with it: `repo::path`. Only line counts are shuffled, never contents."""
+    n = files.select(F.col("repo").alias("_repo"), F.col("path").alias("_file"), F.size(F.split("content", "\n")).alias("_n"))
+    at = F.position(F.lit("::"), "file")
+    d = references.withColumns({"_repo": F.when(at > 1, F.substr("file", F.lit(1), at - 1)).otherwise(F.col("repo")), "_file": F.when(at > 1, F.substr("file", at + 2, F.length("file"))).otherwise(F.col("file"))})
+    j = d.join(n, ["_repo", "_file"], "left")
+    return j.withColumn("status", F.when(F.col("_n").isNull(), "MISSING").when(F.col("line").between(1, F.col("_n")), "OK").otherwise("OUT_OF_RANGE")).select(*references.columns, "status")
 
 
 def evidence_density(references: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,43 +1,15 @@
-"""HTTP endpoints and consumers: extraction, matching, drift."""
+"""HTTP endpoints and consumers: matching, drift, partners. `web` finds them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import join_path, normalize_path
-from ..sources.corpus import extension
-
-MAPPING = r'^\s*@(Get|Post|Put|Delete|Patch)Mapping\(\s*(?:value\s*=\s*)?"([^"]*)"'
-BASE = r'^\s*@RequestMapping\(\s*(?:value\s*=\s*)?"([^"]*)"'
-CALL = r"axios\.(get|post|put|delete|patch)\(\s*[`'\"]([^`'\"]+)[`'\"]"
-FETCH = r"\bfetch\(\s*[`'\"]([^`'\"]+)[`'\"]"
-
-
 def lines(files: DataFrame) -> DataFrame:
     """repo, path, line, text: one row per line; contents go no further."""
     return files.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("_n", "text")).select("repo", "path", (F.col("_n") + 1).alias("line"), "text")
 
 
-def extract_endpoints(files: DataFrame) -> DataFrame:
-    """repo, file, line, method, path_pattern: method mappings under their class's base path."""
-    java = files.filter(extension(F.col("path")).isin("java", "kt"))
-    base = F.regexp_extract("content", "(?m)" + BASE, 1)
-    mapped = java.select("repo", "path", base.alias("base"), F.posexplode(F.split("content", "\n")).alias("_n", "text")).filter(F.col("text").rlike(MAPPING))
-    return mapped.select(
-        "repo", F.col("path").alias("file"), (F.col("_n") + 1).alias("line"), F.upper(F.regexp_extract("text", MAPPING, 1)).alias("method"),
-        join_path(F.col("base"), F.regexp_extract("text", MAPPING, 2)).alias("path_pattern"),
-    )
-
-
-def extract_consumers(files: DataFrame) -> DataFrame:
-    """repo, file, line, method, path_pattern: axios and fetch calls."""
-    t = lines(files.filter(extension(F.col("path")).isin("ts", "tsx", "js", "vue")))
-    axios = t.filter(F.col("text").rlike(CALL)).select("repo", "path", "line", F.upper(F.regexp_extract("text", CALL, 1)).alias("method"), F.regexp_extract("text", CALL, 2).alias("p"))
-    fetch = t.filter(F.col("text").rlike(FETCH)).select("repo", "path", "line", F.lit("GET").alias("method"), F.regexp_extract("text", FETCH, 1).alias("p"))
-    return axios.unionByName(fetch).select("repo", F.col("path").alias("file"), "line", "method", normalize_path(F.col("p")).alias("path_pattern"))
-
-
 def match_api(endpoints: DataFrame, consumers: DataFrame) -> DataFrame:
     """Pairs with the same pattern, the method equal or the endpoint's ANY: an equi-join on the pattern."""
     e = endpoints.select(*(F.col(c).alias(f"endpoint_{c}") for c in ("repo", "file", "method")), "path_pattern")

@@ -17,11 +17,24 @@ def unsupported_files(files: DataFrame) -> DataFrame:
     return files.filter(extension(F.col("path")).isin(*DISCOVERY_ONLY)).select("repo", "path")
 
 
-def adapter_coverage(files: DataFrame) -> DataFrame:
-    """repo, full_files, partial_files, unsupported_files, status. Discovery-only formats count as unsupported and make the status WARN."""
-    ext = extension(F.col("path"))
-    lost, full = ext.isin(*DISCOVERY_ONLY), ext.isin(*FULL)
-    g = files.groupBy("repo").agg(F.count_if(full).alias("full_files"), F.count_if(~full & ~lost).alias("partial_files"), F.count_if(lost).alias("unsupported_files"))
+def adapter_extensions(files: DataFrame, endpoints: DataFrame | None = None) -> DataFrame:
+    """repo, extension, level, files: how far each format is read: FULL, PARTIAL or, for formats that are only found, UNSUPPORTED. A Python file with Django or Flask endpoints(repo, file, framework), whose routes may be nested
+    elsewhere, makes its format partial. A file without an extension goes by its name."""
+    ext = F.coalesce(F.nullif(extension(F.col("path")), F.lit("")), F.element_at(F.split("path", "/"), -1))
+    f = files.select("repo", "path", ext.alias("extension"))
+    nested = F.lit(False)
+    if endpoints is not None:
+        some = endpoints.filter(F.col("framework").isin("django", "flask")).select("repo", F.col("file").alias("path"), F.lit(True).alias("_nested")).distinct()
+        f, nested = f.join(some, ["repo", "path"], "left"), F.coalesce("_nested", F.lit(False)) & (F.col("extension") == "py")
+    g = f.groupBy("repo", "extension").agg(F.count("*").alias("files"), F.bool_or(nested).alias("_n"))
+    level = F.when(F.col("extension").isin(*DISCOVERY_ONLY), "UNSUPPORTED").when(F.col("extension").isin(*FULL) & ~F.col("_n"), "FULL").otherwise("PARTIAL")
+    return g.select("repo", "extension", level.alias("level"), "files")
+
+
+def adapter_coverage(files: DataFrame, endpoints: DataFrame | None = None) -> DataFrame:
+    """repo, full_files, partial_files, unsupported_files, status. Formats that are only found count as unsupported and make the status WARN."""
+    of = lambda level: F.coalesce(F.sum(F.when(F.col("level") == level, F.col("files"))), F.lit(0))
+    g = adapter_extensions(files, endpoints).groupBy("repo").agg(of("FULL").alias("full_files"), of("PARTIAL").alias("partial_files"), of("UNSUPPORTED").alias("unsupported_files"))
     return g.withColumn("status", F.when(F.col("unsupported_files") > 0, "WARN").when(F.col("partial_files") > 0, "PARTIAL").otherwise("FULL"))
 
 

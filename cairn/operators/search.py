@@ -82,9 +82,13 @@ def rank_batch(items: DataFrame, queries: DataFrame, top: int = 200) -> DataFram
     return d.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select("query_id", F.col("id").alias("item"), "score", "place")
 
 
-def search_records(records: DataFrame, text: str, limit: int = 100) -> DataFrame:
-    """Records whose JSON form contains the text, without regard to case: a report of the first ones by all columns."""
-    return records.filter(F.contains(F.lower(F.to_json(F.struct(*records.columns))), F.lit(text.lower()))).orderBy(*records.columns).limit(limit)
+def search_records(records: DataFrame, text: str, limit: int = 100, file: str | None = None) -> DataFrame:
+    """Records whose JSON form contains the text, without regard to case, and of one file if it is named (a filter that reaches the scan): a report of the first ones by all columns, 100 at most, and whether there are more."""
+    limit = min(limit, 100)
+    found = records if file is None else records.filter(F.col("file") == file)
+    found = found.filter(F.contains(F.lower(F.to_json(F.struct(*records.columns))), F.lit(text.lower()))).orderBy(*records.columns).limit(limit + 1)
+    w = W.orderBy(*records.columns)  # over limit + 1 rows
+    return found.withColumn("_r", F.row_number().over(w)).withColumn("truncated", F.count("*").over(W.partitionBy()) > limit).filter(F.col("_r") <= limit).drop("_r")
 
 
 def ordinals(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:

@@ -5,37 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Read as text, skipped folders, largest file.
-EXTENSIONS = ("java", "kt", "ts", "tsx", "js", "vue", "py", "go", "cs", "sql", "xml", "md")
-EXCLUDED = ("node_modules", ".git", "dist", "build", "target")
+#: Formats that are read as text, manifests, folders that are skipped, the largest file.
+EXTENSIONS = (
+    "java kt kts js jsx ts tsx vue py cs go xml sql jsp jspx tag asp aspx ascx ashx asmx vb vbs xaml cshtml vbhtml razor php rb cbl cob cpy abap html htm properties yml yaml json".split()
+)
+MANIFESTS = "pom.xml go.mod package.json build.gradle build.gradle.kts Cargo.toml Gemfile composer.json".split()
+EXCLUDED = (
+    ".git node_modules vendor dist build target out .next .nuxt coverage _workspace _workspace_prev .claude .idea .vscode bin obj .venv venv env .tox site-packages __pycache__ .pytest_cache .mypy_cache".split()
+)
 LARGEST = 4 * 1024 * 1024
 
 
-def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """files(repo, path, size, mtime, content): the first folder under root is the repo."""
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+
+
+def _relative(root: str) -> tuple[Column, Column]:
+    """Repo and path of a file: the first folder under root, and what comes below it."""
+    rel = F.substring_index("path", f"/{root.rstrip('/').rpartition('/')[2]}/", -1)
+    return F.substring_index(rel, "/", 1).alias("repo"), F.regexp_extract(rel, "^[^/]+/(.*)$", 1).alias("path")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """repo, path, size, mtime, folder of every file below root; contents are not read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.substring_index("path", f"{root.rstrip('/')}/", -1)
-    return raw.select(
-        F.substring_index(rel, "/", 1).alias("repo"), F.regexp_extract(rel, "^[^/]+/(.*)$", 1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
-        F.decode("content", "UTF-8").alias("content"),
-    )
+    return raw.select(*_relative(root), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
 
 
-def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
+    """files(repo, path, size, mtime, content): what is in scope by name and size; the first folder under root is the repo.
+
+    The listing is judged before any content is read: only folders that hold a file in scope are opened, by name patterns and a bound on size that reach the reader. The folders' names pass through the driver, which holds the whole
+    listing anyway."""
+    found = in_scope(listing(spark, root))
+    folders = [r.folder for r in found.select("folder").distinct().collect()]
+    schema = "repo string, path string, size long, mtime timestamp, content string"
+    if not folders:
+        return spark.createDataFrame([], schema)
+    names = ",".join([*(f"*.{a}" for e in EXTENSIONS for a in (e, e.upper())), *MANIFESTS])
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", f"{{{names}}}").load(folders).filter(F.col("length") <= LARGEST)
+    return raw.select(*_relative(root), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
 
 
 def in_scope(files: DataFrame, include: DataFrame | None = None) -> DataFrame:
-    """Known extension, no excluded folder, not too large, and under one of the repo's include paths, if it has any."""
-    kept = files.filter(
-        extension(F.col("path")).isin(*EXTENSIONS) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, EXCLUDED))) & (F.col("size") <= LARGEST)
-    )
+    """Known format or a manifest, no excluded folder, not too large, and under one of the repo's include paths(repo, path), if it has any; paths may begin with ./ and end in /, and . is all."""
+    parts = F.split("path", "/")
+    kept = files.filter((extension(F.col("path")).isin(*EXTENSIONS) | F.element_at(parts, -1).isin(*MANIFESTS)) & ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, EXCLUDED))) & (F.col("size") <= LARGEST))
     if include is None:
         return kept
-    paths = include.groupBy("repo").agg(F.collect_set("path").alias("_include"))
-    joined = kept.join(F.broadcast(paths), "repo", "left")
+    plain = F.regexp_replace(F.regexp_replace(F.trim("path"), r"^\./", ""), "/$", "")
+    paths = include.select("repo", F.when(plain == ".", "").otherwise(plain).alias("path")).filter(~F.startswith("path", F.lit(".."))).groupBy("repo").agg(F.collect_set("path").alias("_include"))
     under = F.exists("_include", lambda p: (p == "") | (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit("/"))))
-    return joined.filter(F.col("_include").isNull() | under).drop("_include")
+    return kept.join(paths, "repo", "left").filter(F.col("_include").isNull() | under).drop("_include")
 
 
 def star_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

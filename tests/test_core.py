@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cairn.functions.text import normalize_path
-from cairn.operators import contracts, dedupe, facts, graph, relations
+from cairn.operators import contracts, dedupe, facts, graph, relations, web
 
 
 def test_paths(spark):
@@ -22,7 +22,7 @@ def test_drift(spark):
     files = spark.createDataFrame(
         [("api", "C.java", '@RequestMapping("/v1")\nclass C {\n @PostMapping("/o/{id}")\n void f() {}\n}'), ("web", "a.ts", "axios.post(`/v1/o/${id}`)"), ("app", "b.ts", 'fetch("/gone")')], "repo string, path string, content string"
     )
-    e, c = contracts.extract_endpoints(files), contracts.extract_consumers(files)
+    e, c = web.endpoints(files), web.consumers(files)
     m = contracts.match_api(e, c)
     assert m.count() == 1 and {(r.repo, r.status) for r in contracts.api_drift(c, m).collect()} == {("web", "PASS"), ("app", "WARN")}
 
