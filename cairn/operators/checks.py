@@ -30,29 +30,42 @@ def _kind(value):
     return F.coalesce(kinds[name], F.when(name.isin("DECIMAL", "DOUBLE", "FLOAT"), F.when(F.try_variant_get(value, "$", "double") == F.floor(F.try_variant_get(value, "$", "double")), "integer").otherwise("number")), F.lit("other"))
 
 
-def _violations(value, rules: dict, path, depth: int = 0):
+def _let(value, body):
+    """body(value), with the value worked out once however often the body uses it: nested rules would else repeat it at every level."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _violations(value, rules: dict, path):
     """array<struct<path, rule>> of a value (variant) against rules: type, enum, minimum, required, properties, items. Deeper rules count only where the type is right."""
-    one = lambda at, rule: F.struct(at.alias("path"), F.lit(rule).alias("rule"))
+    return _let(value, lambda v: _let(_kind(v), lambda kind: _let(path, lambda at: _broken(v, kind, at, rules))))
+
+
+def _within(rules: dict, path):
+    return lambda value: _violations(value, rules, path)
+
+
+def _broken(value, kind, path, rules: dict):
     none = F.array().cast("array<struct<path:string,rule:string>>")
-    kind = _kind(value)
+    one = lambda at, rule: F.array(F.struct(at.alias("path"), F.lit(rule).alias("rule")))
     types = [rules["type"]] if isinstance(rules.get("type"), str) else list(rules.get("type", []))
-    fine = F.lit(True) if not types else kind.isin(*types) | (F.lit("number" in types) & (kind == "integer"))
     parts = []
     if "enum" in rules:
-        parts.append(F.when(~F.coalesce(F.try_variant_get(value, "$", "string").isin(*map(str, rules["enum"])), F.lit(False)), F.array(one(path, "enum"))).otherwise(none))
+        parts.append(F.when(F.coalesce(F.try_variant_get(value, "$", "string").isin(*map(str, rules["enum"])), F.lit(False)), none).otherwise(one(path, "enum")))
     if "minimum" in rules:
-        parts.append(F.when(kind.isin("integer", "number") & (F.try_variant_get(value, "$", "double") < rules["minimum"]), F.array(one(path, "minimum"))).otherwise(none))
+        parts.append(F.when(kind.isin("integer", "number") & (F.try_variant_get(value, "$", "double") < rules["minimum"]), one(path, "minimum")).otherwise(none))
     child = lambda name: F.try_variant_get(value, f"$['{name}']", "variant")
+    at = lambda name: F.concat(path, F.lit(f".{name}"))
     for name in rules.get("required", ()):
-        parts.append(F.when((kind == "object") & child(name).isNull(), F.array(one(F.concat(path, F.lit(f".{name}")), "required"))).otherwise(none))
+        parts.append(F.when((kind == "object") & child(name).isNull(), one(at(name), "required")).otherwise(none))
     for name, inner in rules.get("properties", {}).items():
-        parts.append(F.when((kind == "object") & child(name).isNotNull(), _violations(child(name), inner, F.concat(path, F.lit(f".{name}")), depth)).otherwise(none))
+        # no value, no element to look at
+        there = F.filter(F.array(child(name)), lambda c: (kind == "object") & c.isNotNull())
+        parts.append(F.flatten(F.transform(there, _within(inner, at(name)))))
     if "items" in rules:
-        each = F.try_variant_get(value, "$", "array<variant>")
-        within = F.flatten(F.transform(each, lambda x, i: _violations(x, rules["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), depth + 1)))
-        parts.append(F.when(kind == "array", within).otherwise(none))
+        each = F.when(kind == "array", F.try_variant_get(value, "$", "array<variant>")).otherwise(F.array().cast("array<variant>"))
+        parts.append(F.flatten(F.transform(each, lambda x, i: _violations(x, rules["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))))
     below = F.concat(*parts) if parts else none
-    return F.when(fine, F.coalesce(below, none)).otherwise(F.array(one(path, "type")))
+    return F.when(kind.isin(*types) | (F.lit("number" in types) & (kind == "integer")), below).otherwise(one(path, "type")) if types else below
 
 
 def check_documents(docs: DataFrame, key: list[str], column: str, rules: dict) -> DataFrame:

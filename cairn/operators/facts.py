@@ -55,8 +55,9 @@ def sql_tables(sql: Column) -> Column:
 def extract_statements(files: DataFrame) -> DataFrame:
     """repo, file, line, type, sql, tables: statements in annotations, which may run over lines, be put together from several literals, or stand in a block of text; type is the first keyword."""
     u = symbols.parse(files.filter(extension(F.col("path")).isin("java", "kt")), STATEMENTS).select("repo", "file", F.inline(F.filter("uses", lambda u: (u["mark"] == "@") & u["name"].isin(*STATEMENTS) & u["args"].isNotNull())))
-    # the value itself: what is not set by another name
-    value = F.split(F.regexp_replace("args", r"^\s*value\s*=\s*", ""), r",\s*\w+\s*=")[0]
+    # the value itself, named or first, up to what is set by another name
+    value = F.when(F.col("args").rlike("^\\s*[\"']"), F.col("args")).otherwise(F.regexp_extract("args", r"(?s)\bvalue\s*=\s*(.*)", 1))
+    value = F.split(value, r",\s*\w+\s*=")[0]
     pieces = F.transform(F.regexp_extract_all(value, F.lit(PIECE), F.lit(0)), lambda x: F.trim(x, F.lit("\"'")))
     sql = F.replace(F.array_join(pieces, ""), F.lit("\\\""), F.lit("\""))
     d = u.withColumn("sql", sql).filter(F.trim("sql", F.lit(" \n\t\r")) != "")

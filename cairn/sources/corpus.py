@@ -27,7 +27,7 @@ def _relative(root: str) -> tuple[Column, Column]:
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """repo, path, size, mtime, folder of every file below root; contents are not read."""
+    """repo, path, size, mtime, folder of every file below root; contents are not read. Files without a byte are left out, as Spark's readers do: they hold no facts."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return raw.select(*_relative(root), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
 
