@@ -74,6 +74,18 @@ def in_name_of(name: str) -> Iterator[None]:
         _names.pop()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables written within reach Python in batches of so many rows at most. A batch stands in the memory of both sides, so where rows hold whole sets of shingles it must not hold ten thousand of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
     """left joined (inner, left or left_anti) with right, which has each key once and in `n` how many rows of left have it.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize
+from .common import components, discard, materialize, small_batches
 from .textbytes import LOWER, SPACE_WORD, batch_parts, freeing, mix, text_slices, word_hashes
 
 SKETCH_BITS = 17
@@ -39,6 +39,8 @@ HOT = 4000
 CHAIN = 5
 #: Up to so many ids are sent to every task to pick documents; beyond, the documents are joined by id.
 BROADCAST_IDS = 500_000
+#: Rows of a batch that goes to Python: pairs of sets of a few kilobytes each.
+BATCH_ROWS = 1000
 
 _weights = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -292,6 +294,11 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """id_col, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable over links)."""
     if chain_length(percent) < 2:
         raise ValueError("hot shingles are followed by a second one, which sets of this similarity need not share")
+    with small_batches(documents.sparkSession, BATCH_ROWS):
+        return _classes(documents, id_col, text_col, k, percent)
+
+
+def _classes(documents: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     level = spark.sparkContext.broadcast(rarity(docs, k))
