@@ -143,12 +143,12 @@ FROM c GROUP BY conv_id""",
     "op4_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT *, row_number() OVER () AS x FROM (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
-g AS (SELECT item, x, p AS at, least(10, len(w)) AS k, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS win FROM (SELECT item, x, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+g AS (SELECT item, x, p AS place, least(10, len(w)) AS k, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS win FROM (SELECT item, x, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
 k AS (SELECT DISTINCT k FROM g),
 o AS (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS win FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, k WHERE len(w) >= k)),
-h AS (SELECT o.r, o.p, o.k, g.item, g.x, g.at FROM o JOIN g ON o.k = g.k AND o.win = g.win),
+h AS (SELECT o.r, o.p, o.k, g.item, g.x, g.place FROM o JOIN g ON o.k = g.k AND o.win = g.win),
 n AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT r, p, k FROM h)) GROUP BY r),
-y AS (SELECT r, max(n) AS longest_match FROM (SELECT r, k - 1 + count(*) AS n FROM (SELECT r, x, k, p - at AS diag, p - row_number() OVER (PARTITION BY r, x, k, p - at ORDER BY p) AS island FROM h) GROUP BY r, x, k, diag, island) GROUP BY r),
+y AS (SELECT r, max(n) AS longest_match FROM (SELECT r, k - 1 + count(*) AS n FROM (SELECT r, x, k, p - place AS diag, p - row_number() OVER (PARTITION BY r, x, k, p - place ORDER BY p) AS island FROM h) GROUP BY r, x, k, diag, island) GROUP BY r),
 m AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
  CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r) LEFT JOIN y USING (r)""",
@@ -162,12 +162,11 @@ c AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT c.a, l.b FROM c JOIN l
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(c.b) FROM c WHERE c.a = d.doc_id) AS component_id,
  CASE WHEN n.n IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY n.own) END AS class_id FROM d LEFT JOIN n USING (doc_id)""",
     "op11_importance_resampling": r"""
-WITH crc AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x FROM range(256) r(i))),
-d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 f AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM d), e AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM q),
 u AS (SELECT DISTINCT g FROM (SELECT g FROM f UNION ALL SELECT g FROM e)),
-b AS MATERIALIZED (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(g)), lambda i: ('0x' || hex(encode(g))[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS k FROM u, crc),
+b AS MATERIALIZED (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(g)), lambda i: ('0x' || hex(encode(g))[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, x: xor(@CRC@[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS k FROM u),
 s AS (SELECT k, count(*) AS s FROM f JOIN b USING (g) GROUP BY k), t AS (SELECT k, count(*) AS t FROM e JOIN b USING (g) GROUP BY k),
 z AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t),
 a AS (SELECT s.k, CAST(floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (z.s + 10000) / ((s.s + 1)::DOUBLE * (z.t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (k), z),
@@ -175,7 +174,7 @@ m AS (SELECT r, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*))
 x AS (SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN m USING (r)),
 o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE words >= 20)
-SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM x LEFT JOIN o USING (doc_id)""",
+SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM x LEFT JOIN o USING (doc_id)""".replace("@CRC@", str(resampling.crc_tables()[0].tolist())),
     "op12_fill_middle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS x FROM documents),
 u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
