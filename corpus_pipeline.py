@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, jaccard, langid, packing, secret_scan
-from cairn.llm.common import discard, in_name_of, materialize, release
+from cairn.llm.common import discard, in_name_of, materialize, release, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
+#: Rows of a batch that goes to Python while a stage writes its tables. The stages share their executors' memory, and what one stage's batches took is not all given back for the next.
+BATCH_ROWS = 1000
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -28,7 +30,7 @@ def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, docs, of="pipeline")
-        with in_name_of("pipeline"):
+        with in_name_of("pipeline"), small_batches(spark, BATCH_ROWS):
             return f(spark, docs, sf_dir)
 
     return run_stage
