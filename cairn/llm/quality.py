@@ -8,7 +8,8 @@ document is kept or dropped by comparing its score with that one number.
 
 The number of bins grows with the corpus, as the square root of its bytes (vocabularies grow about so): 2^15 for 2 MB, 2^19 for 0.8 GB, 2^28
 for 100 TB. A task sends one count per bin it meets. The ratios are one array of four bytes a bin, made of blocks of `BLOCK` bins and sent to every task with the plan (2 MB for 0.8 GB, 16 MB for 30 GB, 1 GB for
-100 TB); n-grams look theirs up by place, within the row, so that no n-gram is shuffled at any size. Besides, `max_trusted` ids are broadcast at most.
+100 TB); n-grams look theirs up by place, within the row, so that no n-gram is shuffled at any size. The target is estimated on all trusted documents: up to
+`BROADCAST_IDS` of their ids are sent to every task; where there are more, the texts are shuffled once, to meet them by id.
 
 Words are `[^\x20\x09-\x0D]+`. Defined cases: a null text has no words; texts with fewer than `min_words` words
 fail the base rules; repeated rows are each judged and counted; without labels no document is trusted, all
@@ -17,17 +18,19 @@ ratios are 0 and only the base rules decide; null labels are not trusted; furthe
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import discard, materialize
 
 #: Bins whose ratios are gathered into one array in one group.
 BLOCK = 1 << 12
-#: The target is estimated on so many trusted documents at most, those of smallest id hash. The raw corpus is counted in full.
-MAX_TRUSTED = 200_000
+#: Up to so many trusted ids are sent to every task to mark documents; beyond, the documents are joined by id.
+BROADCAST_IDS = 500_000
 SPACES = r"[\x20\x09-\x0D]+"
 #: Windows are packed as 40 bits of hash and 24 of position; longer texts take the slower exact way.
 PACKED = 1 << 24
@@ -110,11 +113,12 @@ def grams(docs: DataFrame, n_bins: int) -> DataFrame:
     return docs.withColumn("b", F.concat(words, F.slice(pairs, F.lit(1), F.greatest(F.size("h") - 1, F.lit(0)))))
 
 
-def with_good(docs: DataFrame, trusted: DataFrame, max_trusted: int) -> DataFrame:
-    """Adds good: 1 where id is one of the trusted documents that the target is estimated on. A bounded number of ids, so that no
-    text is shuffled to meet its label."""
-    good = trusted.orderBy(F.xxhash64("id"), "id").limit(max_trusted).withColumn("good", F.lit(1))
-    return docs.join(F.broadcast(good), "id", "left").withColumn("good", F.coalesce("good", F.lit(0)))
+def with_good(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Adds good: 1 where id is one of the trusted documents, which the target is estimated on. Few ids are broadcast, so that no text is
+    shuffled to meet its label."""
+    good = trusted.withColumn("good", F.lit(1))
+    good = F.broadcast(good) if trusted.count() <= BROADCAST_IDS else good
+    return docs.join(good, "id", "left").withColumn("good", F.coalesce("good", F.lit(0)))
 
 
 def counts(docs: DataFrame, n_bins: int) -> DataFrame:
@@ -149,22 +153,45 @@ def mean_ratio(docs: DataFrame, ratio: DataFrame) -> DataFrame:
     return out
 
 
-def assess(
-    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_trusted: int = MAX_TRUSTED, trim: float = 0.005, slack: float = 1.0
-) -> DataFrame:
+def percentiles(values: DataFrame, name: str, shares: list[float]) -> list[float] | None:
+    """The exact percentiles of a column without nulls, linear between neighbours; None without rows. Distinct values are range-sorted, and only
+    those next to a percentile come to the driver, with one total per partition."""
+    order = values.groupBy(F.col(name).alias("x")).agg(F.count("*").alias("n")).repartitionByRange("x").withColumn("part", F.spark_partition_id())
+    order = materialize(order)
+    begin, total = {}, 0
+    for r in order.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        begin[r.part] = total
+        total += r.n
+    if not total:
+        discard(order)
+        return None
+    at = [share * (total - 1) for share in shares]
+    found = {}
+    for rank in {f(p) for p in at for f in (math.floor, math.ceil)}:
+        part = max((p for p in begin if begin[p] <= rank), key=begin.get)
+        run = F.sum("n").over(W.partitionBy("part").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow))
+        upto = order.filter(F.col("part") == part).withColumn("end", F.lit(begin[part]) + run)
+        found[rank] = upto.filter(F.col("end") > rank).agg(F.min("x")).first()[0]
+    discard(order)
+    # at a rank itself the two neighbours are one
+    return [found[lo] if lo == hi else (hi - p) * found[lo] + (p - lo) * found[hi] for p in at for lo, hi in [(math.floor(p), math.ceil(p))]]
+
+
+def assess(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, trim: float = 0.005, slack: float = 1.0) -> DataFrame:
     """id_col, the base counts, base_failed, llr (mean log ratio, null without words), threshold, kept: a row per document."""
-    trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("id")).distinct()
-    docs = with_good(documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")), trusted, max_trusted)
+    trusted = materialize(labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("id")).distinct())
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     n_bins = bins(docs)
-    found = counts(docs, n_bins)
+    found = counts(with_good(docs, trusted), n_bins)
     ratio = ratios(found, n_bins)
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     d = grams(base_columns(docs, "t"), n_bins)
-    scored = materialize(mean_ratio(d, ratio).select("id", "good", *base, "llr"))
+    scored = materialize(mean_ratio(d, ratio).select("id", *base, "llr"))
     discard(found)
-    # one score per trusted id: max_trusted numbers at most meet in one task
-    cut = scored.filter("llr is not null and good = 1").groupBy("id").agg(F.min("llr").alias("llr")).agg(F.percentile("llr", F.lit(trim)).alias("low"), F.percentile("llr", F.lit(0.5)).alias("mid"))
-    cut = cut.select((F.col("low") - F.lit(slack) * (F.col("mid") - F.col("low"))).alias("threshold")).first().threshold
+    # one score per trusted id
+    low_mid = percentiles(scored.filter("llr is not null").join(trusted, "id", "left_semi").groupBy("id").agg(F.min("llr").alias("llr")), "llr", [trim, 0.5])
+    cut = low_mid[0] - slack * (low_mid[1] - low_mid[0]) if low_mid else None
+    discard(trusted)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select(
         F.col("id").alias(id_col), *base, failed.alias("base_failed"), "llr", F.lit(cut).cast("double").alias("threshold"),

@@ -87,6 +87,24 @@ def test_quality_ratios(spark, docs, monkeypatch, block):
         assert r.threshold == pytest.approx(threshold, abs=1e-6) and r.kept == (not r.base_failed and want >= threshold - 1e-7)
 
 
+@pytest.mark.parametrize("most", [quality.BROADCAST_IDS, 0])
+def test_quality_of_many_trusted(spark, monkeypatch, most):
+    """The target is estimated on all trusted documents, however many: where every document is trusted, both shares are the same and every ratio is 0."""
+    monkeypatch.setattr(quality, "BROADCAST_IDS", most)
+    d = spark.range(200_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 1009, F.lit(" v"), F.col("id") % 7).alias("text"))
+    q = quality.assess(d, d.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert tuple(q.agg(F.count("*"), F.count("llr"), F.min("llr"), F.max("llr"), F.max("threshold")).first()) == (200_500, 200_500, 0, 0, 0)
+
+
+def test_quality_percentiles(spark):
+    """As Spark's own, which gathers all values in one task."""
+    d = spark.range(1000).select((F.sin(F.col("id") % 400) * 3).alias("x"))
+    for part in (d, d.limit(2), d.limit(1)):
+        want = [part.agg(F.percentile("x", F.lit(p))).first()[0] for p in (0.005, 0.5, 1.0)]
+        assert quality.percentiles(part, "x", [0.005, 0.5, 1.0]) == pytest.approx(want, abs=1e-12)
+    assert quality.percentiles(d.limit(0), "x", [0.5]) is None
+
+
 @pytest.mark.parametrize("group", [1 << 20, 500, 100])
 def test_suffix_dedup(docs, group):
     got = answers(suffix_dedup.remove_repeats(docs, length=60, gram=30, group_bytes=group).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").alias("r"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h")), "n_bytes", "r", "s", "h")
