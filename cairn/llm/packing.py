@@ -23,19 +23,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import materialize
-from .textbytes import text_slices
+from .textbytes import freeing, text_slices
 
 LENGTH, END = 4096, 2
 DIMS, BITS = 4, 8
+#: Words whose ids a worker holds, about 150 bytes each; fewer take more time, not other results.
 CACHED_WORDS = 800_000
 
 
 class WordCache:
     """Token ids of whole texts, word by word: white space never lies within a token of this kind of tokenizer, so a text's
     ids are those of its words in turn. A plain word with one point or comma behind it has the ids of both. Texts within
-    Latin-1 are lower-cased first, as the tokenizer would. At most CACHED_WORDS words are held, and texts that are new start afresh then."""
+    Latin-1 are lower-cased first, as the tokenizer would. Once more than `most` words are held, the next texts start afresh."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED_WORDS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -100,7 +102,7 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         lists = [(t.lower() if t.isascii() or latin1(t) else t).replace("\n", " ").split(" ") for t in texts]
-        if len(self.place) > CACHED_WORDS:
+        if len(self.place) > self.most:
             self.clear()
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64)
         if self.place.fresh:
@@ -141,10 +143,11 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 _caches: dict[str, WordCache] = {}
 
 
-def word_cache(path: str) -> WordCache:
+def word_cache(path: str, most: int = CACHED_WORDS) -> WordCache:
     """A worker's cache outlives its tasks."""
     if path not in _caches:
         _caches[path] = WordCache(path)
+    _caches[path].most = most
     return _caches[path]
 
 
@@ -179,9 +182,9 @@ def projection(dims: int) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((1 << 16, dims)).astype(np.float32)
 
 
-def _tokenize(path: str, end: int, dims: int, bits: int):
+def _tokenize(path: str, end: int, dims: int, bits: int, cached_words: int):
     def run(batches):
-        cache, rows = word_cache(path), projection(dims)
+        cache, rows = word_cache(path, cached_words), projection(dims)
         for batch in batches:
             for lo, hi, _, _ in text_slices(batch.column("t"), 1 << 20):
                 part = batch.slice(lo, hi - lo)
@@ -220,11 +223,11 @@ def _cut(length: int):
     return run
 
 
-def pack(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, dims: int = DIMS, bits: int = BITS) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, dims: int = DIMS, bits: int = BITS, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Pieces: id_col, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("row", F.monotonically_increasing_id())
     kind = docs.schema["id"].dataType.simpleString()
-    tokens = materialize(docs.mapInArrow(_tokenize(tokenizer_path, end, dims, bits), f"id {kind}, row long, n long, key long, ids binary"), )
+    tokens = materialize(docs.mapInArrow(freeing(_tokenize(tokenizer_path, end, dims, bits, cached_words)), f"id {kind}, row long, n long, key long, ids binary"), )
     order = tokens.select("key", "row", "n").repartitionByRange("key", "row").withColumn("part", F.spark_partition_id())
     order = materialize(order)
     totals = {r.part: r.n for r in order.groupBy("part").agg(F.sum("n").alias("n")).collect()}

@@ -52,6 +52,17 @@ def test_packing(docs):
     assert all((a[0], a[1] + a[2]) == b[:2] or (a[1] + a[2] == 128 and b[:2] == (a[0] + 1, 0)) for a, b in zip(places, places[1:], strict=False))
 
 
+def test_packing_with_few_words_held(docs):
+    """How many words a worker holds makes no difference to the pieces."""
+    path = P.path("word_bpe_49k.json")
+    cache = packing.WordCache(path, 100)
+    for i in range(20):
+        cache.encode([" ".join(f"w{i}x{j}" for j in range(60))])
+        assert len(cache.place) <= 100 + 61
+    some, all_ = (sorted(packing.pack(docs, path, length=128, cached_words=n).select("doc_id", "start", "length", "sequence_id", "offset", F.crc32("ids")).collect()) for n in (3, packing.CACHED_WORDS))
+    assert some == all_
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(5, 1, 0), (6, 1, 0), (7, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
     q = quality.assess(docs, labels)
