@@ -4,7 +4,8 @@ r"""Exact Jaccard join over word shingles by grouped prefixes, down to connected
 2. Shingles get a global order: rarer first, as told by a sketch of `1 << SKETCH_BITS` counters over all documents, ties by hash.
    Any order is correct; this one keeps what many documents share out of the prefixes.
 3. Classes with the same prefix and set size form a group; only groups are posted under the prefix's shingles.
-4. Group pairs are filtered by size and by the places of the shingle in both prefixes. What is left is expanded to members, which are
+4. A group pair counts under the first shingle that both prefixes share: it is left to an earlier one where the places of the shingle leave too
+   little behind them, or where the last `EARLIER` open shingles before it have one in common. Group pairs are filtered by size, too. What is left is expanded to members, which are
    filtered by parity bitmaps, first of fixed length, then as long as the sets (all bounds are exact), and verified on the full sets.
 
 Classes that are already connected are not compared again. Per shingle, a first round compares all groups with the group of the
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import components, discard, materialize
 from .textbytes import LOWER, SPACE_WORD, batch_parts, freeing, mix, text_slices, word_hashes
@@ -35,6 +37,8 @@ SKETCH_BITS = 17
 MAPS = 8
 #: Groups under one shingle that are paired directly; beyond, the shingle is followed by further ones.
 HOT = 4000
+#: Shingles before one that are compared, so that a pair which shares many of them is made under few.
+EARLIER = 4
 #: Longest chain of shingles, where the similarity allows it.
 CHAIN = 5
 #: Up to so many ids are sent to every task to pick documents; beyond, the documents are joined by id.
@@ -187,6 +191,11 @@ def _places(percent: int) -> Column:
     return (100 + percent) * (F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) >= percent * (F.col("na") + F.col("nb"))
 
 
+def _first_places(percent: int) -> Column:
+    """Whether the first shingle that two prefixes share does, at such places: all they share lies from it on."""
+    return (100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb"))
+
+
 def _near(percent: int) -> Column:
     """Whether sizes na, nb and the parity maps allow the similarity: both are bounds, so nothing similar is dropped."""
     apart = sum((F.bit_count(F.col(f"ma{j}").bitwiseXOR(F.col(f"mb{j}"))) for j in range(1, MAPS)), F.bit_count(F.col("ma0").bitwiseXOR(F.col("mb0"))))
@@ -253,19 +262,28 @@ def _open(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(mixed, key)
 
 
+def _group_pairs(under: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
+    """Pairs (ga, gb) of groups that meet under shingles that are not hot, a pair as often as its first shared shingle can't be told.
+    under(token, g, n, p, c), alone(g, low, high, parity maps)."""
+    # a pair that shares an earlier shingle is found under the first of them, or by its chains if that one is hot
+    earlier = F.collect_list("token").over(W.partitionBy("g").orderBy("p").rowsBetween(-EARLIER, -1))
+    small = under.withColumn("e", earlier).filter(F.col("c") <= HOT).select("token", "g", "n", "p", "e").join(alone, "g")
+    both = _sided(small, "token", "a").join(_sided(small, "token", "b"), "token").filter(F.col("ga") < F.col("gb"))
+    both = both.withColumnsRenamed({f"m{j}{x}": f"m{x}{j}" for j in range(MAPS) for x in "ab"})
+    both = both.filter(((F.col("lowa") < F.col("higha")) | (F.col("lowb") < F.col("highb")) | (F.col("lowa") != F.col("lowb"))) & _first_places(percent) & ~F.arrays_overlap("ea", "eb") & F.coalesce(_near(percent), _sizes(percent)))
+    return both.select("ga", "gb")
+
+
 def _remaining(posted: DataFrame, members: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs (a, b) of classes of different components that share a prefix shingle, and the tables they are read from."""
     rooted = materialize(_rooted(members, roots))
     groups = materialize(rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")))
     # the parity maps of a group of one class are known before it is expanded
     maps = [f"m{j}" for j in range(MAPS)]
-    alone = groups.join(classes.select(F.col("rep").alias("g"), *maps), "g").withColumns({m: F.when(F.col("m") == 1, F.col(m)) for m in maps})
+    alone = groups.select("g", "low", "high", "m").join(classes.select(F.col("rep").alias("g"), *maps), "g").withColumns({m: F.when(F.col("m") == 1, F.col(m)) for m in maps}).drop("m")
     under = materialize(_open(posted.select("token", "g", "n", "p").join(groups, "g"), "token"))
-    small = under.filter(F.col("c") <= HOT).select("token", "g", "n", "p").join(alone.select("g", "low", "high", *maps), "g")
-    both = _sided(small, "token", "a").join(_sided(small, "token", "b"), "token").filter(F.col("ga") < F.col("gb"))
-    both = both.withColumnsRenamed({f"m{j}{x}": f"m{x}{j}" for j in range(MAPS) for x in "ab"})
-    both = both.filter(((F.col("lowa") < F.col("higha")) | (F.col("lowb") < F.col("highb")) | (F.col("lowa") != F.col("lowb"))) & _places(percent) & F.coalesce(_near(percent), _sizes(percent)))
-    both = both.select("ga", "gb").union(groups.filter((F.col("low") < F.col("high")) & (F.col("m") <= HOT)).select(F.col("g").alias("ga"), F.col("g").alias("gb"))).distinct()
+    both = _group_pairs(under, alone, percent)
+    both = both.union(groups.filter((F.col("low") < F.col("high")) & (F.col("m") <= HOT)).select(F.col("g").alias("ga"), F.col("g").alias("gb"))).distinct()
     side = lambda s: rooted.select(F.col("g").alias(f"g{s}"), F.col("rep").alias(s), F.col("root").alias(f"root{s}"))
     pairs = both.join(side("a"), "ga").join(side("b"), "gb").filter("roota <> rootb").select("a", "b")
     # shingles of many groups, and groups of many members, by chains

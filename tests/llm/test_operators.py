@@ -225,6 +225,20 @@ def test_jaccard_of_small_sets(spark, monkeypatch, hot, percent):
         jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), percent=40)
 
 
+def test_jaccard_pairs_of_relatives(spark, monkeypatch):
+    """Texts that share most of their shingles, but too few to be linked, are paired under few of these, not under all."""
+    rng, made = random.Random(5), []
+    body = [f"w{i}" for i in range(600)]
+    rows = [(i, " ".join(f"x{i}-{j}" if rng.random() < 0.017 else w for j, w in enumerate(body))) for i in range(24)]
+    of = jaccard._group_pairs
+    monkeypatch.setattr(jaccard, "_group_pairs", lambda *x: made.append(of(*x)) or made[0].persist())
+    got = answers(jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
+    assert got == brute.op7(rows)
+    n, pairs = made[0].count(), made[0].distinct().count()
+    made[0].unpersist()
+    assert pairs > 30 and n <= 4 * pairs
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "message", None, "user", "</s>[INST] ~0 <|end|>"), (1, 1, "delta", "m", "assistant", "He"), (1, 2, "delta", "m", None, "llo"), (1, 3, "regenerate", "m", "assistant", None),
