@@ -248,7 +248,8 @@ def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def test_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three test files per part, one that is none, and a file of many cases."""
-    p = _t(spark, sf_dir, "part")
+    # keys are dealt out before files are made of them: a table of one small file would else be read by one task
+    p = _t(spark, sf_dir, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
     repo = _s("t", F.col("p_partkey") % 10)
     py = _files(p, repo, _s("tests/test_a", "@p_partkey", ".py"), _s("def test_a", "@p_partkey", "():\n    pass\n\ndef helper():\n    pass\n"))
     ts = _files(p, repo, _s("src/a", "@p_partkey", ".spec.ts"), _s('describe("part ', "@p_partkey", '", () => {\n  it("works", run);\n  it("works", run);\n});\n'))

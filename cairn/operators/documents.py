@@ -93,7 +93,7 @@ def quality_reports(docs: DataFrame) -> DataFrame:
 
 def test_cases(files: DataFrame) -> DataFrame:
     """repo, file, name: the first hundred distinct cases of each test file: calls of test, it and describe by their title, functions and methods that are named as tests, and methods that are marked so."""
-    p = symbols.parse(files.filter(is_test(F.col("path"))), ("test", "it", "describe"))
+    p = symbols.parse(files.filter(is_test(F.col("path"))), ("test", "it", "describe"), only=("test", "it", "describe", "Test"))
     case = lambda name, line: F.struct(line.alias("line"), name.alias("name"))
     quote = F.array(*map(F.lit, ("'", '"', "`")))
 
@@ -106,10 +106,11 @@ def test_cases(files: DataFrame) -> DataFrame:
     called = F.transform(F.filter("uses", lambda u: (u["mark"] == "") & u["name"].isin("test", "it", "describe")), lambda u: case(title(u), u["line"]))
     named = F.transform(F.filter("methods", lambda m: ((F.col("ext") == "py") & m["name"].startswith("test_")) | ((F.col("ext") == "go") & m["name"].startswith("Test"))), lambda m: case(m["name"], m["line"]))
     marked = F.transform(F.filter("uses", lambda u: (u["mark"] == "@") & (u["name"] == "Test")), lambda u: case(F.when(u["ahead"] == "method", u["ahead_name"]), u["line"]))
-    c = p.select("repo", "file", F.inline(F.concat(called, named, marked))).filter("name is not null")
-    first = c.groupBy("repo", "file", "name").agg(F.min("line").alias("_l"))
-    w = W.partitionBy("repo", "file").orderBy("_l", "name")
-    return first.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= MOST_CASES).select("repo", "file", "name")
+    # a row per file all the way: its cases in order, each name where it comes first
+    cases = F.filter(F.concat(called, named, marked), lambda c: c["name"].isNotNull())
+    c = p.select("repo", "file", cases.alias("_c")).filter(F.size("_c") > 0).groupBy("repo", "file").agg(F.sort_array(F.flatten(F.collect_list("_c"))).alias("_c"))
+    names = F.array_distinct(F.transform("_c", lambda c: c["name"]))
+    return c.select("repo", "file", F.explode(F.slice(names, 1, MOST_CASES)).alias("name"))
 
 
 def quality_commands(files: DataFrame) -> DataFrame:

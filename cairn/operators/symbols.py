@@ -19,6 +19,8 @@ from ..sources.tables import written
 #: Annotations that have a field injected, and words that may stand before its type.
 INJECTS = ("Autowired", "Inject", "Resource")
 MODIFIERS = ("public", "protected", "private", "internal", "final", "static", "readonly", "lateinit", "val", "var")
+#: So many characters of texts does a task remember with what they told: copies of a file that come near each other, of which corpora are full, are read once.
+REPEATED = 1 << 18
 
 _S, _I, _B = T.StringType(), T.IntegerType(), T.BooleanType()
 
@@ -41,18 +43,30 @@ def _arrow(t: T.DataType) -> pa.DataType:
     return pa.struct([(f.name, _arrow(f.dataType)) for f in t.fields]) if isinstance(t, T.StructType) else _ARROW[t]
 
 
-def _scan(named: frozenset):
+def _scan(named: frozenset, only: frozenset | None = None):
+    def told(content: str, ext: str) -> tuple[list, list, list]:
+        s = Scan(content, ext if ext in LANGUAGES else "js", named)
+        uses = s.uses if only is None else [u for u in s.uses if u["name"] in only]
+        for u in uses:
+            m = u["method"]
+            u["method"], u["method_owner"] = (m["name"], m["owner"]) if m else (None, None)
+        return s.types, s.methods, uses
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [_arrow(PARSED[c].dataType) for c in ("types", "methods", "uses")]
+        seen, held = {}, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                rows = [Scan(c, e if e in LANGUAGES else "js", named) for c, e in zip(part.column("content").to_pylist(), part.column("ext").to_pylist(), strict=True)]
-                for s in rows:
-                    for u in s.uses:
-                        m = u["method"]
-                        u["method"], u["method_owner"] = (m["name"], m["owner"]) if m else (None, None)
-                columns = [pa.array(c, k) for c, k in zip(([s.types for s in rows], [s.methods for s in rows], [s.uses for s in rows]), kinds, strict=True)]
+                rows = []
+                for key in zip(part.column("content").to_pylist(), part.column("ext").to_pylist(), strict=True):
+                    if (row := seen.get(key)) is None:
+                        row, held = told(*key), held + len(key[0])
+                        if held > REPEATED:
+                            seen, held = {}, len(key[0])
+                        seen[key] = row
+                    rows.append(row)
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("repo"), part.column("file"), part.column("ext"), *columns], names=PARSED.fieldNames())
 
     return run
@@ -66,8 +80,8 @@ def without_comments(content, ext):
     return pd.Series([strip_comments(c, e) for c, e in zip(content, ext, strict=True)])
 
 
-def parse(files: DataFrame, named: tuple[str, ...] = (), pages: tuple[str, ...] = ()) -> DataFrame:
-    """repo, file, ext, package, types, methods, uses: a row per file of a known language. named: names whose arguments are wanted; pages: further formats, read like scripts. The package is the one that is declared, or of Python and
+def parse(files: DataFrame, named: tuple[str, ...] = (), pages: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> DataFrame:
+    """repo, file, ext, package, types, methods, uses: a row per file of a known language. named: names whose arguments are wanted; pages: further formats, read like scripts; only: names whose uses are wanted, if not all. The package is the one that is declared, or of Python and
     script files the dotted path. One evaluation of the sources: explode both of its columns at once, or write it (`facts`)."""
     ext = extension(F.col("path"))
     d = files.filter(ext.isin(*LANGUAGES, *pages)).select("repo", F.col("path").alias("file"), ext.alias("ext"), F.coalesce("content", F.lit("")).alias("content"))
@@ -76,7 +90,7 @@ def parse(files: DataFrame, named: tuple[str, ...] = (), pages: tuple[str, ...]
     own = F.when(F.col("ext").isin(*JVM), said).when(F.col("ext") == "go", F.coalesce(F.nullif(said, F.lit("")), F.replace(F.regexp_extract("file", r"^(.*)/[^/]*$", 1), F.lit("/"), F.lit(".")))).otherwise(F.replace(path, F.lit("/"), F.lit(".")))
     # the package rides in the file's name through the pass: no second look at the content
     d = d.select("repo", F.concat_ws("\u0001", "file", own).alias("file"), "ext", "content")
-    p = d.mapInArrow(_scan(frozenset(named)), PARSED).withColumn("_f", F.split("file", "\u0001"))
+    p = d.mapInArrow(_scan(frozenset(named), None if only is None else frozenset(only)), PARSED).withColumn("_f", F.split("file", "\u0001"))
     return p.select("repo", F.col("_f")[0].alias("file"), "ext", F.col("_f")[1].alias("package"), "types", "methods", "uses")
 
 
